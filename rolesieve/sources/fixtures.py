@@ -66,8 +66,18 @@ SELECT k AS seq,
 FROM (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate AS d FROM {orders}) src"""
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the files make fewer splits than there are cores.
+
+    The text scans that follow are CPU-bound.  Large inputs have splits enough and are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(postings_sql(f"parquet.`{sf_dir}/orders.parquet`"))
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
+    return spark.sql(postings_sql("{orders}"), orders=orders)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -220,6 +220,18 @@ def _keywords(src: str, text: str) -> str:
     )
 
 
+def _trend(src: str, words: str, listed: str) -> str:
+    return f"""
+SELECT 'totals' AS section, CAST(0 AS INTEGER) AS rank, key, n FROM (
+  SELECT unnest(['total', 'listed', 'other', 'united_states', 'india']) AS key,
+         unnest([count(*), count(*) FILTER ({listed}), count(*) FILTER (NOT {listed}),
+                 count(*) FILTER (source_location = 'United States'), count(*) FILTER (source_location = 'India')]) AS n FROM {src}) t WHERE n > 0
+UNION ALL SELECT 'job_types', 0, coalesce(job_type, 'unknown'), count(*) FROM {src} GROUP BY 3
+UNION ALL SELECT section, rank, key, CAST(value AS BIGINT) FROM ({_top('top_titles', src, 'title', 8)}) a
+UNION ALL SELECT section, rank, key, CAST(value AS BIGINT) FROM ({_top('top_companies', src, 'company', 8)}) b
+UNION ALL SELECT section, rank, key, CAST(value AS BIGINT) FROM ({_top('keywords', words, 'keyword', 12)}) c"""
+
+
 def _batches() -> str:
     """CTEs kept(seq, job_url, batch_id, ...): three batches, each against the URLs kept before it."""
     ctes, seen = [], None
@@ -387,17 +399,16 @@ def oracle_sql() -> dict[str, str]:
         "market_summary": _with(*ANALYSED_CTES, VALID_SKILLS) + _summary("enriched", "es", "es"),
         "stored_summary": _with(P, VALID, _enriched("valid"), VALID_SKILLS, KEY_TEXT,
                                 "run AS (SELECT skill FROM es UNION ALL SELECT ks.skill FROM ks JOIN p USING (seq) WHERE batch_id = 0)") + _summary("enriched", "es", "run"),
+        "summary_document": _with(*ANALYSED_CTES, VALID_SKILLS) + _summary("enriched", "es", "es"),
+        "totals_imported": _with(P, KEY_TEXT) + "SELECT skill, count(*) AS n FROM ks GROUP BY skill",
         "running_totals": _with(P, KEY_TEXT) + "SELECT skill, count(*) AS n FROM ks GROUP BY skill",
         "totals_replayed": _with(P, KEY_TEXT) + "SELECT skill, count(*) AS n FROM ks GROUP BY skill",
         "keyword_counts": _with(_keywords("documents", "text")) + "SELECT keyword, count(*) AS n FROM kw GROUP BY keyword",
         "top_keywords": _with(_keywords("documents", "text")) + "SELECT keyword, count(*) AS n FROM kw GROUP BY keyword ORDER BY n DESC, keyword LIMIT 12",
-        "trend_snapshot": _with(P, ALL_INGESTED, "kept AS (" + _kept_rows("seq") + ")", _keywords("kept", "description")) + f"""
-            SELECT 'totals' AS section, CAST(0 AS INTEGER) AS rank, key, n FROM (SELECT unnest(['total', 'listed', 'other', 'united_states', 'india']) AS key,
-              unnest([count(*), count(*) FILTER (is_fortune_500), count(*) FILTER (NOT is_fortune_500), count(*) FILTER (source_location = 'United States'), count(*) FILTER (source_location = 'India')]) AS n FROM kept) t
-            UNION ALL SELECT 'job_types', 0, coalesce(job_type, 'unknown'), count(*) FROM kept GROUP BY 3
-            UNION ALL SELECT section, rank, key, CAST(value AS BIGINT) FROM ({_top('top_titles', 'kept', 'title', 8)}) a
-            UNION ALL SELECT section, rank, key, CAST(value AS BIGINT) FROM ({_top('top_companies', 'kept', 'company', 8)}) b
-            UNION ALL SELECT section, rank, key, CAST(value AS BIGINT) FROM ({_top('keywords', 'kw', 'keyword', 12)}) c""",
+        "trend_snapshot": _with(P, ALL_INGESTED, "kept AS (" + _kept_rows("seq") + ")", _keywords("kept", "description"))
+                          + _trend("kept", "kw", "is_fortune_500"),
+        "trend_log": _with(P, *[f"b{b} AS (SELECT * FROM p WHERE batch_id = {b}), " + _keywords(f"b{b}", "description").replace("kw AS", f"kw{b} AS") for b in (0, 1)])
+                     + " UNION ALL ".join(f"SELECT '2024-01-0{b + 1}' AS run, * FROM ({_trend(f'b{b}', f'kw{b}', 'false')}) t{b}" for b in (0, 1)),
         "trend_samples": _with(P, ALL_INGESTED, "kept AS (" + _kept_rows("seq") + ")") + "SELECT concat_ws(' | ', title, company, location, coalesce(source_location, 'None')) AS job FROM kept ORDER BY seq LIMIT 5",
         "html_text": f"SELECT page_id, {_html_text('html')} AS text FROM pages",
         "html_escaped": f"SELECT page_id, {_html_escaped('html')} AS html FROM pages",

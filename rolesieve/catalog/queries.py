@@ -323,8 +323,21 @@ def stored_summary(spark, sf):
 
 
 def summary_document(spark, sf):
+    """The summary written as one JSON document, read back and unfolded."""
+    path = scratch_path(spark, "summary")
     scored = _analysed(spark, sf, ordered=False)
-    return summary.as_document(summary.summarize(scored), summary.top_jobs(scored)).select(F.to_json(F.struct("*")).alias("document"))
+    outputs.write_json(summary.as_document(summary.summarize(scored), summary.top_jobs(scored)), path)
+    schema = "sections array<struct<section: string, rank: int, key: string, value: double>>"
+    return _summary(spark.read.schema(schema).json(path).select(F.inline("sections")))
+
+
+def totals_imported(spark, sf):
+    """Totals of batch 0 as an old summary file of pairs, merged with the later batches."""
+    path, p = scratch_path(spark, "old-summary"), postings(spark, sf)
+    pairs = counts.skill_doc_freq(p.where("batch_id = 0")).select(F.array("skill", F.col("n").cast("string")).alias("pair"))
+    old = pairs.agg(F.collect_list("pair").alias("persistent_total_recurrence"))  # as long as the skill list
+    old.select(F.to_json(F.struct("*"))).write.text(path)
+    return totals.running_totals(totals.import_totals_json(spark, path), counts.skill_doc_freq(p.where("batch_id > 0")))
 
 
 def running_totals(spark, sf):
@@ -352,6 +365,14 @@ def trend_snapshot(spark, sf):
     return trend.snapshot(ingest.ingest(postings(spark, sf), append=True))
 
 
+def trend_log(spark, sf):
+    """Snapshots of two runs appended to one log."""
+    path, p = scratch_path(spark, "trend"), postings(spark, sf)
+    for batch in (0, 1):
+        trend.append_snapshot(p.where(F.col("batch_id") == batch), path, f"2024-01-0{batch + 1} 12:00:00")
+    return spark.read.parquet(path).select(F.date_format("run_ts", "yyyy-MM-dd").alias("run"), "section", "rank", "key", "n")
+
+
 def trend_samples(spark, sf):
     return trend.sample_jobs(ingest.ingest(postings(spark, sf), append=True), [F.asc("seq")])
 

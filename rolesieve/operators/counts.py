@@ -70,15 +70,6 @@ def keyword_counts(df: DataFrame, text: str = "description") -> DataFrame:
     )
 
 
-def value_counts(df: DataFrame, sections: dict[str, Column]) -> DataFrame:
-    """(section, key, n) of several columns in one aggregation; null keys are left out."""
-    pairs = F.array(*[F.struct(F.lit(s).alias("section"), v.cast("string").alias("key")) for s, v in sections.items()])
-    return (
-        df.select(F.inline(pairs)).where(F.col("key").isNotNull())
-        .groupBy("section", "key").agg(F.count(F.lit(1)).alias("n"))
-    )
-
-
 def entry(section: str, key: Column | str, amount: Column | float = 1.0, when: Column | None = None) -> Column:
     """One line of a tally: struct<section, key, amount>, or null where it does not apply."""
     key = F.lit(key) if isinstance(key, str) else key
@@ -95,26 +86,31 @@ def entries(section: str, keys: Column) -> Column:
     )
 
 
-def tally(df: DataFrame, singles: list[Column], arrays: list[Column] = ()) -> DataFrame:
+def tally(df: DataFrame, singles: list[Column], arrays: list[Column] = (), earlier: DataFrame | None = None) -> DataFrame:
     """(section, key, n, amount) of all lines of all rows: one scan, one aggregation.
 
     Counts are summed within each task first, so the shuffle carries distinct keys, not lines.
+    ``earlier`` (section, key, n) holds counts of former runs to add.
     """
     lines = F.concat(F.array_compact(F.array(*singles)), *arrays)
-    return (
-        df.select(F.inline(lines)).groupBy("section", "key")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
-    )
+    out = df.select(F.inline(lines)).withColumn("n", F.lit(1).cast("long"))
+    if earlier is not None:
+        out = out.unionByName(earlier.select("section", "key", F.col("n").cast("double").alias("amount"), F.col("n").cast("long").alias("n")))
+    return out.groupBy("section", "key").agg(F.sum("n").alias("n"), F.sum("amount").alias("amount"))
 
 
-def top_per_section(counts: DataFrame, k: int) -> DataFrame:
-    """The k highest counts of each section with their rank.
+def top_per_section(counts: DataFrame, k: int, whole: tuple[str, ...] = ()) -> DataFrame:
+    """The k highest counts of each section with their rank; ``whole`` sections complete, rank 0.
 
     The limit on the rank is applied within every task before the shuffle, so a section with
-    a billion distinct keys sends k rows per task.
+    a billion distinct keys sends k rows per task.  All sections go through one window, so what
+    made ``counts`` runs once.
     """
-    w = Window.partitionBy("section").orderBy(F.desc("n"), F.asc("key"))
-    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    in_whole = F.col("section").isin(*whole) if whole else F.lit(False)
+    # A key of a whole section is a window of its own, so the limit never touches it.
+    w = Window.partitionBy("section", F.when(in_whole, F.col("key"))).orderBy(F.desc("n"), F.asc("key"))
+    top = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top.withColumn("rank", F.when(in_whole, F.lit(0)).otherwise(F.col("rank"))) if whole else top
 
 
 def facets(df: DataFrame, columns: tuple[str, ...] = ("site", "source_location", "source_query")) -> DataFrame:

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, functions as F
 
 from ..config import DEFAULT, Config, Profile
+from ..operators.counts import skill_doc_freq
 from ..operators.ledger import read_ledger, write_ledger_batch
 from ..operators.totals import write_totals_batch
-from ..sources.postings import read_table
 from .analyze import analyze
 from .ingest import decide, rows_of
-from .summary import market_tally
 
 
 @dataclass(frozen=True)
@@ -38,8 +38,21 @@ class Store:
         return f"{self.root}/skill_totals"
 
 
-def _replace_batch(df: DataFrame, path: str) -> None:
+def _replace_batch(df: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """Write a batch as its own partition, in place of an earlier one, and read it back.
+
+    Only that partition is listed and read, with the schema known, however many there are.
+    """
+    spark = df.sparkSession
+    df = df.withColumn("batch_id", F.lit(batch_id).cast("long"))
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+    reader = spark.read.schema(df.schema).option("basePath", path)
+    try:
+        return reader.parquet(f"{path}/batch_id={batch_id}")
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], df.schema)
 
 
 def ingest_batch(raw: DataFrame, store: Store, batch_id: int, cfg: Config = DEFAULT, include_seen: bool = False,
@@ -50,14 +63,9 @@ def ingest_batch(raw: DataFrame, store: Store, batch_id: int, cfg: Config = DEFA
     partition, so a replay after a failure ends in the same tables.  The ledger entries are read
     back from the stored postings, never worked out a second time.
     """
-    spark = raw.sparkSession
-    seen = read_ledger(spark, store.ledger).where(F.col("batch_id") != batch_id)
+    seen = read_ledger(raw.sparkSession, store.ledger).where(F.col("batch_id") != batch_id)
     rows = rows_of(raw.drop("batch_id"), decide(raw, seen, cfg, include_seen, seq), cfg, seq)
-    _replace_batch(rows.withColumn("batch_id", F.lit(batch_id).cast("long")), store.postings)
-    stored = read_table(spark, store.postings)
-    if "batch_id" not in stored.columns:  # nothing stored yet
-        return stored.limit(0)
-    stored = stored.where(F.col("batch_id") == batch_id)
+    stored = _replace_batch(rows, store.postings, batch_id)
     write_ledger_batch(stored, store.ledger, batch_id)
     return stored
 
@@ -69,12 +77,9 @@ def run_incremental(raw: DataFrame, store: Store, batch_id: int, cfg: Config = D
 
     A batch without new postings adds no rows anywhere.
     """
-    spark = raw.sparkSession
     stored = ingest_batch(raw, store, batch_id, cfg, include_seen, seq)
     if stored.isEmpty():
         return stored
-    _replace_batch(analyze(stored, cfg, profile, ordered=False, **analysis), store.enriched)
-    enriched = read_table(spark, store.enriched).where(F.col("batch_id") == batch_id)
-    skills = market_tally(enriched, cfg).where("section = 'top_skills'").select(F.col("key").alias("skill"), "n")
-    write_totals_batch(skills, store.skill_totals, batch_id)
+    enriched = _replace_batch(analyze(stored, cfg, profile, ordered=False, **analysis), store.enriched, batch_id)
+    write_totals_batch(skill_doc_freq(enriched, cfg.key_skills), store.skill_totals, batch_id)
     return enriched

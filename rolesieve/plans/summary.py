@@ -8,7 +8,6 @@ from ..config import DEFAULT, Config, Profile
 from ..functions.skills import SkillFinder, in_list_order
 from ..operators import counts
 from ..operators.ranking import ranked_top
-from ..operators.totals import running_totals
 from .enrich import enrich
 
 SHOWN_VALUES = 12
@@ -20,6 +19,8 @@ TOTALS = (
     "total_jobs", "mid_level_jobs", "profile_match_jobs", "in_band_jobs",
     "avg_est_min_years", "avg_est_max_years", "experience_band_min", "experience_band_max",
 )
+# Skill counts over all runs.
+RUNNING = "persistent_total_recurrence"
 SECTION_SIZE = {
     "jobs_by_site": SHOWN_VALUES, "jobs_by_location": SHOWN_VALUES, "top_titles": SHOWN_VALUES,
     "top_companies": SHOWN_VALUES, "degree_counts": len(counts.DEGREES),
@@ -36,7 +37,7 @@ def value_sections() -> dict[str, Column]:
     }
 
 
-def market_tally(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def market_tally(df: DataFrame, previous_totals: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
     """(section, key, n, amount): every count and sum of the summary from one scan of ``df``."""
     has = set(df.columns)
 
@@ -44,20 +45,24 @@ def market_tally(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         return F.col(name) if name in has else F.lit(None).cast(kind)
 
     text = counts.posting_text()
-    skills = in_list_order(SkillFinder(cfg.key_skills).found(text), cfg.key_skills)
-    df = df.select("*", *[F.lit(None).cast("string").alias(c) for c in ("site", "source_location", "company") if c not in has])
+    df = df.select(
+        "*",
+        *[F.lit(None).cast("string").alias(c) for c in ("site", "source_location", "company") if c not in has],
+        # Scanned once, counted in two sections.
+        F.inline(F.array(F.struct(SkillFinder(cfg.key_skills).found(text).alias("_found")))),
+    )
+    skills = in_list_order(F.col("_found"), cfg.key_skills)
+    flags = (("mid_level_jobs", "is_mid_level"), ("profile_match_jobs", "is_profile_match"), ("in_band_jobs", "in_experience_band"))
     singles = [
         counts.entry("totals", "total_jobs"),
-        *[
-            counts.entry("totals", key, when=column(flag, "boolean"))
-            for key, flag in (("mid_level_jobs", "is_mid_level"), ("profile_match_jobs", "is_profile_match"), ("in_band_jobs", "in_experience_band"))
-        ],
+        *[counts.entry("totals", key, when=column(flag, "boolean")) for key, flag in flags],
         counts.entry("totals", "avg_est_min_years", column("est_min_years", "int")),
         counts.entry("totals", "avg_est_max_years", column("est_max_years", "int")),
         *[counts.entry(section, value) for section, value in value_sections().items()],
         *[counts.entry("degree_counts", d, when=counts.mentions_degree(text, d)) for d in counts.DEGREES],
     ]
-    return counts.tally(df, singles, [counts.entries("top_skills", skills)])
+    earlier = None if previous_totals is None else previous_totals.select(F.lit(RUNNING).alias("section"), F.col("skill").alias("key"), "n")
+    return counts.tally(df, singles, [counts.entries("top_skills", skills), counts.entries(RUNNING, skills)], earlier)
 
 
 def summarize(df: DataFrame, previous_totals: DataFrame | None = None, cfg: Config = DEFAULT,
@@ -65,30 +70,29 @@ def summarize(df: DataFrame, previous_totals: DataFrame | None = None, cfg: Conf
     """The summary of enriched postings: (section, rank, key, value).
 
     Sections: totals, top_skills, persistent_total_recurrence, degree_counts, jobs_by_site,
-    jobs_by_location, top_titles, top_companies.  All come from one tally, whose exchange Spark
-    reuses; ``previous_totals`` (skill, n) are the totals of the runs before.
+    jobs_by_location, top_titles, top_companies.  ``previous_totals`` (skill, n) are the skill
+    totals of the runs before.  One scan, one aggregation, one window.
     """
     profile = profile or Profile(cfg.my_skills, cfg.experience_min, cfg.experience_max)
-    counted = market_tally(df, cfg)
-    value = F.when(F.col("key").startswith("avg_"), F.col("amount") / F.col("n")).otherwise(F.col("n"))
-    totals = counted.where("section = 'totals'").select("section", "key", value.cast("double").alias("value"))
-    band = F.array(*[
-        F.struct(F.lit("totals").alias("section"), F.lit(k).alias("key"), F.lit(float(v)).alias("value"))
-        for k, v in (("experience_band_min", profile.min_years), ("experience_band_max", profile.max_years))
-    ])
-    totals = totals.unionByName(totals.where("key = 'total_jobs'").select(F.inline(band)))
-    place = F.array_position(F.array(*[F.lit(k) for k in TOTALS]), F.col("key")).cast("int")
-
-    skills = counted.where("section = 'top_skills'").select(F.col("key").alias("skill"), "n")
-    running = skills if previous_totals is None else running_totals(previous_totals, skills)
-    running = running.select(F.lit("persistent_total_recurrence").alias("section"), F.col("skill").alias("key"), "n")
-    listed = counted.where("section <> 'totals'").select("section", "key", "n").unionByName(running)
     sizes = F.create_map(*[F.lit(x) for pair in SECTION_SIZE.items() for x in pair])
     size = F.coalesce(F.try_element_at(sizes, F.col("section")), F.lit(top_n))
-    ranked = counts.top_per_section(listed, max(top_n, *SECTION_SIZE.values())).where(F.col("rank") <= size)
-    return totals.select("section", place.alias("rank"), "key", "value").unionByName(
-        ranked.select("section", "rank", "key", F.col("n").cast("double").alias("value"))
-    )
+    largest = max(top_n, *SECTION_SIZE.values())
+    ranked = counts.top_per_section(market_tally(df, previous_totals, cfg), largest, whole=("totals",)).where(F.col("rank") <= size)
+    value = F.when(F.col("key").startswith("avg_") & (F.col("section") == "totals"), F.col("amount") / F.col("n")).otherwise(F.col("n"))
+    place = F.array_position(F.array(*[F.lit(k) for k in TOTALS]), F.col("key")).cast("int")
+
+    def line(rank: Column, key: Column, val: Column) -> Column:
+        return F.struct(F.col("section").alias("section"), rank.alias("rank"), key.alias("key"), val.cast("double").alias("value"))
+
+    # The band goes with the row of the total.
+    band = [
+        line(F.lit(TOTALS.index(k) + 1), F.lit(k), F.lit(v))
+        for k, v in (("experience_band_min", profile.min_years), ("experience_band_max", profile.max_years))
+    ]
+    is_total = F.col("section") == "totals"
+    own = F.array(line(F.when(is_total, place).otherwise(F.col("rank")), F.col("key"), value))
+    with_band = F.when(is_total & (F.col("key") == "total_jobs"), F.concat(own, F.array(*band))).otherwise(own)
+    return ranked.select(F.inline(with_band))
 
 
 def top_jobs(df: DataFrame, n: int = SHOWN_JOBS) -> DataFrame:

@@ -34,11 +34,10 @@ def snapshot(df: DataFrame) -> DataFrame:
         counts.entry("top_titles", title),
         counts.entry("top_companies", company),
     ]
-    counted = counts.tally(df, singles, [counts.entries("keywords", keywords(description))]).select("section", "key", "n")
-    whole = counted.where(F.col("section").isin("totals", "job_types")).withColumn("rank", F.lit(0))
-    top = counts.top_per_section(counted.where(~F.col("section").isin("totals", "job_types")), SHOWN_KEYWORDS)
-    top = top.where((F.col("rank") <= SHOWN_VALUES) | (F.col("section") == "keywords"))
-    return whole.unionByName(top).select("section", "rank", "key", "n")
+    counted = counts.tally(df, singles, [counts.entries("keywords", keywords(description))])
+    top = counts.top_per_section(counted, SHOWN_KEYWORDS, whole=("totals", "job_types"))
+    shown = top.where((F.col("rank") <= SHOWN_VALUES) | (F.col("section") == "keywords"))
+    return shown.select("section", "rank", "key", "n")
 
 
 def sample_jobs(df: DataFrame, order: list, n: int = SHOWN_JOBS) -> DataFrame:

@@ -1,7 +1,7 @@
 """Mid-level score, match score and profile match as plain boolean and number expressions.
 
-The columns these take are the ones ``plans.enrich`` prepares: a title, the year bounds, and the
-arrays of skills found in title and description.
+The columns these take are the ones ``plans.enrich`` prepares: a title, the year bounds, the arrays
+of skills found in title and description, and whether the seniority rules hold.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from pyspark.sql import Column, functions as F
 
 from ..config import DEFAULT, Config, Profile
 from .skills import in_list_order
-from .titles import has_senior_word, is_senior_title
 from .years import overlaps_band
 
 
@@ -26,7 +25,8 @@ def _count(found: Column, skills: tuple[str, ...]) -> Column:
     return F.size(in_list_order(found, tuple(s.lower() for s in skills)))
 
 
-def mid_level_score(title: Column, description_skills: Column, est_min: Column, cfg: Config = DEFAULT) -> Column:
+def mid_level_score(title: Column, description_skills: Column, est_min: Column, senior_word: Column,
+                    cfg: Config = DEFAULT) -> Column:
     """How likely a posting is mid-level (weights are fixed values)."""
     low = F.lower(title)
     n = _count(description_skills, cfg.key_skills)
@@ -37,7 +37,7 @@ def mid_level_score(title: Column, description_skills: Column, est_min: Column,
         (low.contains("software engineer"), 1),
         (n >= 3, 2),
         (n >= 7, 2),
-        (has_senior_word(title), -5),
+        (senior_word, -5),
         (low.contains("principal"), -5),
         (low.contains("director"), -5),
         (est_min >= 8, -4),
@@ -45,12 +45,12 @@ def mid_level_score(title: Column, description_skills: Column, est_min: Column,
     )
 
 
-def is_mid_level(title: Column, score: Column, est_min: Column, cfg: Config = DEFAULT) -> Column:
-    return ~is_senior_title(title, cfg) & F.coalesce(est_min <= 5, F.lit(True)) & (score >= 1.0)
+def is_mid_level(senior: Column, score: Column, est_min: Column) -> Column:
+    return ~senior & F.coalesce(est_min <= 5, F.lit(True)) & (score >= 1.0)
 
 
-def match_score(title: Column, text_skills: Column, est_min: Column, est_max: Column, is_listed: Column,
-                is_mid: Column, cfg: Config = DEFAULT, must: tuple[str, ...] = (), nice: tuple[str, ...] = (),
+def match_score(title: Column, text_skills: Column, est_min: Column, est_max: Column, either_senior: Column,
+                is_listed: Column, is_mid: Column, cfg: Config = DEFAULT, must: tuple[str, ...] = (), nice: tuple[str, ...] = (),
                 band_min: int | None = None, band_max: int | None = None) -> Column:
     """Personal fit (weights are fixed values); empty skill lists fall back to the settings."""
     must, nice = tuple(must or cfg.must_skills), tuple(nice or cfg.nice_skills)
@@ -64,7 +64,7 @@ def match_score(title: Column, text_skills: Column, est_min: Column, est_max: Co
         + _points(
             (low.contains("data engineer"), 3),
             (low.contains("analytics engineer"), 2),
-            (is_senior_title(title, cfg) | has_senior_word(title), -8),
+            (either_senior, -8),
             (est_min.between(lo, hi), 6),
             (est_min > hi, -6),
             (est_min.isNull(), 1),
@@ -80,9 +80,8 @@ def in_band(est_min: Column, est_max: Column, profile: Profile, cfg: Config = DE
     return overlaps_band(est_min, est_max, profile.min_years, profile.max_years, cfg.keep_unknown_years)
 
 
-def is_profile_match(title: Column, joined_skills: Column, est_min: Column, est_max: Column,
+def is_profile_match(either_senior: Column, joined_skills: Column, est_min: Column, est_max: Column,
                      profile: Profile, cfg: Config = DEFAULT) -> Column:
     """Any profile skill, not senior by either rule, and in the profile's band."""
     wanted = F.size(in_list_order(joined_skills, tuple(s.lower() for s in profile.skills))) > 0
-    junior = ~(is_senior_title(title, cfg) | has_senior_word(title))
-    return wanted & junior & in_band(est_min, est_max, profile, cfg)
+    return wanted & ~either_senior & in_band(est_min, est_max, profile, cfg)

@@ -54,8 +54,11 @@ def optional_string(c: Column) -> Column:
 
 
 def truth(c: Column) -> Column:
-    """Boolean from a boolean, number or text such as 'yes' / '1' / 'true'; else false."""
-    return F.coalesce(F.lower(strip(c.cast("string"))).isin("1", "1.0", "true", "yes", "y", "t"), F.lit(False))
+    """Boolean from a boolean, a number (not 0) or text such as 'yes' / '1' / 'true'; else false."""
+    as_text = F.lower(strip(c.cast("string")))
+    number = as_text.try_cast("double")
+    nonzero = F.coalesce((number != 0) & ~F.isnan(number), F.lit(False))
+    return F.coalesce(as_text.isin("true", "yes", "y", "t"), F.lit(False)) | nonzero
 
 
 def keywords(c: Column) -> Column:

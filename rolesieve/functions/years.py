@@ -37,6 +37,11 @@ _DIGITS = "".join(chr(i) for i in range(128, sys.maxunicode + 1) if unicodedata.
 _ASCII_DIGITS = "".join(str(unicodedata.digit(d)) for d in _DIGITS)
 
 
+# Stands for a match while the text is split there: a code point that is no character, swapped for
+# another such one where a text should hold it.  (Splitting by the pattern would compile it per row.)
+_MARK, _NOT_MARK = "\ufdd0", "\ufdd1"
+
+
 def _regex(pattern: str) -> str:
     """A raw SQL literal of a pattern for lower-case text, Unicode-aware without slow flags."""
     spelled = (
@@ -63,7 +68,8 @@ def _best_of(pattern: str) -> str:
     # Pieces between the matches give each match its 0-based position.
     located = f"""
         aggregate(
-          zip_with(ms, slice(split(s, {regex}, -1), 1, size(ms)), (m, gap) -> struct(gap, m)),
+          zip_with(ms, slice(split(regexp_replace(s, {regex}, '{_MARK}'), '{_MARK}', -1), 1, size(ms)),
+                   (m, gap) -> struct(gap, m)),
           struct(0 AS upto, CAST(array() AS ARRAY<STRUCT<pos: INT, m: STRING>>) AS hits),
           (acc, x) -> struct(
             acc.upto + length(x.gap) + length(x.m) AS upto,
@@ -88,7 +94,7 @@ def years_sql(text: str, scan_chars: int | None = SCAN_CHARS) -> str:
     """
     sample = f"left({text}, {scan_chars})" if scan_chars else text
     # Letters that fold to ASCII ones without case but not when lowered, one for one.
-    folded = f"lower(replace(replace(replace({sample}, 'İ', 'i'), 'ı', 'i'), 'ſ', 's'))"
+    folded = f"lower(replace(replace(replace(replace({sample}, 'İ', 'i'), 'ı', 'i'), 'ſ', 's'), '{_MARK}', '{_NOT_MARK}'))"
     ranked = ", ".join(_best_of(p) for p in YEAR_PATTERNS)
     return f"get(transform(array({folded}), s -> CASE WHEN s rlike {_regex(GATE)} THEN coalesce({ranked}) END), 0)"
 

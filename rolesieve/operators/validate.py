@@ -28,8 +28,13 @@ def normalise(df: DataFrame, keep: tuple[str, ...] = (), canonical: bool = False
     ``canonical`` says that job_url is canonical already, which spares working it out again.
     """
 
+    kinds = dict(df.dtypes)
+
     def raw(name: str) -> Column:
-        return F.col(name) if name in df.columns else F.lit(None).cast("string")
+        if name not in kinds:
+            return F.lit(None).cast("string")
+        # Times in ISO form, with a T.
+        return F.replace(F.col(name).cast("string"), F.lit(" "), F.lit("T")) if kinds[name].startswith("timestamp") else F.col(name)
 
     def text(name: str, default: str | None = None) -> Column:
         value = optional_string(raw(name))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import DEFAULT, Config, Profile
-from ..functions import scoring, years
+from ..functions import scoring, titles, years
 from ..functions.skills import SkillFinder, in_list_order
 
 ADDED = (
@@ -18,7 +18,7 @@ def enrich(df: DataFrame, cfg: Config = DEFAULT, profile: Profile | None = None,
            scan_chars: int | None = years.SCAN_CHARS, rescore_band: bool = False) -> DataFrame:
     """The analysis columns of every posting; null title and description become ''.
 
-    The two costly scans of the text (years, skills) run once per row: they sit in one inline()
+    The costly scans of the text (years, skills, seniority) run once per row: they sit in one inline()
     generator, which the optimizer neither copies nor moves filters through.  ``rescore_band`` lets
     the match score use the profile's band in place of the settings' band.
     """
@@ -40,6 +40,8 @@ def enrich(df: DataFrame, cfg: Config = DEFAULT, profile: Profile | None = None,
             finder.found(F.col("description")).alias("_in_description"),
             finder.found(F.col("title")).alias("_in_title"),
             finder.found_across(F.col("title"), F.col("description")).alias("_across"),
+            titles.is_senior_title(F.col("title"), cfg).alias("_senior"),
+            titles.has_senior_word(F.col("title")).alias("_senior_word"),
         ))),
     )
     hi = F.col("_years.hi")
@@ -47,7 +49,7 @@ def enrich(df: DataFrame, cfg: Config = DEFAULT, profile: Profile | None = None,
         *kept, "title", "description",
         F.col("_years.lo").alias("est_min_years"),
         F.when(hi <= years.MAX_YEARS, hi).alias("est_max_years"),
-        "_in_description",
+        "_in_description", "_senior", "_senior_word",
         # Title and description joined by a line break / by a blank.
         F.concat("_in_title", "_in_description").alias("_in_text"),
         F.concat("_in_title", "_in_description", "_across").alias("_joined"),
@@ -56,14 +58,16 @@ def enrich(df: DataFrame, cfg: Config = DEFAULT, profile: Profile | None = None,
     listed = F.coalesce(F.col("is_fortune_500").cast("boolean"), F.lit(False)) if "is_fortune_500" in kept else F.lit(False)
     band = (profile.min_years, profile.max_years) if rescore_band else (cfg.experience_min, cfg.experience_max)
     scored = measured.withColumn(
-        "mid_level_score", scoring.mid_level_score(title, F.col("_in_description"), lo, cfg)
-    ).withColumn("is_mid_level", scoring.is_mid_level(title, F.col("mid_level_score"), lo, cfg))
+        "mid_level_score", scoring.mid_level_score(title, F.col("_in_description"), lo, F.col("_senior_word"), cfg)
+    ).withColumn("is_mid_level", scoring.is_mid_level(F.col("_senior"), F.col("mid_level_score"), lo))
+    either_senior = F.col("_senior") | F.col("_senior_word")
     return scored.select(
         *kept, "title", "description", "est_min_years", "est_max_years", "mid_level_score", "is_mid_level",
         in_list_order(F.col("_joined"), cfg.my_skills or profile.skills).alias("matched_skills"),
         scoring.match_score(
-            title, F.col("_in_text"), lo, hi, listed, F.col("is_mid_level"), cfg, band_min=band[0], band_max=band[1]
+            title, F.col("_in_text"), lo, hi, either_senior, listed, F.col("is_mid_level"), cfg,
+            band_min=band[0], band_max=band[1],
         ).alias("match_score"),
-        scoring.is_profile_match(title, F.col("_joined"), lo, hi, profile, cfg).alias("is_profile_match"),
+        scoring.is_profile_match(either_senior, F.col("_joined"), lo, hi, profile, cfg).alias("is_profile_match"),
         scoring.in_band(lo, hi, profile, cfg).alias("in_experience_band"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 TITLES = (
     "Data Engineer", "Senior Data Engineer", "Analytics Engineer", "ETL Developer", "Backend Engineer",
@@ -72,7 +72,10 @@ def spread(df: DataFrame) -> DataFrame:
     The text scans that follow are CPU-bound.  Large inputs have splits enough and are left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    # inline() keeps filters of the derived columns from moving before the repartition.
+    return df.repartition(cores).select(F.inline(F.array(F.struct(*df.columns))))
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import DEFAULT, Config
+from ..functions.text import optional_string
 from ..functions.titles import is_listed_company, is_wanted_title
 from ..operators import dedupe
 from ..operators.ranking import output_order, top_n as take_top
@@ -21,6 +22,8 @@ def decide(raw: DataFrame, seen: DataFrame | None = None, cfg: Config = DEFAULT,
     stage is seen, invalid, unwanted title or kept; n_rows counts the fetched rows behind it.
     Only keys and flags are shuffled.
     """
+    if "url" in raw.columns:  # the other name some boards give it
+        raw = raw.withColumn("job_url", F.coalesce(optional_string(F.col("job_url")), optional_string(F.col("url"))))
     keys = dedupe.posting_keys(raw, seq, carry={
         "has_title": has_title(F.col("title")),
         "wanted": is_wanted_title(F.col("title"), cfg),

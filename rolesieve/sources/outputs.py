@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.display import display_columns
 
+# Columns of the report, in its order (fixed values).
 REPORT_COLUMNS = (
     "match_score", "matched_skills", "title", "company", "location", "site", "source_location",
     "source_query", "is_fortune_500", "is_mid_level", "mid_level_score", "est_min_years",

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,16 +28,22 @@ def local_session(cores: str = "*", app: str = "rolesieve", shuffle_partitions:
     )
 
 
+_own: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder path for a written intermediate table.
 
     It lies under the folder the cluster names in ``spark.checkpoint.dir``.  Only a local session
-    without that setting gets a temporary folder of its own.
+    without that setting gets a temporary folder of its own, removed when Python ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        if not spark.conf.get("spark.master", "").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="rolesieve-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+        app = spark.conf.get("spark.app.id")
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="rolesieve-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+        base = _own[app]
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

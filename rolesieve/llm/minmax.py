@@ -106,12 +106,8 @@ def _sets(docs: DataFrame, s: Settings) -> DataFrame:
     return docs.select("text").mapInArrow(work, "node long, shingles binary")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
-    """The links among pairs (a, b) of nodes, by their full sets, which only these nodes' texts give."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = reps.join(wanted, "node", "left_semi").select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi")
-    sets = stored(_sets(texts, s), "shingle-sets")
+def _confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """The links among pairs (a, b) of nodes, by their full sets."""
 
     def work(batches):
         for batch in batches:
@@ -151,13 +147,51 @@ def _possible(pairs: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
     )
 
 
+def _across(sets: DataFrame, torn: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a, b) of torn (node, component, apart) that may be linked across components, one of them apart.
+
+    Under one order of all shingles, rarest first, the first shingle that a linked pair shares lies
+    early in both sets, and as many must follow it in both as they share.  A text with many shingles
+    of its own has none to share early, so it meets nobody, however large its bucket.
+    """
+    own = stored(sets.join(torn, "node"), "torn-sets")
+
+    def explode(batches):
+        for batch in batches:
+            found = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("shingles")]
+            sizes = np.array([len(x) for x in found], np.int64)
+            for at in range(0, len(found), 256):
+                n = sizes[at:at + 256]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(batch.column("node").to_numpy()[at:at + 256], n)), pa.array(np.repeat(n, n)),
+                     pa.array(np.concatenate(found[at:at + 256]))], names=["node", "size", "shingle"])
+
+    rows = own.mapInArrow(explode, "node long, size long, shingle long")
+    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    order = Window.partitionBy("node").orderBy("f", "shingle")
+    ranked = (
+        rows.join(stored(shared, "shared"), "shingle")
+        .withColumn("among", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("node")))
+        .withColumn("at", F.col("size") - F.col("n") + F.col("among") - 1)
+        .where(100 * (F.col("size") - F.col("at")) >= s.percent * F.col("size"))
+    )
+    early = stored(ranked.select("node", "size", "shingle", "at").join(torn, "node"), "early-shingles")
+    one = early.where("apart").select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("node", "size", "at", "component")))
+    two = early.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("node", "size", "at", "component", "apart")))
+    follow = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    may = ((F.col("component_a") != F.col("component_b")) & (~F.col("apart_b") | (F.col("node_a") < F.col("node_b")))
+           & ((100 + s.percent) * follow >= s.percent * (F.col("size_a") + F.col("size_b"))))
+    return one.join(two, (one.shingle == two.shingle) & may).select(
+        F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of documents (doc_id, text, ...).
 
     Equal sets become one node first.  In each band's bucket all nodes are compared with the bucket's
-    smallest one; after that, only nodes of another component than that one's still meet the others
-    of their bucket, behind a check of sizes and signatures.  So a bucket of copies costs as many
-    comparisons as it has members, and no link is left out.  Links are confirmed on full sets.
+    smallest one.  Where a bucket then holds several components, the nodes apart from that one's meet
+    the others by the rarest shingles they share, which leaves out no link and never pairs a whole
+    bucket.  Links are confirmed on full sets.
 
     Null and empty texts, and texts of spaces only, have no shingles and link with nothing: each
     is its own component.  Repeated rows are equal sets.  Rows with a null doc_id are kept, with a
@@ -177,20 +211,24 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     members = stored(members.join(buckets.select("bucket", "center"), "bucket"), "members")
     pairs = members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     pairs = stored(_possible(pairs, reps, s), "pairs")
-    links = stored(_confirmed(pairs, docs, reps, s), "links")
+    # The sets of all nodes that share a bucket; only their texts are read again.
+    ids = reps.join(members.select("node").distinct(), "node", "left_semi").select("doc_id").distinct()
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi")
+    sets = stored(_sets(texts, s), "shingle-sets")
+    links = stored(_confirmed(pairs, sets, s), "links")
 
     known = components(links)
     placed = members.join(known, "node", "left").select("bucket", "center", "node", F.coalesce("component", "node").alias("component"))
     heads = known.select(F.col("node").alias("center"), F.col("component").alias("head"))
     placed = stored(placed.join(heads, "center", "left").withColumn("head", F.coalesce("head", "center")), "placed")
-    apart = placed.where("component <> head").select("bucket", F.col("node").alias("a"), F.col("component").alias("ca"))
-    others = placed.where("node <> center").select(
-        "bucket", F.col("node").alias("b"), F.col("component").alias("cb"), (F.col("component") != F.col("head")).alias("b_apart"))
-    more = apart.join(others, "bucket").where("ca <> cb AND (NOT b_apart OR a < b)").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = stored(_possible(more, reps, s), "pairs")
+    # A bucket of two is done: its pair has been compared.
+    of_more = placed.join(buckets.where("n > 2").select("bucket"), "bucket", "left_semi")
+    apart = of_more.where("component <> head")
+    beside = of_more.join(apart.select("bucket").distinct(), "bucket", "left_semi").where("node <> center")
+    torn = stored(beside.groupBy("node").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("head")).alias("apart")), "torn")
+    more = stored(_possible(_across(sets, torn, s), reps, s), "pairs")
     if not more.isEmpty():
-        links = stored(links.unionByName(_confirmed(more, docs, reps, s)), "links")
+        links = stored(links.unionByName(_confirmed(more, sets, s)), "links")
         known = components(links)
 
     # From nodes to documents: the smallest id of a component, over all rows of its nodes.

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import minmax, packing, secret_scan
+from . import bytecnn, crosspolytope, minmax, mixing, packing, perplexity, secret_scan, toolcalls, toxicity, warc
 from .common import table
 
 
@@ -17,10 +17,34 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.round_trip(table(spark, sf_dir, "pages")))
+
+
+def op2_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.quality(table(spark, sf_dir, "documents"))
+
+
+def op3_multiple_instance_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("sentences")
+
+
+def op4_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspolytope.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op6_byte_convolution_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytecnn.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.linked(table(spark, sf_dir, "conversations"))
+
+
 def op8_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -29,9 +53,13 @@ def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op10_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f) and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_secret_ownership": secret_scan.duckdb_sql()}
+    return {"op1_warc_transactions": warc.ORACLE, "op9_secret_ownership": secret_scan.duckdb_sql()}

@@ -113,7 +113,7 @@ def usable(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") ->
 
 
 def _best(q: np.ndarray, v: np.ndarray, qid: np.ndarray, vid: np.ndarray, k: int):
-    """(query, vector, score) of the k nearest vectors of each query, ties to the smaller id."""
+    """(query, vector, score) of the k nearest vectors of each query and those as near as the last."""
     a, b = _unit(q), _unit(v)
     out_q, out_v, out_s = [], [], []
     for at in range(0, len(a), 256):
@@ -125,7 +125,7 @@ def _best(q: np.ndarray, v: np.ndarray, qid: np.ndarray, vid: np.ndarray, k: int
         order = np.lexsort((vid[j], -s, i))
         i, j, s = i[order], j[order], s[order]
         nth = np.arange(len(i)) - np.searchsorted(i, i)
-        keep = nth < k
+        keep = (nth < k) | (s == s[np.searchsorted(i, i) + np.minimum(k, np.bincount(i)[i]) - 1])  # and whoever ties with the last
         out_q.append(qid[at + i[keep]]), out_v.append(vid[j[keep]]), out_s.append(s[keep])
     return record_batch(query=np.concatenate(out_q), vector=np.concatenate(out_v), score=np.concatenate(out_s))
 

@@ -188,8 +188,8 @@ def _across(sets: DataFrame, torn: DataFrame, s: Settings) -> DataFrame:
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of documents (doc_id, text, ...).
 
-    Equal sets become one node first.  In each band's bucket all nodes are compared with the bucket's
-    smallest one.  Where a bucket then holds several components, the nodes apart from that one's meet
+    Equal sets become one node first.  In each band's bucket all nodes are compared with one of
+    them, its center.  Where a bucket then holds several components, the nodes apart from that one's meet
     the others by the rarest shingles they share, which leaves out no link and never pairs a whole
     bucket.  Links are confirmed on full sets.
 
@@ -206,9 +206,14 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     bands = 2 * s.permutations // s.rows
     keys = F.array(*(F.xxhash64(F.lit(i), F.slice("signature", i * s.rows + 1, s.rows)) for i in range(bands)))
     members = reps.select("node", F.explode(keys).alias("bucket"))
-    buckets = stored(
-        members.groupBy("bucket").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    members = stored(members.join(buckets.select("bucket", "center"), "bucket"), "members")
+    sizes = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-sizes")
+    members = stored(members.join(sizes, "bucket"), "members")
+    # The center is the node with the most company in all its buckets: one that few edits set apart.
+    weights = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    weighed = stored(members.join(weights, "node"), "weighed")
+    buckets = weighed.groupBy("bucket").agg(F.max(F.col("weight")).alias("weight")).join(weighed, ["bucket", "weight"])
+    buckets = stored(buckets.groupBy("bucket", "n").agg(F.min("node").alias("center")), "buckets")
+    members = stored(members.drop("n").join(buckets.select("bucket", "center"), "bucket"), "members")
     pairs = members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     pairs = stored(_possible(pairs, reps, s), "pairs")
     # The sets of all nodes that share a bucket; only their texts are read again.

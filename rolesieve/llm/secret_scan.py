@@ -41,10 +41,11 @@ class Settings:
 def _spans(kind: str, pattern: str, group: int, least: int) -> Column:
     """All matches of a pattern in ``text``, in code points, leftmost first and without overlap.
 
-    The text is cut into pieces that each end with a match; their lengths add up to the ends.
+    The text is cut into pieces that each end with a match; their lengths add up to the ends.  \\G ties
+    a piece to the one before, so that what follows the last match is read once.
     """
     literal = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    pieces = F.when(F.col("text").rlike(_HINT[kind]), F.regexp_extract_all(F.col("text"), F.lit(f"(?s).*?(?:{pattern})"), F.lit(0)))
+    pieces = F.when(F.col("text").rlike(_HINT[kind]), F.regexp_extract_all(F.col("text"), F.lit(rf"(?s)\G.*?(?:{pattern})"), F.lit(0)))
     ends = F.expr(f"transform({kind}_lengths, (x, i) -> aggregate(slice({kind}_lengths, 1, i + 1), 0, (a, y) -> a + y))")
     spans = F.expr(
         f"filter(transform({kind}_pieces, (p, i) -> struct({kind}_ends[i] - length(regexp_extract(p, '{literal}', 0)) AS start, "

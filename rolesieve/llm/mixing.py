@@ -200,7 +200,7 @@ def resampled(docs: DataFrame, labels: DataFrame, domain: str = "lang", s: Setti
     model = learn(docs, labels, domain, s)
     k = len(model.domains)
     steps = fit(stored(memberships(docs, model, s), "memberships"), k, None, s)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, columns = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]):
         for part, texts in text_slices(batches):
@@ -208,6 +208,6 @@ def resampled(docs: DataFrame, labels: DataFrame, domain: str = "lang", s: Setti
             n = np.maximum(1, copies(r, part.column("_u").to_numpy()))
             for at in range(0, part.num_rows, 500):  # copies of long texts are sent in small parts
                 rows = np.repeat(np.arange(at, min(at + 500, part.num_rows)), n[at:at + 500])
-                yield part.select(docs.columns).take(pa.array(rows))
+                yield part.select(columns).take(pa.array(rows))
 
     return docs.withColumn("_u", _draw()).mapInArrow(work, docs.schema)

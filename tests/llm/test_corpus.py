@@ -380,7 +380,7 @@ def test_tool_calls(spark):
     got = {(r.conv_id, r.call_id): r for r in toolcalls.link(calls, results, toolcalls.SCHEMAS).collect()}
     assert {k: (r.status, r.level) for k, r in got.items()} == {
         ("1", "a"): ("ok", 0), ("1", "b"): ("invalid arguments", 1), ("1", "c"): ("ok", 2), ("1", "d"): ("cycle", None), ("1", "e"): ("cycle", None),
-        ("1", "f"): ("unknown tool", 0), ("2", "a"): ("unanswered", 0), ("", "a"): ("ok", 0), ("3", "z"): ("no call", None)}
+        ("1", "f"): ("unknown tool", 0), ("2", "a"): ("invalid arguments", 0), ("", "a"): ("ok", 0), ("3", "z"): ("no call", None)}
     assert got["1", "a"].message == '{"call":{"arguments":{"limit":2,"query":"é"},"id":"a","name":"search"},"result":"first"}' and got["1", "a"].n_calls == 2
     assert got["1", "b"].problems == ["$.limit: minimum", "$.query: required", "$.x: unknown"]
     assert toolcalls.canonical({"b": [1.5, None], "a": {"z": "\n", "y": True}}) == '{"a":{"y":true,"z":"\\n"},"b":[1.5,null]}'

@@ -55,7 +55,7 @@ SENIOR = _matches("title", DEFAULT.senior_title_patterns)
 SENIOR_EITHER = f"({SENIOR} OR {_matches('title', [SENIOR_WORD])})"
 LISTED = _matches("company", [_escaped(c) for c in DEFAULT.fortune_500_companies])
 LISTED_WORD = _matches("company", [rf"\b(?:{'|'.join(_escaped(c) for c in DEFAULT.fortune_500_companies)})\b"])
-HTTP = r"(regexp_matches(url, '^https?://[^/?#\s]+') AND length(url) <= 2083)"
+HTTP = r"(regexp_matches(url, '^https?://[^/?#\s]+'))"
 HAS_TITLE = "(title IS NOT NULL AND trim(title) <> '')"
 
 

@@ -25,9 +25,8 @@ NOISE_NEARBY = (
 )
 MAX_YEARS = 20
 WINDOW = 40
-# The rule reads a posting's first 4,000 characters: a later mention does not count.  This is part
-# of its result; pass scan_chars=None to read all of a text.
-SCAN_CHARS = 4000
+# Characters of a posting that are read; None reads all of it.
+SCAN_CHARS: int | None = None
 
 # Every pattern needs this, so texts without it skip all eight.
 GATE = r"\d\s*\+?\s*(?:year|yr)"

@@ -32,12 +32,15 @@ def skill_doc_freq(df: DataFrame, skills: tuple[str, ...] = DEFAULT.key_skills)
     return df.select(F.explode(hits).alias("skill")).groupBy("skill").agg(F.count(F.lit(1)).alias("n"))
 
 
-def dictionary_doc_freq(df: DataFrame, dictionary: DataFrame, text: Column, max_words: int = 1) -> DataFrame:
+def dictionary_doc_freq(df: DataFrame, dictionary: DataFrame, text: Column, max_words: int | None = None) -> DataFrame:
     """(skill, n) for a dictionary table of any size whose entries begin and end in a word character.
 
-    Phrases of up to ``max_words`` words are counted per text first and joined to the dictionary
+    Phrases of up to ``max_words`` words, by default as many as the longest entry has, are counted per text first and joined to the dictionary
     after, so what is shuffled grows with the vocabulary and no text meets every skill.
     """
+    if max_words is None:
+        runs = F.regexp_extract_all(F.col("skill"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+        max_words = dictionary.agg(F.max(F.size(runs)).alias("n")).first().n or 1
     phrases = F.flatten(F.array(*[
         F.regexp_extract_all(
             F.lower(text),

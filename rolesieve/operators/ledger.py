@@ -27,10 +27,10 @@ def import_ledger_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_ledger_batch(urls: DataFrame, path: str, batch_id: int) -> None:
-    """Write one batch's URLs as its own partition; writing the batch again replaces it."""
+    """Write one batch's URLs as its own partition; writing the batch again replaces it, by nothing too."""
     (
-        urls.select("job_url").distinct().withColumn("batch_id", F.lit(batch_id).cast("long"))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+        urls.select("job_url").distinct().write.mode("overwrite").option("partitionOverwriteMode", "static")
+        .parquet(f"{path}/batch_id={batch_id}")
     )
 
 

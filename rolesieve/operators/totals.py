@@ -29,8 +29,8 @@ def running_totals(previous: DataFrame, current: DataFrame) -> DataFrame:
 def write_totals_batch(counts: DataFrame, path: str, batch_id: int) -> None:
     """One batch's counts as its own partition: doing a batch again replaces it, never adds twice."""
     (
-        counts.select("skill", "n").withColumn("batch_id", F.lit(batch_id).cast("long"))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+        counts.select("skill", "n").write.mode("overwrite").option("partitionOverwriteMode", "static")
+        .parquet(f"{path}/batch_id={batch_id}")
     )
 
 

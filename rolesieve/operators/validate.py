@@ -10,12 +10,12 @@ from ..schema import POSTING_COLUMNS
 
 # What counts as a posting URL (fixed values).
 HTTP_URL = r"^https?://[^/?#\s]+"
-MAX_URL = 2083
 UNKNOWN = "Unknown"
 
 
-def is_http_url(url: Column) -> Column:
-    return F.coalesce(url.rlike(HTTP_URL) & (F.length(url) <= MAX_URL), F.lit(False))
+def is_http_url(url: Column, max_chars: int | None = None) -> Column:
+    ok = url.rlike(HTTP_URL)
+    return F.coalesce(ok & (F.length(url) <= max_chars) if max_chars else ok, F.lit(False))
 
 
 def has_title(title: Column) -> Column:

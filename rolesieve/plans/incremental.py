@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import DEFAULT, Config, Profile
 from ..operators.counts import skill_doc_freq
@@ -43,16 +44,28 @@ def _replace_batch(df: DataFrame, path: str, batch_id: int) -> DataFrame:
 
     Only that partition is listed and read, with the schema known, however many there are.
     """
-    spark = df.sparkSession
-    df = df.withColumn("batch_id", F.lit(batch_id).cast("long"))
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
-    reader = spark.read.schema(df.schema).option("basePath", path)
+    folder = f"{path}/batch_id={batch_id}"
+    df.drop("batch_id").write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(folder)
+    schema = df.drop("batch_id").withColumn("batch_id", F.lit(batch_id).cast("long")).schema
+    return df.sparkSession.read.schema(schema).option("basePath", path).parquet(folder)
+
+
+def first_batch_id(spark: SparkSession, store: Store, source: str) -> int:
+    """Where a source's own batch ids begin in the store: after all that are there when it comes first.
+
+    The number is kept in the store, so a source that starts again continues with its own batches.
+    Two sources must not come for the first time at once.
+    """
+    kept = f"{store.root}/sources/source={hashlib.sha256(source.encode()).hexdigest()}"
     try:
-        return reader.parquet(f"{path}/batch_id={batch_id}")
+        return spark.read.schema("first long").parquet(kept).first()["first"]
     except AnalysisException as exc:
         if exc.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], df.schema)
+    last = read_ledger(spark, store.ledger).agg(F.max("batch_id").alias("last")).first()["last"]
+    first = 0 if last is None or last < 0 else last + 1
+    spark.createDataFrame([(first,)], "first long").coalesce(1).write.mode("overwrite").parquet(kept)
+    return first
 
 
 def ingest_batch(raw: DataFrame, store: Store, batch_id: int, cfg: Config = DEFAULT, include_seen: bool = False,
@@ -75,11 +88,9 @@ def run_incremental(raw: DataFrame, store: Store, batch_id: int, cfg: Config = D
                     **analysis) -> DataFrame:
     """Ingest a batch, analyse it, store the enriched rows and the batch's skill counts.
 
-    A batch without new postings adds no rows anywhere.
+    A batch without new postings leaves its part of all four tables empty.
     """
     stored = ingest_batch(raw, store, batch_id, cfg, include_seen, seq)
-    if stored.isEmpty():
-        return stored
     enriched = _replace_batch(analyze(stored, cfg, profile, ordered=False, **analysis), store.enriched, batch_id)
     write_totals_batch(skill_doc_freq(enriched, cfg.key_skills), store.skill_totals, batch_id)
     return enriched

@@ -9,7 +9,7 @@ from ..config import DEFAULT, Config
 from ..functions.skills import SkillFinder, in_list_order
 from ..functions.urls import canonical_url
 from ..operators.counts import posting_text
-from ..plans.incremental import Store, ingest_batch
+from ..plans.incremental import Store, first_batch_id, ingest_batch
 from ..schema import RAW_POSTINGS
 
 
@@ -25,11 +25,13 @@ def read_landed(spark: SparkSession, path: str, schema: T.StructType = RAW_POSTI
 def start_new_only(landed: DataFrame, store: Store, checkpoint: str, cfg: Config = DEFAULT) -> StreamingQuery:
     """Each micro-batch goes through ingest_batch(): dedupe, ledger, validation, titles, flags.
 
-    The ledger is read anew per micro-batch, and a replayed micro-batch replaces its own output.
+    The ledger is read anew per micro-batch, and a replayed micro-batch replaces its own output.  A
+    checkpoint's batches follow those that the store had before, so another stream's stay.
     """
+    first = first_batch_id(landed.sparkSession, store, checkpoint)
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, store, batch_id, cfg)
+        ingest_batch(batch, store, first + batch_id, cfg)
 
     return (
         landed.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)

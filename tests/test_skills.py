@@ -49,5 +49,5 @@ def test_dictionary_of_phrases(spark):
     docs = spark.createDataFrame([(t,) for t in texts], "t string")
     entries = ["power bi", "ci/cd", "scikit-learn", "go"]
     dictionary = spark.createDataFrame([(e,) for e in entries], "skill string")
-    got = {r.skill: r.n for r in dictionary_doc_freq(docs, dictionary, F.col("t"), max_words=2).collect()}
+    got = {r.skill: r.n for r in dictionary_doc_freq(docs, dictionary, F.col("t")).collect()}
     assert got == {e: sum(_whole_word(t, e) for t in texts) for e in entries}

@@ -26,6 +26,22 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark, tmp_path):
     assert read_ledger(spark, store.ledger).count() == len(got)
 
 
+def test_two_checkpoints_share_a_store_and_an_empty_replay_empties(spark, tmp_path):
+    store, raw = Store(str(tmp_path / "s")), postings(spark, SF)
+    for b in range(2):
+        landed = str(tmp_path / f"landed{b}")
+        raw.where(F.col("batch_id") == b).write.parquet(landed)
+        streaming.start_new_only(streaming.read_landed(spark, landed), store, str(tmp_path / f"cp{b}")).awaitTermination()
+    one = Store(str(tmp_path / "b"))
+    for b in range(2):
+        run_incremental(raw.where(F.col("batch_id") == b), one, b)
+    urls = [{r.job_url for r in read_table(spark, s.postings).select("job_url").collect()} for s in (store, one)]
+    assert urls[0] == urls[1] and {r.batch_id for r in read_table(spark, store.postings).select("batch_id").distinct().collect()} == {0, 1}
+    run_incremental(raw.where("false"), one, 1)
+    for path in (one.postings, one.ledger, one.enriched, one.skill_totals):
+        assert {r.batch_id for r in read_table(spark, path).select("batch_id").distinct().collect()} == {0}
+
+
 def test_streamed_totals_equal_batch_totals(spark, tmp_path):
     landed = str(tmp_path / "landed")
     postings(spark, SF).write.parquet(landed)

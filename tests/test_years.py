@@ -61,10 +61,10 @@ def test_random_texts_against_brute_force(spark):
     assert not wrong, wrong[:3]
 
 
-def test_scan_limit_is_part_of_the_rule_and_can_be_lifted(spark):
+def test_whole_texts_are_read_unless_told_otherwise(spark):
     late = "word " * 1000 + "3-5 years of experience"
-    assert _estimates(spark, [late]) == [(None, None)]
-    assert _estimates(spark, [late], scan_chars=None) == [(3, 5)]
+    assert _estimates(spark, [late]) == [(3, 5)]
+    assert _estimates(spark, [late], scan_chars=4000) == [(None, None)]
 
 
 @pytest.mark.parametrize(

@@ -166,6 +166,7 @@ enriched AS (SELECT *, CAST(5 * n_must - 3 * ({len(DEFAULT.must_skills)} - n_mus
 
 VALID_WANTED = f"chosen AS (SELECT * FROM valid WHERE {WANTED})"
 ANALYSED_CTES = (P, VALID, VALID_WANTED, _enriched("chosen"))
+BEST_PLACE = "CAST(row_number() OVER (ORDER BY match_score DESC, in_experience_band DESC, is_mid_level DESC, is_fortune_500 DESC, job_url) AS INTEGER) AS rank"
 ANALYSED_COLUMNS = "seq, job_url, title, match_score, is_mid_level, is_profile_match, in_experience_band"
 REPORTED = (
     "concat_ws(' ', lower(title), lower(company), lower(location), lower(coalesce(site, '')), lower(coalesce(source_location, '')), "
@@ -188,16 +189,16 @@ def _top(section: str, source: str, key: str, k: int) -> str:
     )
 
 
-def _summary(src: str, skills: str, running: str) -> str:
+def _summary(src: str, skills: str, running: str, running_k: int = 30) -> str:
     total = [
-        ("total_jobs", "count(*)"), ("mid_level_jobs", "nullif(count(*) FILTER (is_mid_level), 0)"),
-        ("profile_match_jobs", "nullif(count(*) FILTER (is_profile_match), 0)"),
-        ("in_band_jobs", "nullif(count(*) FILTER (in_experience_band), 0)"), ("avg_est_min_years", "avg(lo)"),
-        ("avg_est_max_years", "avg(hi)"), ("experience_band_min", "max(2)"), ("experience_band_max", "max(4)"),
+        ("total_jobs", "count(*)"), ("mid_level_jobs", "count(*) FILTER (is_mid_level)"),
+        ("profile_match_jobs", "count(*) FILTER (is_profile_match)"),
+        ("in_band_jobs", "count(*) FILTER (in_experience_band)"), ("avg_est_min_years", "avg(lo)"),
+        ("avg_est_max_years", "avg(hi)"), ("experience_band_min", "coalesce(max(2), 2)"), ("experience_band_max", "coalesce(max(4), 4)"),
     ]
     parts = [f"SELECT 'totals' AS section, {i + 1} AS rank, '{k}' AS key, round(CAST({e} AS DOUBLE), 4) AS value FROM {src}" for i, (k, e) in enumerate(total)]
     parts.append(_top("top_skills", skills, "skill", 30))
-    parts.append(_top("persistent_total_recurrence", running, "skill", 30))
+    parts.append(_top("persistent_total_recurrence", running, "skill", running_k))
     degrees = " UNION ALL ".join(
         f"SELECT '{d}' AS degree FROM {src} WHERE regexp_matches(lower(concat(title, ' ', description)), '{rx}')" for d, rx in DEGREES.items()
     )
@@ -225,7 +226,7 @@ def _trend(src: str, words: str, listed: str) -> str:
 SELECT 'totals' AS section, CAST(0 AS INTEGER) AS rank, key, n FROM (
   SELECT unnest(['total', 'listed', 'other', 'united_states', 'india']) AS key,
          unnest([count(*), count(*) FILTER ({listed}), count(*) FILTER (NOT {listed}),
-                 count(*) FILTER (source_location = 'United States'), count(*) FILTER (source_location = 'India')]) AS n FROM {src}) t WHERE n > 0
+                 count(*) FILTER (source_location = 'United States'), count(*) FILTER (source_location = 'India')]) AS n FROM {src}) t
 UNION ALL SELECT 'job_types', 0, coalesce(job_type, 'unknown'), count(*) FROM {src} GROUP BY 3
 UNION ALL SELECT section, rank, key, CAST(value AS BIGINT) FROM ({_top('top_titles', src, 'title', 8)}) a
 UNION ALL SELECT section, rank, key, CAST(value AS BIGINT) FROM ({_top('top_companies', src, 'company', 8)}) b
@@ -345,7 +346,7 @@ def oracle_sql() -> dict[str, str]:
                          "(SELECT seq, lower(concat_ws(', ', location, source_location)) AS l FROM p) a) b",
         "years_estimated": _with(P, _years("p", "description")) + "SELECT p.seq, CAST(lo AS INTEGER) AS est_min_years, CAST(hi AS INTEGER) AS est_max_years FROM p LEFT JOIN years USING (seq)",
         "years_whole_texts": _with(
-            P, "long AS (SELECT doc_id AS seq, concat_ws(' ', text, description, text, description) AS t FROM documents JOIN p ON doc_id = seq)", _years("long", "t")
+            P, "long AS (SELECT doc_id AS seq, concat_ws(' ', text, description, text, description) AS t FROM documents LEFT JOIN p ON doc_id = seq)", _years("long", "t")
         ) + "SELECT long.seq, CAST(lo AS INTEGER) AS est_min_years, CAST(hi AS INTEGER) AS est_max_years FROM long LEFT JOIN years USING (seq)",
         "band_filter": _with(P, _years("p", "description"), "y AS (SELECT p.seq, CAST(lo AS INTEGER) AS lo, CAST(hi AS INTEGER) AS hi FROM p LEFT JOIN years USING (seq))")
                        + "SELECT keep_unknown, lo AS est_min_years, hi AS est_max_years, count(*) AS n FROM y, (SELECT unnest([true, false]) AS keep_unknown) u "
@@ -368,7 +369,7 @@ def oracle_sql() -> dict[str, str]:
             count(*) FILTER (st = 3) AS band_dropped, count(*) FILTER (st = 4) AS kept FROM (SELECT CASE WHEN NOT {WANTED} THEN 1 WHEN {SENIOR} THEN 2
             WHEN (lo IS NULL AND hi IS NULL) OR NOT in_experience_band THEN 3 ELSE 4 END AS st FROM enriched) t""",
         "score_range": analysed + "SELECT min(match_score) AS min_score, median(match_score) AS median_score, max(match_score) AS max_score FROM enriched",
-        "top_match_jobs": analysed + "SELECT CAST(row_number() OVER (ORDER BY match_score DESC, in_experience_band DESC, is_mid_level DESC, is_fortune_500 DESC, job_url) AS INTEGER) AS rank, "
+        "top_match_jobs": analysed + f"SELECT {BEST_PLACE}, "
                                      "title, company, location, match_score, job_url AS url FROM enriched ORDER BY rank LIMIT 6",
         "ranked_all": analysed + "SELECT seq, row_number() OVER (ORDER BY match_score DESC, in_experience_band DESC, is_mid_level DESC, is_fortune_500 DESC, job_url, seq) AS rank FROM enriched",
         "query_grid": _with(P, GRID_CTES) + "SELECT source_location, source_query, remote_only, count(p.seq) AS n FROM cells LEFT JOIN p USING (source_location, source_query) GROUP BY ALL",
@@ -394,12 +395,17 @@ def oracle_sql() -> dict[str, str]:
         "feed_b": p + f"""SELECT loc AS source_location, concat('adz-', seq) AS id, 'adzuna' AS site, job_url, title, company, location, date_posted, trim(description) AS description,
             nullif(CAST(seq % 4 * 1000 AS DOUBLE), 0) AS min_amount, nullif(CAST(seq % 3 * 2500.5 AS DOUBLE), 0) AS max_amount, {_currency(COUNTRY)} AS currency,
             contains(lower(description), 'remote') AS is_remote FROM (SELECT *, coalesce(source_location, 'Dhaka, Bangladesh') AS loc, lower(coalesce(source_location, 'Dhaka, Bangladesh')) AS l FROM p) t""",
+        "feed_ingested": _with(P, "fp AS (SELECT seq, job_url, title, company, coalesce(location, 'Remote') AS location FROM p)", _decided("d", "fp", None),
+                               "placed AS (SELECT seq, seq // 10 AS payload, CAST(row_number() OVER (PARTITION BY seq // 10 ORDER BY seq) - 1 AS INTEGER) AS place FROM p)")
+                         + "SELECT payload, place, url AS job_url, trim(title) AS title, coalesce(nullif(trim(company), ''), 'Unknown') AS company, location "
+                           "FROM d JOIN placed USING (seq) WHERE stage = 'kept'",
         "feed_c": p + "SELECT seq, site, title, CAST(seq % 2 * 50 AS INTEGER) AS source_offset, 'data engineer' AS source_query, 'India' AS source_location FROM p",
         "union_by_name": p + "SELECT seq, title, CAST(NULL AS VARCHAR) AS company FROM p UNION ALL SELECT seq, NULL, company FROM p",
         "market_summary": _with(*ANALYSED_CTES, VALID_SKILLS) + _summary("enriched", "es", "es"),
         "stored_summary": _with(P, VALID, _enriched("valid"), VALID_SKILLS, KEY_TEXT,
                                 "run AS (SELECT skill FROM es UNION ALL SELECT ks.skill FROM ks JOIN p USING (seq) WHERE batch_id = 0)") + _summary("enriched", "es", "run"),
-        "summary_document": _with(*ANALYSED_CTES, VALID_SKILLS) + _summary("enriched", "es", "es"),
+        "summary_document": _with(*ANALYSED_CTES, VALID_SKILLS, f"best AS (SELECT {BEST_PLACE}, * FROM enriched ORDER BY rank LIMIT 6)") + _summary("enriched", "es", "es", 1000)
+                            + " UNION ALL SELECT 'top_match_jobs', rank, job_url, match_score FROM best UNION ALL SELECT 'sample_jobs', rank, concat_ws(' | ', title, company, location, job_url), NULL FROM best",
         "totals_imported": _with(P, KEY_TEXT) + "SELECT skill, count(*) AS n FROM ks GROUP BY skill",
         "running_totals": _with(P, KEY_TEXT) + "SELECT skill, count(*) AS n FROM ks GROUP BY skill",
         "totals_replayed": _with(P, KEY_TEXT) + "SELECT skill, count(*) AS n FROM ks GROUP BY skill",
@@ -407,8 +413,8 @@ def oracle_sql() -> dict[str, str]:
         "top_keywords": _with(_keywords("documents", "text")) + "SELECT keyword, count(*) AS n FROM kw GROUP BY keyword ORDER BY n DESC, keyword LIMIT 12",
         "trend_snapshot": _with(P, ALL_INGESTED, "kept AS (" + _kept_rows("seq") + ")", _keywords("kept", "description"))
                           + _trend("kept", "kw", "is_fortune_500"),
-        "trend_log": _with(P, *[f"b{b} AS (SELECT * FROM p WHERE batch_id = {b}), " + _keywords(f"b{b}", "description").replace("kw AS", f"kw{b} AS") for b in (0, 1)])
-                     + " UNION ALL ".join(f"SELECT '2024-01-0{b + 1}' AS run, * FROM ({_trend(f'b{b}', f'kw{b}', 'false')}) t{b}" for b in (0, 1)),
+        "trend_log": _with(P, *[f"b{b} AS (SELECT * FROM p WHERE batch_id = {b}), " + _keywords(f"b{b}", "description").replace("kw AS", f"kw{b} AS") for b in range(3)])
+                     + " UNION ALL ".join(f"SELECT '2024-01-0{b + 1}' AS run, * FROM ({_trend(f'b{b}', f'kw{b}', 'false')}) t{b}" for b in range(3)),
         "trend_samples": _with(P, ALL_INGESTED, "kept AS (" + _kept_rows("seq") + ")") + "SELECT concat_ws(' | ', title, company, location, coalesce(source_location, 'None')) AS job FROM kept ORDER BY seq LIMIT 5",
         "html_text": f"SELECT page_id, {_html_text('html')} AS text FROM pages",
         "html_escaped": f"SELECT page_id, {_html_escaped('html')} AS html FROM pages",
@@ -418,7 +424,7 @@ def oracle_sql() -> dict[str, str]:
         "report_facets": p + " UNION ".join(f"SELECT '{c}' AS facet, trim({c}) AS value FROM p WHERE trim({c}) <> ''" for c in ("site", "source_location", "source_query")),
         "report_filtered": analysed + f"SELECT seq, title, match_score FROM enriched WHERE {CRITERIA}",
         "report_my_profile": analysed + "SELECT seq, title, lo AS est_min_years FROM enriched WHERE is_mid_level AND in_experience_band AND (lo IS NULL OR lo <= 4)",
-        "report_counts": analysed + f"SELECT count(*) FILTER ({CRITERIA}) AS visible, count(*) AS total, 'Filters: search \"engineer\" · mid=yes · years≤4 · match≥8.0' AS filters FROM enriched",
+        "report_counts": analysed + f"SELECT count(*) FILTER ({CRITERIA}) AS visible, count(*) AS total, 'Postings where query is engineer and mid and years at most 4 and match at least 8.0' AS filters FROM enriched",
         "report_sorted": analysed + "SELECT seq, job_url, source_location, lo AS est_min_years FROM enriched ORDER BY lower(source_location) DESC NULLS LAST, job_url",
         "report_export": analysed + f"SELECT {_display(False, title=chr(39).join(['concat(job_url, ', ' | ', ', title)']))} FROM enriched WHERE {CRITERIA}",
         "report_html_rows": analysed + f"SELECT {_html_row()} AS row FROM enriched",
@@ -429,7 +435,6 @@ def oracle_sql() -> dict[str, str]:
         "incremental_runs": _with(P, _batches(), _enriched("stored")) + "SELECT seq, job_url, batch_id, match_score FROM enriched",
         "stream_new_only": _with(P, _batches()) + "SELECT seq, job_url, batch_id FROM stored",
         "stream_skill_totals": _with(P, KEY_TEXT) + "SELECT skill, count(*) AS n FROM ks GROUP BY skill",
-        "stream_daily_counts": "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n FROM events "
-                               "WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1, 2",
+        "stream_daily_counts": "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
         "stream_first_within": p + f"SELECT DISTINCT {_canonical('job_url')} AS job_url FROM p",
     }

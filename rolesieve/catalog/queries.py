@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..config import DEFAULT, Profile
 from ..functions import display, text, titles, years
@@ -122,7 +122,7 @@ def years_estimated(spark, sf):
 
 def years_whole_texts(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), "text")
-    long = docs.join(postings(spark, sf).select("seq", "description"), "seq")
+    long = docs.join(postings(spark, sf).select("seq", "description"), "seq", "left")
     long = long.select("seq", F.concat_ws(" ", "text", "description", "text", "description").alias("long_text"))
     return years.with_years(long, "long_text", scan_chars=None).select("seq", "est_min_years", "est_max_years")
 
@@ -295,6 +295,19 @@ def feed_b(spark, sf):
     return feeds.feed_b(landed)
 
 
+def feed_ingested(spark, sf):
+    """Payloads of several postings, ten a payload, through the feed into ingestion by (payload, place)."""
+    item = F.struct(
+        F.col("seq").cast("string").alias("id"), F.col("job_url").alias("url"), "title",
+        F.col("company").alias("company_name"), F.col("location").alias("candidate_required_location"), "description")
+    # Ten rows a group at most.
+    payloads = postings(spark, sf).groupBy(F.floor(F.col("seq") / 10).alias("seq")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("seq").alias("place"), item.alias("item")))).alias("items"))
+    landed = payloads.select("seq", F.to_json(F.struct(F.transform("items", lambda e: e["item"]).alias("jobs"))).alias("payload"))
+    kept = ingest.ingest(feeds.feed_a(landed), append=True)
+    return kept.select(F.col("seq.payload").alias("payload"), F.col("seq.place").alias("place"), "job_url", "title", "company", "location")
+
+
 def feed_c(spark, sf):
     raw = postings(spark, sf).select("seq", "site", "title")
     pages = [feeds.feed_c(raw.where(F.col("seq") % 2 == i), offset) for i, offset in enumerate(grid.page_offsets(100))]
@@ -323,12 +336,29 @@ def stored_summary(spark, sf):
 
 
 def summary_document(spark, sf):
-    """The summary written as one JSON document, read back and unfolded."""
-    path = scratch_path(spark, "summary")
-    scored = _analysed(spark, sf, ordered=False)
-    outputs.write_json(summary.as_document(summary.summarize(scored), summary.top_jobs(scored)), path)
-    schema = "sections array<struct<section: string, rank: int, key: string, value: double>>"
-    return _summary(spark.read.schema(schema).json(path).select(F.inline("sections")))
+    """The summary written as one JSON document, read back and unfolded, the totals by the import of old summaries."""
+    path, kept = scratch_path(spark, "summary"), scratch_path(spark, "scored")
+    posting_files.overwrite_table(_analysed(spark, sf, ordered=False), kept)
+    scored = spark.read.parquet(kept)
+    written = summary.as_document(summary.summarize(scored), summary.top_jobs(scored), counts.skill_doc_freq(scored))
+    outputs.write_json(written, path)
+    shown = "array<struct<rank: int, title: string, company: string, location: string, match_score: double, url: string>>"
+    lines = "array<struct<rank: int, key: string, value: double>>"
+    fields = [*[f"{s} {lines}" for s in summary.SECTIONS], f"top_match_jobs {shown}", f"sample_jobs {shown}"]
+    document = spark.read.schema(", ".join(fields)).json(path)
+
+    def unfolded(section: str, key, value) -> Column:
+        return F.transform(section, lambda e: F.struct(
+            F.lit(section).alias("section"), e["rank"].alias("rank"), key(e).alias("key"), value(e).cast("double").alias("value")))
+
+    sections = [unfolded(s, lambda e: e["key"], lambda e: e["value"]) for s in summary.SECTIONS]
+    best = unfolded("top_match_jobs", lambda e: e["url"], lambda e: e["match_score"])
+    samples = unfolded("sample_jobs", lambda e: F.concat_ws(" | ", e["title"], e["company"], e["location"], e["url"]), lambda e: F.lit(None))
+    # As many rows as there are skills.
+    place = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("n"), "skill"))
+    running = totals.import_totals_json(spark, path).withColumn("section", F.lit(summary.RUNNING)).select(
+        "section", place.alias("rank"), F.col("skill").alias("key"), F.col("n").cast("double").alias("value"))
+    return _summary(document.select(F.inline(F.concat(*sections, best, samples))).unionByName(running))
 
 
 def totals_imported(spark, sf):
@@ -366,9 +396,9 @@ def trend_snapshot(spark, sf):
 
 
 def trend_log(spark, sf):
-    """Snapshots of two runs appended to one log."""
+    """Snapshots of three runs in one log, the second added twice."""
     path, p = scratch_path(spark, "trend"), postings(spark, sf)
-    for batch in (0, 1):
+    for batch in (0, 1, 1, 2):
         trend.append_snapshot(p.where(F.col("batch_id") == batch), path, f"2024-01-0{batch + 1} 12:00:00")
     return spark.read.parquet(path).select(F.date_format("run_ts", "yyyy-MM-dd").alias("run"), "section", "rank", "key", "n")
 
@@ -488,18 +518,19 @@ def stream_daily_counts(spark, sf):
     # The event times have no zone: read them as UTC whatever the session's zone.
     utc = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
     daily = streaming.counts_per_day(stream.withColumn("ts", utc), "ts", "event_type")
-    streaming.start_append(daily, out, checkpoint).awaitTermination()
-    return spark.read.parquet(out)
+    streaming.start_upserts(daily, out, checkpoint).awaitTermination()
+    return streaming.latest(spark, out, daily.schema, ["day", "event_type"])
 
 
 def stream_first_within(spark, sf):
     landed, out, checkpoint = (scratch_path(spark, n) for n in ("landed", "first", "first-state"))
     # Landing time: one second per posting, so the whole table lies within the delay.
     stamped = postings(spark, sf).withColumn("ingest_ts", F.timestamp_seconds(F.lit(1700000000) + F.col("seq")))
-    _land(stamped, landed)
-    stream = streaming.read_landed(spark, landed, stamped.schema)
-    streaming.start_append(streaming.first_within(stream, "ingest_ts", "3650 days").select("job_url"), out, checkpoint).awaitTermination()
-    return spark.read.parquet(out)
+    for batch in range(3):
+        _land(stamped.where(F.col("batch_id") == batch), landed)
+        stream = streaming.read_landed(spark, landed, stamped.schema).select("job_url", "ingest_ts")
+        streaming.start_first_within(stream, "ingest_ts", out, checkpoint, "3650 days").awaitTermination()
+    return spark.read.parquet(out).select("job_url")
 
 
 NOT_QUERIES = {"queries"}

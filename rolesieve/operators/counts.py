@@ -16,6 +16,10 @@ DEGREES = {
 }
 
 
+# Largest k that Spark limits within tasks by default, and the parts of a section beyond it.
+LIMITED_IN_TASKS, SECTION_PARTS = 1000, 256
+
+
 def posting_text() -> Column:
     return F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("description", F.lit("")))
 
@@ -89,16 +93,22 @@ def entries(section: str, keys: Column) -> Column:
     )
 
 
-def tally(df: DataFrame, singles: list[Column], arrays: list[Column] = (), earlier: DataFrame | None = None) -> DataFrame:
+def tally(df: DataFrame, singles: list[Column], arrays: list[Column] = (), earlier: DataFrame | None = None,
+          always: tuple[tuple[str, str], ...] = ()) -> DataFrame:
     """(section, key, n, amount) of all lines of all rows: one scan, one aggregation.
 
     Counts are summed within each task first, so the shuffle carries distinct keys, not lines.
-    ``earlier`` (section, key, n) holds counts of former runs to add.
+    ``earlier`` (section, key, n) holds counts of former runs to add.  ``always`` names the
+    (section, key) that have a line even where nothing is counted.
     """
     lines = F.concat(F.array_compact(F.array(*singles)), *arrays)
     out = df.select(F.inline(lines)).withColumn("n", F.lit(1).cast("long"))
     if earlier is not None:
         out = out.unionByName(earlier.select("section", "key", F.col("n").cast("double").alias("amount"), F.col("n").cast("long").alias("n")))
+    if always:
+        none = [F.struct(F.lit(s).alias("section"), F.lit(k).alias("key"), F.lit(0.0).alias("amount")) for s, k in always]
+        zeros = df.sparkSession.range(0, 1, 1, 1).select(F.inline(F.array(*none)))
+        out = out.unionByName(zeros.withColumn("n", F.lit(0).cast("long")))
     return out.groupBy("section", "key").agg(F.sum("n").alias("n"), F.sum("amount").alias("amount"))
 
 
@@ -107,9 +117,14 @@ def top_per_section(counts: DataFrame, k: int, whole: tuple[str, ...] = ()) -> D
 
     The limit on the rank is applied within every task before the shuffle, so a section with
     a billion distinct keys sends k rows per task.  All sections go through one window, so what
-    made ``counts`` runs once.
+    made ``counts`` runs once.  Spark has that limit for small k only: a larger k is applied to
+    hash parts of each section first, so no task gets a whole section.
     """
     in_whole = F.col("section").isin(*whole) if whole else F.lit(False)
+    if k > LIMITED_IN_TASKS:
+        part = Window.partitionBy("section", F.when(in_whole, F.col("key")), F.pmod(F.xxhash64("key"), F.lit(SECTION_PARTS)))
+        nth = F.row_number().over(part.orderBy(F.desc("n"), F.asc("key")))
+        counts = counts.withColumn("_nth", nth).where(F.col("_nth") <= k).drop("_nth")
     # A key of a whole section is a window of its own, so the limit never touches it.
     w = Window.partitionBy("section", F.when(in_whole, F.col("key"))).orderBy(F.desc("n"), F.asc("key"))
     top = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -38,10 +38,15 @@ def keep_first(df: DataFrame, key: str | list[str], order: list[str]) -> DataFra
 
 def posting_keys(df: DataFrame, seq: str = "seq", carry: dict[str, Column] | None = None,
                  null_company_is_known: bool = True) -> DataFrame:
-    """Narrow key table: arrival key, canonical URL, fingerprint or null when not comparable."""
-    location = F.col("location") if "location" in df.columns else F.lit(None)
-    print_ = fingerprint(F.col("title"), F.col("company"), location)
-    comparable = is_known_company(F.col("company"), null_company_is_known) & (F.length(print_) > 2)
+    """Narrow key table: arrival key, canonical URL, fingerprint or null when not comparable.
+
+    Without a title or company column nothing is comparable.
+    """
+    title, company, location = (F.col(c) if c in df.columns else F.lit(None).cast("string") for c in ("title", "company", "location"))
+    print_ = fingerprint(title, company, location)
+    comparable = is_known_company(company, null_company_is_known) & (F.length(print_) > 2)
+    if not {"title", "company"} <= set(df.columns):
+        comparable = F.lit(False)
     return df.select(
         F.col(seq).alias("seq"),
         canonical_url(F.col("job_url")).alias("job_url"),

@@ -86,21 +86,16 @@ SHOW_ALL: dict[str, Any] = {}
 
 
 def filter_label(**criteria: Any) -> str:
-    """Readable line of the active criteria."""
-    flag = {True: "yes", False: "no"}
-    shown = {
-        "query": lambda v: f'search "{str(v).strip().lower()}"',
-        "site": lambda v: f"site={v}",
-        "source_location": lambda v: f"location={v}",
-        "source_query": lambda v: f"term={v}",
-        "mid": lambda v: f"mid={flag[bool(v)]}",
-        "band": lambda v: f"band={'in' if v else 'stretch'}",
-        "fortune": lambda v: f"f500={flag[bool(v)]}",
-        "remote": lambda v: f"remote={flag[bool(v)]}",
-        "profile": lambda v: f"profile={flag[bool(v)]}",
-        "max_years": lambda v: f"years≤{v}",
-        "min_years": lambda v: f"years≥{v}",
-        "min_match": lambda v: f"match≥{v}",
-    }
-    parts = [show(criteria[k]) for k, show in shown.items() if criteria.get(k) not in (None, "")]
-    return "Filters: " + " · ".join(parts) if parts else "No filters active (showing all kept DE jobs)"
+    """Readable line of the criteria in the order given."""
+    worded = []
+    for name, value in criteria.items():
+        if value is None or value == "":
+            continue
+        what = name.removeprefix("min_").removeprefix("max_").replace("_", " ")
+        if isinstance(value, bool):
+            worded.append(what if value else f"not {what}")
+        elif what == name.replace("_", " "):
+            worded.append(f"{what} is {str(value).strip().lower()}")
+        else:
+            worded.append(f"{what} at {'least' if name.startswith('min_') else 'most'} {value}")
+    return "Postings where " + " and ".join(worded) if worded else "All postings"

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.text import optional_string
 from ..functions.titles import is_listed_company, is_wanted_title
+from ..functions.urls import canonical_url
 from ..operators import dedupe
 from ..operators.ranking import output_order, top_n as take_top
 from ..operators.validate import has_title, is_http_url, normalise
@@ -15,24 +16,38 @@ from ..sources.postings import union_by_name
 KEPT = "kept"
 
 
+def _with_job_url(raw: DataFrame) -> DataFrame:
+    """``job_url`` from whichever of its two names the frame has."""
+    if "url" not in raw.columns:
+        return raw
+    names = [c for c in ("job_url", "url") if c in raw.columns]
+    return raw.withColumn("job_url", F.coalesce(*[optional_string(F.col(c)) for c in names])).drop("url")
+
+
+def _title(raw: DataFrame) -> Column:
+    return F.col("title") if "title" in raw.columns else F.lit(None).cast("string")
+
+
 def decide(raw: DataFrame, seen: DataFrame | None = None, cfg: Config = DEFAULT, include_seen: bool = False,
            seq: str = "seq") -> DataFrame:
     """(seq, job_url, stage, n_rows): one row per deduplicated posting and where it ended.
 
     stage is seen, invalid, unwanted title or kept; n_rows counts the fetched rows behind it.
-    Only keys and flags are shuffled.
+    Only keys and flags are shuffled.  ``seq`` must be unique; see sources.postings.with_arrival_key.
     """
-    if "url" in raw.columns:  # the other name some boards give it
-        raw = raw.withColumn("job_url", F.coalesce(optional_string(F.col("job_url")), optional_string(F.col("url"))))
+    raw = _with_job_url(raw)
     keys = dedupe.posting_keys(raw, seq, carry={
-        "has_title": has_title(F.col("title")),
-        "wanted": is_wanted_title(F.col("title"), cfg),
+        "has_title": has_title(_title(raw)),
+        "wanted": is_wanted_title(_title(raw), cfg),
     })
     out = dedupe.first_per_fingerprint(dedupe.first_per_url(keys))
     if seen is None or include_seen:
         is_seen = F.lit(False)
     else:
-        out = out.join(seen.select("job_url").distinct().withColumn("_seen", F.lit(True)), "job_url", "left")
+        # From the batch's side first: a small batch can be broadcast, and only the ledger's hits move.
+        urls = raw.select(canonical_url(F.col("job_url")).alias("job_url"))
+        hits = seen.select("job_url").join(urls, "job_url", "left_semi").distinct()
+        out = out.join(hits.withColumn("_seen", F.lit(True)), "job_url", "left")
         is_seen = F.coalesce("_seen", F.lit(False))
     stage = (
         F.when(is_seen, "seen")
@@ -47,9 +62,12 @@ def rows_of(raw: DataFrame, decisions: DataFrame, cfg: Config = DEFAULT, seq: st
     """The kept postings in the fixed schema, listed companies flagged.
 
     Unwanted titles are dropped before the join, so the wide rows that move are near the final ones.
+    The URL is part of the join, so a key that was not unique cannot pair a row with another's URL.
     """
+    raw = _with_job_url(raw)
     kept = decisions.where(F.col("stage") == KEPT).select(F.col("seq").alias(seq), "job_url")
-    wide = raw.drop("job_url", "url").where(is_wanted_title(F.col("title"), cfg)).join(kept, seq)
+    wanted = raw.where(is_wanted_title(_title(raw), cfg)).withColumn("job_url", canonical_url(F.col("job_url")))
+    wide = wanted.join(kept, [seq, "job_url"])
     passed = [c for c in (seq, "batch_id") if c in wide.columns]
     listed = is_listed_company(F.col("company"), cfg.fortune_500_companies)
     return normalise(wide, keep=tuple(passed), canonical=True).withColumn("is_fortune_500", listed)

@@ -61,8 +61,9 @@ def market_tally(df: DataFrame, previous_totals: DataFrame | None = None, cfg: C
         *[counts.entry(section, value) for section, value in value_sections().items()],
         *[counts.entry("degree_counts", d, when=counts.mentions_degree(text, d)) for d in counts.DEGREES],
     ]
+    always = [("totals", "total_jobs"), ("totals", "mid_level_jobs"), *[("totals", key) for key, flag in flags[1:] if flag in has]]
     earlier = None if previous_totals is None else previous_totals.select(F.lit(RUNNING).alias("section"), F.col("skill").alias("key"), "n")
-    return counts.tally(df, singles, [counts.entries("top_skills", skills), counts.entries(RUNNING, skills)], earlier)
+    return counts.tally(df, singles, [counts.entries("top_skills", skills), counts.entries(RUNNING, skills)], earlier, tuple(always))
 
 
 def summarize(df: DataFrame, previous_totals: DataFrame | None = None, cfg: Config = DEFAULT,
@@ -105,13 +106,35 @@ def summarize_stored(df: DataFrame, previous_totals: DataFrame | None = None, cf
     return summarize(enrich(df, cfg), previous_totals, cfg, top_n=top_n)
 
 
-def as_document(summary: DataFrame, jobs: DataFrame) -> DataFrame:
-    """The summary as one JSON-ready row; its size is set by the top-k limits, not by the data."""
+SECTIONS = ("totals", "top_skills", "degree_counts", "jobs_by_site", "jobs_by_location", "top_titles", "top_companies")
+
+
+def as_document(summary: DataFrame, jobs: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """The summary as one JSON-ready row with a field per section.
+
+    The running totals are pairs, as operators.totals.import_totals_json reads them: all of
+    ``totals`` (skill, n) where given, else those the summary shows.  The row's size is set by the
+    top-k limits and the list of skills, not by the data.
+    """
+
+    def lines(section: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("section") == section, F.struct("rank", "key", "value"))))
+
+    def pairs(skill: Column, n: Column) -> Column:
+        listed = F.array_sort(F.collect_list(F.when(skill.isNotNull(), F.struct((-n).alias("below"), skill.alias("skill")))))
+        return F.transform(listed, lambda p: F.array(p["skill"], (-p["below"]).cast("string"))).alias(RUNNING)
+
+    running = F.when(F.col("section") == RUNNING, F.col("key"))
     sections = summary.groupBy().agg(
-        F.array_sort(F.collect_list(F.struct("section", "rank", "key", "value"))).alias("sections")
+        *[lines(s).alias(s) for s in SECTIONS], *([] if totals is not None else [pairs(running, F.col("value").cast("long"))])
     )
+    if totals is not None:
+        full = totals.groupBy().agg(pairs(F.col("skill"), F.col("n")))
+        sections = sections.withColumn("_one", F.lit(1)).join(full.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    samples = ("rank", "title", "company", "location", "url")
     shown = jobs.groupBy().agg(
-        F.array_sort(F.collect_list(F.struct("rank", "title", "company", "location", "match_score", "url"))).alias("top_match_jobs")
+        F.array_sort(F.collect_list(F.struct("rank", "title", "company", "location", "match_score", "url"))).alias("top_match_jobs"),
+        F.array_sort(F.collect_list(F.struct(*samples))).alias("sample_jobs"),
     )
     # Two one-row frames side by side.
     return sections.withColumn("_one", F.lit(1)).join(shown.withColumn("_one", F.lit(1)), "_one").drop("_one")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import keywords, truth
@@ -10,12 +12,13 @@ from ..operators import counts
 SHOWN_VALUES = 8
 SHOWN_KEYWORDS = 12
 SHOWN_JOBS = 5
+TOTALS = ("total", "listed", "other", "united_states", "india")
 
 
 def snapshot(df: DataFrame) -> DataFrame:
     """Totals, job-type mix, top titles, companies and keywords of a run's postings, from one scan.
 
-    Totals and the job-type mix are complete and unranked (rank 0).
+    Totals and the job-type mix are complete and unranked (rank 0); every total has its line, 0 too.
     """
     listed = truth(F.col("is_fortune_500")) if "is_fortune_500" in df.columns else F.lit(False)
 
@@ -34,7 +37,7 @@ def snapshot(df: DataFrame) -> DataFrame:
         counts.entry("top_titles", title),
         counts.entry("top_companies", company),
     ]
-    counted = counts.tally(df, singles, [counts.entries("keywords", keywords(description))])
+    counted = counts.tally(df, singles, [counts.entries("keywords", keywords(description))], always=tuple(("totals", k) for k in TOTALS))
     top = counts.top_per_section(counted, SHOWN_KEYWORDS, whole=("totals", "job_types"))
     shown = top.where((F.col("rank") <= SHOWN_VALUES) | (F.col("section") == "keywords"))
     return shown.select("section", "rank", "key", "n")
@@ -47,5 +50,7 @@ def sample_jobs(df: DataFrame, order: list, n: int = SHOWN_JOBS) -> DataFrame:
 
 
 def append_snapshot(df: DataFrame, path: str, run_ts: str) -> None:
-    """Append the run's snapshot, stamped with its time."""
-    snapshot(df).withColumn("run_ts", F.lit(run_ts).cast("timestamp")).write.mode("append").parquet(path)
+    """Add the run's snapshot, stamped with its time; adding the same run again replaces it."""
+    stamped = snapshot(df).withColumn("run_ts", F.lit(run_ts).cast("timestamp"))
+    folder = f"{path}/run=r{hashlib.sha256(run_ts.encode()).hexdigest()[:16]}"
+    stamped.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(folder)

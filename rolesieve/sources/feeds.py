@@ -22,10 +22,20 @@ def _kept(payloads: DataFrame, payload: str) -> list[str]:
     return [c for c in payloads.columns if c != payload]
 
 
-def feed_a(payloads: DataFrame, payload: str = "payload", clean_html: bool = True) -> DataFrame:
-    """Postings of board A: JSON text ``{"jobs": [...]}`` per row; other columns pass through."""
+def _elements(payloads: DataFrame, kept: list[str], items: Column, seq: str) -> DataFrame:
+    """One row per element of ``items``.  An arrival key of the payload becomes (payload, place), one per element."""
+    rows = payloads.select(*kept, F.posexplode(items).alias("_place", "_item"))
+    own = F.struct(F.col(seq).alias("payload"), F.col("_place").alias("place")).alias(seq)
+    return rows.select(*[own if c == seq else F.col(c) for c in kept], "_item.*")
+
+
+def feed_a(payloads: DataFrame, payload: str = "payload", clean_html: bool = True, seq: str = "seq") -> DataFrame:
+    """Postings of board A: JSON text ``{"jobs": [...]}`` per row; other columns pass through.
+
+    The arrival key ``seq``, if there is one, gets the place in the payload, so it stays unique.
+    """
     kept = _kept(payloads, payload)
-    jobs = payloads.select(*kept, F.inline(F.from_json(payload, FEED_A)["jobs"]))
+    jobs = _elements(payloads, kept, F.from_json(payload, FEED_A)["jobs"], seq)
     return jobs.select(
         *kept,
         F.concat(F.lit("rem-"), F.coalesce("id", F.lit("None"))).alias("id"),
@@ -44,13 +54,13 @@ def feed_a(payloads: DataFrame, payload: str = "payload", clean_html: bool = Tru
 
 
 def feed_b(payloads: DataFrame, payload: str = "payload", searched: str = "source_location",
-           clean_html: bool = True) -> DataFrame:
+           clean_html: bool = True, seq: str = "seq") -> DataFrame:
     """Postings of board B: JSON text ``{"results": [...]}`` per row, pay in the country's currency.
 
-    ``searched`` names the column with the location that was searched; it sets the country.
+    ``seq`` as for feed_a().  ``searched`` names the column with the location that was searched; it sets the country.
     """
     kept = _kept(payloads, payload)
-    results = payloads.select(*kept, F.inline(F.from_json(payload, FEED_B)["results"]))
+    results = _elements(payloads, kept, F.from_json(payload, FEED_B)["results"], seq)
 
     def pay(name: str) -> Column:
         return F.nullif(F.col(name).try_cast("double"), F.lit(0.0))

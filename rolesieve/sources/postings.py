@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..schema import POSTINGS
 
@@ -17,19 +17,38 @@ CSV_OPTIONS = {
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = POSTINGS) -> DataFrame:
-    """Postings from CSV with an explicit schema; a missing path gives no rows.
+    """Postings from CSV, columns found by their names in the header; a missing path gives no rows.
 
-    A quoted description may hold line breaks, so one file is one task: land many files, or use
+    Columns may come in any order; absent ones are null, further ones are left out.  All files of a
+    path need the same header: one that differs is refused, not read by position.  A quoted description may hold line breaks, so one file is one task: land many files, or use
     Parquet, for large tables.
     """
     try:
         # Empty text and null are told apart by the quotes.
-        return spark.read.schema(schema).options(**CSV_OPTIONS, emptyValue="", nullValue="\\N").csv(path)
+        landed = spark.read.options(**CSV_OPTIONS, enforceSchema=False, emptyValue="", nullValue="\\N").csv(path)
     except AnalysisException as exc:
-        if exc.getCondition() != "PATH_NOT_FOUND":
+        if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return spark.createDataFrame([], schema)
 
+    def typed(field: T.StructField) -> Column:
+        if field.name not in landed.columns:
+            return F.lit(None).cast(field.dataType)
+        value = F.col(f"`{field.name}`")
+        # Whole numbers may have been written as 3.0.
+        return value.try_cast("double").try_cast(field.dataType) if isinstance(field.dataType, T.IntegerType) else value.try_cast(field.dataType)
+
+    return landed.select(*[typed(f).alias(f.name) for f in schema])
+
+
+def with_arrival_key(landed: DataFrame, name: str = "seq") -> DataFrame:
+    """Adds a key that is unique, ordered by arrival and the same on every read: file time, file, row in the file.
+
+    ``landed`` must come straight from Parquet files, before any step that makes or merges rows.
+    """
+    parts = ("file_modification_time", "file_path", "row_index")
+    return landed.withColumn(name, F.struct(*[F.col(f"_metadata.{p}").alias(p) for p in parts]))
+
 
 def write_csv(df: DataFrame, path: str) -> None:
     options = {k: v for k, v in CSV_OPTIONS.items() if k != "multiLine"}

@@ -52,8 +52,8 @@ def test_report_filters(rows):
     assert urls(min_match=12.5) == ["ht"]  # compared as shown
     assert urls(**my_profile_view()) == ["ht", "u3"]
     counts = report.visible_counts(df, mid=True, max_years=4).first()
-    assert (counts.visible, counts.total, counts.filters) == (2, 3, "Filters: mid=yes · years≤4")
-    assert filter_label() == "No filters active (showing all kept DE jobs)"
+    assert (counts.visible, counts.total, counts.filters) == (2, 3, "Postings where mid and years at most 4")
+    assert filter_label() == "All postings"
 
 
 def test_report_sort_puts_blanks_last_both_ways(rows):
@@ -136,11 +136,14 @@ def test_trend_without_listed_column(rows, spark, tmp_path):
     df = rows([{"title": "Data Engineer", "company": "Acme", "location": "Remote", "source_location": "India", "description": "python SQL spark and python"}],
               "title string, company string, location string, source_location string, description string")
     got = {(r.section, r.key): (r["rank"], r.n) for r in trend.snapshot(df).collect()}
-    assert got[("totals", "total")] == (0, 1) and got[("totals", "other")] == (0, 1) and ("totals", "listed") not in got
+    assert got[("totals", "total")] == (0, 1) and got[("totals", "other")] == (0, 1) and got[("totals", "listed")] == (0, 0) == got[("totals", "united_states")]
     assert got[("keywords", "python")] == (1, 2) and got[("job_types", "unknown")] == (0, 1) and got[("totals", "india")] == (0, 1)
-    for day in ("2026-01-01 00:00:00", "2026-01-02 00:00:00"):
+    for day in ("2026-01-01 00:00:00", "2026-01-02 00:00:00", "2026-01-02 00:00:00"):  # the last is a replay
         trend.append_snapshot(df, str(tmp_path / "t"), day)
-    assert spark.read.parquet(str(tmp_path / "t")).select("run_ts").distinct().count() == 2
+    log = spark.read.parquet(str(tmp_path / "t"))
+    assert log.select("run_ts").distinct().count() == 2 and log.where("key = 'total'").count() == 2
+    empty = {r.key: r.n for r in trend.snapshot(df.limit(0)).collect()}
+    assert empty == {"total": 0, "listed": 0, "other": 0, "united_states": 0, "india": 0}
 
 
 def test_summary_works_without_optional_columns(rows):

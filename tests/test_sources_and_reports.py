@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 
 from rolesieve.config import DEFAULT, load_config
 from rolesieve.functions.places import country_of, currency_of
-from rolesieve.operators.counts import top_k
+from rolesieve.operators.counts import top_k, top_per_section
 from rolesieve.operators.filters import SHOW_ALL, filter_label, my_profile_view, report_filter
 from rolesieve.operators.ranking import ranked_all, report_sort
 from rolesieve.operators.totals import import_totals_json
-from rolesieve.plans import report, summary, trend
+from rolesieve.plans import ingest, report, summary, trend
 from rolesieve.sources import feeds, outputs, postings
 
 SHOWN = (
@@ -84,6 +84,13 @@ def test_csv_keeps_awkward_text(spark, tmp_path):
     assert postings.read_table(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_csv_columns_go_by_name(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('est_min_years,extra,title,is_remote,job_url,description\n3.0,?,"Data, Engineer",True,https://e.com/1,\n,?,ETL,no,https://e.com/2,"a\nb"\n')
+    first, second = postings.read_csv(spark, str(tmp_path / "x.csv")).orderBy("job_url").collect()
+    assert (first.title, first.est_min_years, first.is_remote, first.company, first.description) == ("Data, Engineer", 3, True, None, None)
+    assert (second.title, second.est_min_years, second.is_remote, second.description) == ("ETL", None, False, "a\nb")
+
+
 def test_text_dump(rows, spark, tmp_path):
     df = rows([{"n": 1, "title": "T", "company": "C", "job_url": "u", "description": "d1\nd2"}],
               "n int, title string, company string, location string, site string, job_url string, description string")
@@ -105,6 +112,29 @@ def test_feeds(spark):
     assert (row.id, row.company, row.location, row.min_amount, row.max_amount, row.currency, row.is_remote) == ("adz-9", "C", "L", None, 1500.5, "BDT", True)
 
 
+def test_elements_of_a_payload_have_keys_of_their_own(spark):
+    jobs = {"jobs": [{"id": i, "url": f"https://e.com/{i}", "title": "Data Engineer", "company_name": f"C{i}"} for i in range(3)]}
+    df = spark.createDataFrame([(1, json.dumps(jobs)), (2, '{"jobs": []}')], "seq long, payload string")
+    got = ingest.ingest(feeds.feed_a(df), append=True).collect()
+    assert sorted((r.seq.payload, r.seq.place, r.job_url, r.company) for r in got) == [(1, i, f"https://e.com/{i}", f"C{i}") for i in range(3)]
+
+
+def test_summary_document_keeps_all_totals_and_zeros(rows, spark, tmp_path):
+    df = rows([], "job_url string, title string, company string, location string, description string, is_mid_level boolean, match_score double")
+    path, totals = str(tmp_path / "d"), spark.createDataFrame([(f"s{i}", i) for i in range(1, 51)], "skill string, n long")
+    outputs.write_json(summary.as_document(summary.summarize(df), summary.top_jobs(df), totals), path)
+    assert {r.skill: r.n for r in import_totals_json(spark, path).collect()} == {f"s{i}": i for i in range(1, 51)}
+    read = spark.read.json(path).first()
+    assert {x.key: x.value for x in read.totals} == {"total_jobs": 0, "mid_level_jobs": 0, "experience_band_min": 2, "experience_band_max": 4}
+
+
+def test_long_top_lists_are_cut_in_parts_first(spark):
+    df = spark.range(5000).select(F.lit("s").alias("section"), F.concat(F.lit("k"), F.lpad("id", 5, "0")).alias("key"), (F.col("id") % 10).alias("n"))
+    got = {r.key: r["rank"] for r in top_per_section(df, 1500).collect()}
+    want = sorted(range(5000), key=lambda i: (-(i % 10), i))[:1500]
+    assert got == {f"k{i:05}": place for place, i in enumerate(want, 1)}
+
+
 def test_countries_and_currencies(spark):
     df = spark.createDataFrame([("Pune, India",), ("Bangladesh",), ("London, UK",), ("United Kingdom",), ("Remote",), (None,)], "l string")
     got = df.select(country_of(F.col("l")).alias("c"), currency_of(country_of(F.col("l"))).alias("m")).collect()

@@ -42,6 +42,20 @@ def test_two_checkpoints_share_a_store_and_an_empty_replay_empties(spark, tmp_pa
         assert {r.batch_id for r in read_table(spark, path).select("batch_id").distinct().collect()} == {0}
 
 
+def test_late_first_copies_pass_and_copies_within_the_delay_do_not(spark, tmp_path):
+    landed, out = str(tmp_path / "landed"), str(tmp_path / "out")
+    day = 86400
+    for batch in ([("a", 10), ("b", 10)], [("a", 11), ("c", 2), ("a", 30)], [("c", 2), ("b", 40)]):
+        rows = spark.createDataFrame([(f"https://e.com/{u}", d) for u, d in batch], "job_url string, d int")
+        stamped = rows.select("job_url", F.timestamp_seconds(F.col("d") * day).alias("at"))
+        stamped.write.mode("append").parquet(landed)
+        stream = streaming.read_landed(spark, landed, stamped.schema)
+        streaming.start_first_within(stream, "at", out, str(tmp_path / "cp"), "3 days").awaitTermination()
+    got = spark.read.parquet(out).select(F.right("job_url", F.lit(1)), (F.unix_timestamp("at") / day).cast("int"))
+    # c comes eight days late and is still the first; b's second copy lies beyond the delay.
+    assert sorted(map(tuple, got.collect())) == [("a", 10), ("b", 10), ("b", 40), ("c", 2)]
+
+
 def test_streamed_totals_equal_batch_totals(spark, tmp_path):
     landed = str(tmp_path / "landed")
     postings(spark, SF).write.parquet(landed)

@@ -110,7 +110,8 @@ def fit(counts: DataFrame, order: int) -> DataFrame:
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
         usable = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0)
         cut = lambda k: F.when(usable, F.greatest(F.lit(0.05), F.least(F.lit(k - 0.05), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")))).otherwise(0.5)
-        n = n.select("lang", *(cut(k).alias(f"d{k}") for k in (1, 2, 3)))
+        # Written, so that its size is known before the join: a row a language, sent rather than all n-grams dealt by language.
+        n = stored(n.select("lang", *(cut(k).alias(f"d{k}") for k in (1, 2, 3))), "discounts")
         level = level.join(n, "lang").withColumn("context", F.shiftright("gram", 8))
         level = level.withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
         contexts = level.groupBy("lang", "context").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("left"))

@@ -19,7 +19,10 @@ class Settings:
     """A sentence is toxic with probability sigmoid(leak + the weights of its words' features).
 
     Training takes at most ``toxic`` and ``clean`` labelled documents of up to ``max_bytes`` each.
-    ``leak`` is the log-odds of a sentence without evidence.
+    ``leak`` is the log-odds of a sentence without evidence.  A document's noisy-or is over what its
+    sentences have beyond that, so sentences without evidence add nothing, however many there are.  In
+    scoring, sentences below ``threshold`` do not add up either, as a long clean text has thousands of
+    a little evidence: without one that reaches it, the document has the score of its worst sentence.
     """
 
     toxic: int = 1500
@@ -80,11 +83,14 @@ def train(labelled: list[tuple[str, int]], s: Settings = Settings()) -> np.ndarr
     in_sentence = np.diff(np.append(sentences, len(words)))
     in_bag = np.diff(np.append(bags, len(sentences)))
     m, v = np.zeros_like(w), np.zeros_like(w)
+    none = np.logaddexp(0, s.leak)
     for step in range(1, s.epochs + 1):
         z = s.leak + np.add.reduceat(np.add.reduceat(w[flat], first)[words], sentences)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        clean = np.add.reduceat(-np.logaddexp(0, np.clip(z, -30, 30)), bags)  # log of the product of 1 - p
-        share = np.where(y == 1, np.exp(clean) / np.maximum(-np.expm1(clean), 1e-9), -1.0)
+        beyond = np.minimum(none - np.logaddexp(0, np.clip(z, -30, 30)), 0)  # log of (1 - p) / (1 - sigmoid(leak))
+        clean = np.add.reduceat(beyond, bags)
+        # A toxic document that has no evidence yet asks the same of all its sentences.
+        share = np.where(y == 1, np.exp(clean) / np.maximum(-np.expm1(clean), in_bag * -np.expm1(-none)), -1.0)
         dz = np.repeat(share, in_bag) * p
         by_word = np.bincount(words, np.repeat(dz, in_sentence), len(first))
         g = np.bincount(flat, np.repeat(by_word, per_word), s.features) / len(y)
@@ -99,6 +105,8 @@ class Judge:
 
     def __init__(self, weights: np.ndarray, s: Settings):
         self.weights, self.s, self.known = weights, s, {}
+        self.none = float(np.logaddexp(0.0, s.leak))
+        self.least = max(s.leak, float(np.log(s.threshold / (1 - s.threshold))))
 
     def _word(self, word: str) -> float:
         if len(self.known) >= self.s.remembered:
@@ -107,8 +115,8 @@ class Judge:
         return score
 
     def document(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        """Noisy-or over the sentences, and (start, end, score) of the offending ones."""
-        clean, found = 0.0, []
+        """Noisy-or over the sentences' evidence, and (start, end, score) of the offending ones."""
+        clean, top, found = 0.0, self.s.leak, []
         known, word = self.known, self._word
         lowered = text.lower()
         same = len(lowered) == len(text)  # else positions are looked up in the text as it is
@@ -121,10 +129,12 @@ class Judge:
                 x = known.get(w)
                 z += word(w) if x is None else x
             z = min(max(z, -30.0), 30.0)
-            clean -= float(np.logaddexp(0.0, z)) if z > -8 else np.e ** z
+            top = max(top, z)
+            if z >= self.least:
+                clean -= float(np.logaddexp(0.0, z)) - self.none
             if z >= 0 and (p := 1 / (1 + np.e ** -z)) >= self.s.offending:
                 found.append((m.start(), m.end(), p))
-        return -float(np.expm1(clean)), found
+        return max(0.0, -float(np.expm1(min(clean, self.none - float(np.logaddexp(0.0, top)))))), found
 
 
 def score(docs: DataFrame, weights: np.ndarray, s: Settings = Settings()) -> DataFrame:
@@ -158,7 +168,7 @@ def judged(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Data
 
     Null and empty texts have no sentences and score 0.  Repeated rows are scored each for itself.  A
     null doc_id stays null and is not held out.  Null labels are not learnt from; without labels of
-    both classes every score is that of sentences without evidence.  An empty table gives no rows;
+    both classes every score is 0.  An empty table gives no rows;
     other columns are ignored.
     """
     return score(docs, learn(docs, labels, s), s).select("doc_id", held_out(4, 2).alias("held_out"), "score", "predicted", "sentences")

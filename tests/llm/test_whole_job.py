@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rolesieve.llm import minmax
-from test_corpus import DOCS, find, shingle_set
+from rolesieve.llm import minmax, toxicity
+from test_corpus import DOCS, find, made_texts, shingle_set
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +35,24 @@ def test_the_near_dedup_stage_links_from_four_fifths(spark):
     kept = corpus_pipeline.without_near_copies(spark, docs, SF)
     assert {r.doc_id for r in kept.collect()} == set(want.values())
     assert {r.component_id for r in minmax.near_duplicates(docs).collect()} == set(strict.values())
+
+
+def test_length_alone_makes_no_text_toxic(spark):
+    rows = made_texts(300)
+    rng = np.random.default_rng(5)
+    prose = ". ".join(" ".join(f"w{x}" for x in rng.integers(0, 60, 8)) for _ in range(120_000))
+    assert len(prose) > 3_000_000
+    long = {900: "zyxq 17\n" * 20_000, 901: prose, 902: prose + ". you utter blockhead w1 w2"}
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + list(long.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.judged(docs, labels).collect()}
+    assert {d: got[d] for d in long} == {900: 0, 901: 0, 902: 1}
+    assert {900, 901} <= {r.doc_id for r in toxicity.clean_documents(docs, labels).select("doc_id").collect()}
+    # Thousands of sentences of a little evidence each are no toxic text; two of much evidence add up.
+    s = toxicity.Settings()
+    weights = np.zeros(s.features, np.float32)
+    weights[toxicity.features("hm", s.features)] = 6.0
+    weights[toxicity.features("ow", s.features)] = 9.5
+    judge = toxicity.Judge(weights, s)
+    assert judge.document("hm\n" * 50_000)[0] == pytest.approx(judge.document("hm")[0]) and judge.document("none " * 9)[0] == 0
+    assert judge.document("ow. ow")[0] == pytest.approx(1 - (1 - judge.document("ow")[0]) ** 2)

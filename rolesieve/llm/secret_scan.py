@@ -32,10 +32,15 @@ SPAN = "array<struct<start:int, end:int, kind:string, value_hash:string>>"
 @dataclass(frozen=True)
 class Settings:
     """A further token is a live credential with letters, a digit, ``distinct`` different characters
-    and at most ``owners`` owners."""
+    and at most ``owners`` owners.
+
+    By texts, as mask() judges, copies of one text have one owner together, and a value in more than
+    ``texts`` different texts is a copied example, whoever owns them.
+    """
 
     distinct: int = 10
     owners: int = 1
+    texts: int = 100
 
 
 def _spans(kind: str, pattern: str, group: int, least: int) -> Column:
@@ -91,13 +96,22 @@ def ownership(values: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_owners"), F.sum("n_repositories").alias("n_repositories"), F.sum("n").alias("n"))
 
 
-def scan(docs: DataFrame, s: Settings = Settings(), owner: str = "source") -> DataFrame:
+def ownership_by_text(values: DataFrame) -> DataFrame:
+    """(value_hash, n_owners, n_texts) of candidates (value_hash, owner, text_hash): the copies of a text
+    have one owner together, the smallest."""
+    each = values.groupBy("value_hash", "text_hash").agg(F.min("owner").alias("owner"))
+    per_owner = each.groupBy("value_hash", "owner").agg(F.count(F.lit(1)).alias("n_texts"))
+    return per_owner.groupBy("value_hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n_texts").alias("n_texts"))
+
+
+def scan(docs: DataFrame, s: Settings = Settings(), owner: str = "source", by_text: bool = False) -> DataFrame:
     """(doc_id, text_hash, base, spans, n_assign, n_access, n_hex, n_live, n_copied), a row per document.
 
     base and spans hold (start, n, end, kind, value_hash) in the order of start and kind; spans are the
     base ones and, as kind "owned", the further tokens whose value has at most ``owners`` owners.
     n_live counts base and further spans with such values, n_copied those that more owners have.
-    A document is a repository, its ``owner`` column names the owner; a null owner is one owner.
+    A document is a repository, its ``owner`` column names the owner; a null owner is one owner.  With
+    ``by_text``, values are judged by owners of different texts and by the number of these.
 
     A null text is empty; repeated rows are scanned each for itself and count as one repository; a
     null doc_id stays null.  An empty table gives no rows; other columns are ignored.
@@ -108,9 +122,12 @@ def scan(docs: DataFrame, s: Settings = Settings(), owner: str = "source") -> Da
     found = _with_spans(columns, s).select("doc_id", "owner", F.xxhash64("text").alias("text_hash"), "base", "more")
     found = stored(found.withColumn("row", F.monotonically_increasing_id()), "secrets")
     holders = found.where("size(base) + size(more) > 0")
-    values = holders.select("row", "owner", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("repository"),
+    values = holders.select("row", "owner", "text_hash", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("repository"),
                             F.explode(F.expr("array_distinct(transform(concat(base, more), x -> x.value_hash))")).alias("value_hash"))
-    known = stored(ownership(values).select("value_hash", (F.col("n_owners") <= s.owners).alias("live")), "owners")
+    few = F.col("n_owners") <= s.owners
+    judged = ownership_by_text(values).select("value_hash", (few & (F.col("n_texts") <= s.texts)).alias("live")) if by_text else (
+        ownership(values).select("value_hash", few.alias("live")))
+    known = stored(judged, "owners")
     # A row per document and value: values of one owner only, so that copied ones are not moved again.
     live = values.select("row", "value_hash").join(known.where("live").select("value_hash"), "value_hash")
     live = live.groupBy("row").agg(F.collect_list("value_hash").alias("live"))
@@ -135,8 +152,12 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def mask(docs: DataFrame, s: Settings = Settings(), owner: str = "source", sign: str = "[SECRET]") -> DataFrame:
-    """documents with every found span replaced by ``sign`` and n_chars set anew; other texts as they are."""
-    found = scan(docs, s, owner).where("size(spans) > 0").select(
+    """documents with every found span replaced by ``sign`` and n_chars set anew; other texts as they are.
+
+    Owners are counted by text: a token stays a secret when its document has a copy in another source,
+    and is none when one source has it in more than ``texts`` texts.
+    """
+    found = scan(docs, s, owner, by_text=True).where("size(spans) > 0").select(
         F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), F.col("spans").alias("_spans"))
     # Rows of one id and text have the same base spans, and the same further ones but for their owners.
     found = found.groupBy("_doc_id", "_text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_spans")))).alias("_spans"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rolesieve.llm import minmax, toxicity
+from rolesieve.llm import minmax, secret_scan, toxicity
 from test_corpus import DOCS, find, made_texts, shingle_set
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +56,14 @@ def test_length_alone_makes_no_text_toxic(spark):
     judge = toxicity.Judge(weights, s)
     assert judge.document("hm\n" * 50_000)[0] == pytest.approx(judge.document("hm")[0]) and judge.document("none " * 9)[0] == 0
     assert judge.document("ow. ow")[0] == pytest.approx(1 - (1 - judge.document("ow")[0]) ** 2)
+
+
+def test_masking_counts_texts_as_well_as_owners(spark):
+    example, copied, own = "Ab1cd2ef3gh4ij5kl6mn7", "Zk3x9Qp7Lm2Wn8Rt5Vy1Bc", "Qq8ww7ee6rr5tt4yy3uu2"
+    rows = [(i, f"sample {example} of text {i}", "hot") for i in range(3000)]
+    rows += [(5000, f"key {copied} end", "s1"), (5001, f"key {copied} end", "s2")]
+    rows += [(6000 + i, f"mine {own} of {i}", "s3") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = {r.doc_id: r.text for r in secret_scan.mask(docs).collect()}
+    assert all(got[i] == t for i, t, s in rows if s == "hot")
+    assert got[5000] == got[5001] == "key [SECRET] end" and got[6000] == "mine [SECRET] of 0" and len(got) == len(rows)

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import stored
 
@@ -67,12 +67,33 @@ def levels(calls: DataFrame) -> DataFrame:
         placed = placed.unionByName(done)
 
 
+def numbered(df: DataFrame, order: list[str], name: str, which: str = "true") -> DataFrame:
+    """df with the running count, within each conv_id, of the rows where ``which`` holds, in this order.
+
+    Rows are range-partitioned by conv_id and the order and written once, so that a conversation may
+    be longer than a task takes; what it has in earlier partitions is added, a row a partition.
+    """
+    keys = ["conv_id", *order]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored(df.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()), "numbered")
+    here = Window.partitionBy("conv_id", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.groupBy("conv_id", "_part").agg(F.count_if(F.expr(which)).alias("_n"), F.count(F.lit(1)).alias("_all"))
+    ends = stored(ends, "ends")
+    # Only conversations that lie in several partitions have rows before a partition.
+    split = ends.groupBy("conv_id").agg(F.count(F.lit(1)).alias("_parts")).where("_parts > 1").select("conv_id")
+    past = Window.partitionBy("conv_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = stored(ends.join(split, "conv_id").select("conv_id", "_part", F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_before")), "before")
+    counted = rows.withColumn(name, F.count_if(F.expr(which)).over(here))
+    return counted.join(before, ["conv_id", "_part"], "left").withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_part", "_before")
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """A row per call id of calls (conv_id, call_id, turn, name, arguments, needs) with its result of
     results (conv_id, call_id, turn, content).
 
-    Returns (conv_id, call_id, turn, level, name, n_calls, n_results, status, problems, message): ordered
-    by conv_id, level, turn and call_id, every call comes after those it needs.  status is, in this
+    Returns (conv_id, call_id, turn, level, position, name, n_calls, n_results, status, problems, message).
+    The rows are in no order; position counts a conversation's calls from 1 by level, turn and call_id,
+    so that every call comes after those it needs; calls without a level have none.  status is, in this
     order: cycle, unknown tool, invalid arguments, unanswered, ok.  message is canonical JSON of the call
     and its result.  Of several calls or results with one id in a conversation, that of the smallest
     turn counts, ties to the smaller name and text.  Results without a call come as rows of status
@@ -91,7 +112,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     results = results.where("call_id IS NOT NULL").select(conv, "call_id", F.col("turn").alias("rturn"), "content")
     results = results.groupBy("conv_id", "call_id").agg(
         F.min(F.struct("rturn", "content")).alias("r"), F.count(F.lit(1)).alias("n_results")).select("conv_id", "call_id", "r.content", "r.rturn", "n_results")
-    joined = calls.join(results.hint("shuffle_hash"), ["conv_id", "call_id"], "full").join(levels(calls), ["conv_id", "call_id"], "left")
+    leveled = levels(calls).join(calls.select("conv_id", "call_id", "turn"), ["conv_id", "call_id"])
+    placed = numbered(leveled, ["level", "turn", "call_id"], "position").drop("turn")
+    joined = calls.join(results.hint("shuffle_hash"), ["conv_id", "call_id"], "full").join(placed, ["conv_id", "call_id"], "left")
 
     def work(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -113,12 +136,12 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
                 wrong.append(found if r["n_calls"] is not None else [])
                 call = None if r["n_calls"] is None else {"arguments": arguments if not isinstance(arguments, dict) or _finite(arguments) else None, "id": r["call_id"], "name": r["name"]}
                 message.append(canonical({"call": call, "result": r["content"]}))
-            keep = batch.select(["conv_id", "call_id", "turn", "level", "name", "n_calls", "n_results"])
+            keep = batch.select(["conv_id", "call_id", "turn", "level", "position", "name", "n_calls", "n_results"])
             yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(status, pa.string()), pa.array(wrong, pa.list_(pa.string())), pa.array(message, pa.string())],
                                              names=[*keep.schema.names, "status", "problems", "message"])
 
-    ready = joined.select("conv_id", "call_id", F.coalesce("turn", "rturn").cast("long").alias("turn"), "level", "name", "arguments", "content", "n_calls", "n_results")
-    return ready.mapInArrow(work, "conv_id string, call_id string, turn long, level int, name string, n_calls long, n_results long, status string, problems array<string>, message string")
+    ready = joined.select("conv_id", "call_id", F.coalesce("turn", "rturn").cast("long").alias("turn"), "level", "position", "name", "arguments", "content", "n_calls", "n_results")
+    return ready.mapInArrow(work, "conv_id string, call_id string, turn long, level int, position long, name string, n_calls long, n_results long, status string, problems array<string>, message string")
 
 
 def _finite(value) -> bool:
@@ -138,27 +161,64 @@ SCHEMAS = {
 }
 
 
-def derived(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results made from the turns of conversations (conv_id, turn, role, text).
+def turns(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text, nth, call_id): all turns of conversations (conv_id, turn, role, text).
+
+    nth counts the assistant's turns so far.  Each assistant's turn makes the call of its number; the
+    first user's turn after it, before the next assistant's, is that call's result.  Other turns have
+    a null call_id.
+    """
+    told = conversations.select(
+        F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.col("text").cast("string").alias("text"))
+    nth = numbered(told, ["turn", "role", "text"], "nth", "role = 'assistant'")
+    # Of the user's turns that follow one assistant's turn, the first answers.
+    answers = nth.where("role = 'user' AND nth > 0").groupBy("conv_id", "nth").agg(F.min(F.struct("turn", "text")).alias("first"))
+    answers = answers.select("conv_id", "nth", F.col("first.turn").alias("_turn"), F.col("first.text").alias("_text"))
+    mine = nth.join(answers, ["conv_id", "nth"], "left")
+    answer = (F.col("role") == "user") & F.col("turn").eqNullSafe(F.col("_turn")) & F.col("text").eqNullSafe(F.col("_text")) & (F.col("nth") > 0)
+    call_id = F.when((F.col("role") == "assistant") | answer, call_name(F.col("nth")))
+    return mine.select("conv_id", "turn", "role", "text", "nth", call_id.alias("call_id"))
+
+
+def call_name(nth: Column) -> Column:
+    return F.concat(F.lit("call-"), nth.cast("string"))
 
-    An assistant's turn calls a tool with arguments from its text, after the call of the turn half as
-    far into the conversation; the user's next turn is the result.
+
+def derived(told: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results made from turns().
+
+    An assistant's turn calls a tool with arguments from its text, after the call of the assistant's
+    turn half as far into the conversation.
     """
     words = F.size(F.split(F.coalesce("text", F.lit("")), " "))
-    call_id = lambda turn: F.concat(F.lit("call-"), turn.cast("string"))
-    name = F.when(F.col("turn") % 4 == 1, "search").when(F.col("turn") % 16 == 15, "other").otherwise("measure")
-    before = (F.floor((F.col("turn") - 1) / 4) * 2 + 1).cast("long")
-    arguments = F.when(F.col("turn") % 4 == 1, F.to_json(F.struct(
-        F.substring_index(F.coalesce("text", F.lit("")), " ", 3).alias("query"), words.alias("limit"), F.when(F.col("turn") > 1, call_id(before)).alias("after"))))
+    nth = F.col("nth")
+    search = nth % 2 == 1
+    name = F.when(search, "search").when(nth % 8 == 0, "other").otherwise("measure")
+    before = call_name(F.floor((nth + 1) / 2))
+    arguments = F.when(search, F.to_json(F.struct(
+        F.substring_index(F.coalesce("text", F.lit("")), " ", 3).alias("query"), words.alias("limit"), F.when(nth > 1, before).alias("after"))))
     arguments = arguments.otherwise(F.to_json(F.struct(F.length(F.coalesce("text", F.lit(""))).alias("n_chars"))))
-    calls = conversations.where("role = 'assistant'").select(
-        "conv_id", call_id(F.col("turn")).alias("call_id"), "turn", name.alias("name"), arguments.alias("arguments"),
-        F.when(F.col("turn") > 1, F.array(call_id(before))).alias("needs"))
-    results = conversations.where("role = 'user' AND turn > 0").select(
-        "conv_id", call_id(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    calls = told.where("role = 'assistant'").select(
+        "conv_id", "call_id", "turn", name.alias("name"), arguments.alias("arguments"), F.when(nth > 1, F.array(before)).alias("needs"))
+    results = told.where("role = 'user' AND call_id IS NOT NULL").select("conv_id", "call_id", "turn", F.col("text").alias("content"))
     return calls, results
 
 
 def linked(conversations: DataFrame) -> DataFrame:
-    """link() over the calls and results derived from whole conversations."""
-    return link(*derived(conversations), SCHEMAS)
+    """Whole conversations as chat: a row of kind "turn" for each turn, of kind "call" for each call.
+
+    The call rows are those of link() over the derived calls and results.  A turn row has the turn's
+    role as status, the call it makes or answers as call_id, and as message canonical JSON of role,
+    whole text and that call.  Repeated rows are turns each for itself.
+    """
+    told = stored(turns(conversations), "turns")
+    called = link(*derived(told), SCHEMAS).withColumn("kind", F.lit("call"))
+
+    def work(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            message = [canonical({"call": r["call_id"], "content": r["text"], "role": r["role"]}) for r in batch.to_pylist()]
+            keep = batch.select(["conv_id", "call_id", "turn", "role"])
+            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(message, pa.string())], names=["conv_id", "call_id", "turn", "status", "message"])
+
+    chat = told.mapInArrow(work, "conv_id string, call_id string, turn long, status string, message string").withColumn("kind", F.lit("turn"))
+    return chat.unionByName(called, allowMissingColumns=True).select("kind", *(c for c in called.columns if c != "kind"))

@@ -1,11 +1,13 @@
 """Where an operator once did less than the whole job."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rolesieve.llm import minmax, secret_scan, toxicity
+from rolesieve.llm import minmax, secret_scan, toolcalls, toxicity
 from test_corpus import DOCS, find, made_texts, shingle_set
 
 SF = "/root/testdata/sf0.001"
@@ -67,3 +69,33 @@ def test_masking_counts_texts_as_well_as_owners(spark):
     got = {r.doc_id: r.text for r in secret_scan.mask(docs).collect()}
     assert all(got[i] == t for i, t, s in rows if s == "hot")
     assert got[5000] == got[5001] == "key [SECRET] end" and got[6000] == "mine [SECRET] of 0" and len(got) == len(rows)
+
+
+def test_conversations_that_begin_with_a_system_turn_are_linked(spark):
+    said = {1: "suauauaua", 2: "uauaua", 3: "suuaauu", 4: "ua" * 700, None: "su"}
+    role = {"s": "system", "u": "user", "a": "assistant"}
+    rows = [(c, i, role[r], f"text {i} of é {c} and more") for c, own in said.items() for i, r in enumerate(own)]
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    got = toolcalls.linked(docs).collect()
+    told = [r for r in got if r.kind == "turn"]
+    assert sorted((r.conv_id, r.turn, r.status) for r in told) == sorted((str(c or ""), i, x) for c, i, x, _ in rows)
+    texts = {(str(c or ""), i): (x, t) for c, i, x, t in rows}
+    for r in told:
+        x, t = texts[r.conv_id, r.turn]
+        assert r.message == toolcalls.canonical({"role": x, "content": t, "call": r.call_id})
+    calls = {(r.conv_id, r.call_id): r for r in got if r.kind == "call"}
+    assert len(calls) == sum(x == "assistant" for _, _, x, _ in rows) and all(r.status != "no call" for r in calls.values())
+    for c, own in said.items():  # brute force: numbers, results, levels, positions
+        at = [i for i, r in enumerate(own) if r == "a"]
+        level = {}
+        for k, i in enumerate(at, 1):
+            level[k] = 0 if k == 1 else level[(k + 1) // 2] + 1
+            r = calls[str(c or ""), f"call-{k}"]
+            end = at[k] if k < len(at) else len(own)
+            answer = next((j for j in range(i + 1, end) if own[j] == "u"), None)
+            assert (r.turn, r.level, r.n_results) == (i, level[k], None if answer is None else 1)
+            assert json.loads(r.message)["result"] == (None if answer is None else texts[str(c), answer][1])
+            assert r.name == ("search" if k % 2 else "other" if k % 8 == 0 else "measure")
+        order = sorted(level, key=lambda k: (level[k], at[k - 1]))
+        assert [calls[str(c or ""), f"call-{k}"].position for k in order] == list(range(1, len(order) + 1))
+    assert calls["1", "call-3"].status == "ok" and json.loads(calls["1", "call-3"].message)["call"]["arguments"]["after"] == "call-2"

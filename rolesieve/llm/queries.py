@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bytecnn, crosspolytope, minmax, mixing, packing, perplexity, secret_scan, toolcalls, toxicity, warc
+from . import bytecnn, crosspolytope, minmax, mixing, packing, perplexity, secret_scan, seekable, segments, toolcalls, toxicity, warc
 from .common import table
 
 
@@ -57,9 +57,18 @@ def op10_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_segment_filtered_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.mined(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)[0]
+
+
+def op12_seekable_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seekable.round_trip(table(spark, sf_dir, "documents"), tokenizer())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f) and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_transactions": warc.ORACLE, "op9_secret_ownership": secret_scan.duckdb_sql()}
+    return {"op1_warc_transactions": warc.ORACLE, "op9_secret_ownership": secret_scan.duckdb_sql(),
+            "op11_segment_filtered_negatives": segments.ORACLE}

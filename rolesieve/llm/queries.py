@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bytecnn, crosspolytope, minmax, mixing, packing, perplexity, secret_scan, seekable, segments, toolcalls, toxicity, warc
+from . import bytecnn, collocations, crosspolytope, minmax, mixing, packing, perplexity, secret_scan, seekable, segments, toolcalls, toxicity, warc
 from .common import table
 
 
@@ -65,10 +65,14 @@ def op12_seekable_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seekable.round_trip(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op13_suffix_tree_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f) and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_warc_transactions": warc.ORACLE, "op9_secret_ownership": secret_scan.duckdb_sql(),
-            "op11_segment_filtered_negatives": segments.ORACLE}
+            "op11_segment_filtered_negatives": segments.ORACLE, "op13_suffix_tree_collocations": collocations.ORACLE}

@@ -9,8 +9,10 @@ from ..functions.urls import TRACKING_KEYS
 from ..functions.years import NOISE_NEARBY, YEAR_PATTERNS
 from ..operators.counts import DEGREES
 from ..sources.fixtures import postings_sql
-from .queries import GRID, SITES
+from .queries import GRID, LEDGER_BATCHES, SHARED_TURNS, SITES
 
+# A stream's batches have its own numbers.
+SHARED_NAMES = [(who, SHARED_TURNS[:i].count(who)) for i, who in enumerate(SHARED_TURNS)]
 P = f"p AS ({postings_sql()})"
 
 
@@ -63,8 +65,8 @@ def _with(*ctes: str) -> str:
     return "WITH " + ", ".join(ctes) + " "
 
 
-def _decided(name: str, src: str, seen: str | None) -> str:
-    """CTEs: winners of both dedupe steps of ``src`` with their stage."""
+def _decided(name: str, src: str, seen: str | None, kept: str = "") -> str:
+    """CTEs: winners of both dedupe steps of ``src`` with their stage; ``kept`` may be MATERIALIZED."""
     is_seen = f"url IN (SELECT job_url FROM {seen})" if seen else "false"
     return f"""
 {name}_k AS (SELECT *, {_canonical('job_url')} AS url, {FINGERPRINT} AS fp FROM {src}),
@@ -73,7 +75,7 @@ def _decided(name: str, src: str, seen: str | None) -> str:
 {name}_g AS (SELECT *, CASE WHEN coalesce(lower(company) <> 'unknown', true) AND length(fp) > 2 THEN fp
              ELSE concat('#', CAST(seq AS VARCHAR)) END AS grp FROM {name}_u),
 {name}_w AS (SELECT * FROM (SELECT * EXCLUDE (rn), row_number() OVER (PARTITION BY grp ORDER BY seq) AS rn2 FROM {name}_g) t WHERE rn2 = 1),
-{name} AS (SELECT *, CASE WHEN {is_seen} THEN 'seen' WHEN NOT {HAS_TITLE} OR NOT {HTTP} THEN 'invalid'
+{name} AS {kept} (SELECT *, CASE WHEN {is_seen} THEN 'seen' WHEN NOT {HAS_TITLE} OR NOT {HTTP} THEN 'invalid'
            WHEN NOT {WANTED} THEN 'unwanted title' ELSE 'kept' END AS stage FROM {name}_w)"""
 
 
@@ -233,17 +235,18 @@ UNION ALL SELECT section, rank, key, CAST(value AS BIGINT) FROM ({_top('top_comp
 UNION ALL SELECT section, rank, key, CAST(value AS BIGINT) FROM ({_top('keywords', words, 'keyword', 12)}) c"""
 
 
-def _batches() -> str:
-    """CTEs kept(seq, job_url, batch_id, ...): three batches, each against the URLs kept before it."""
+def _batches(n: int = 3, which: str = "batch_id", named: list[tuple[str, int]] | None = None) -> str:
+    """CTEs ending in stored: n batches, each against the URLs kept before it; ``named`` gives (source, batch_id) of each."""
     ctes, seen = [], None
-    for b in range(3):
-        ctes.append(f"r{b} AS (SELECT * FROM p WHERE batch_id = {b})")
-        ctes.append(_decided(f"t{b}", f"r{b}", seen))
+    for b in range(n):
+        ctes.append(f"r{b} AS (SELECT * FROM p WHERE {which} = {b})")
+        ctes.append(_decided(f"t{b}", f"r{b}", seen, "MATERIALIZED"))
         before = f"SELECT job_url FROM {seen} UNION " if seen else ""
-        ctes.append(f"s{b} AS ({before}SELECT url AS job_url FROM t{b} WHERE stage = 'kept')")
+        ctes.append(f"s{b} AS MATERIALIZED ({before}SELECT url AS job_url FROM t{b} WHERE stage = 'kept')")
         seen = f"s{b}"
-    union = " UNION ALL ".join(f"SELECT seq, batch_id, {_fixed('url', LISTED)} FROM t{b} WHERE stage = 'kept'" for b in range(3))
-    ctes.append(f"stored AS ({union})")
+    own = [f"'{named[b][0]}' AS source, CAST({named[b][1]} AS BIGINT) AS batch_id" if named else "batch_id" for b in range(n)]
+    union = " UNION ALL ".join(f"SELECT seq, {own[b]}, {_fixed('url', LISTED)} FROM t{b} WHERE stage = 'kept'" for b in range(n))
+    ctes.append(f"stored AS MATERIALIZED ({union})")
     return ", ".join(ctes)
 
 
@@ -433,6 +436,11 @@ def oracle_sql() -> dict[str, str]:
         "table_appended": p + "SELECT seq, title, CASE WHEN batch_id > 0 THEN company END AS company FROM p",
         "text_dump": _with(P, VALID) + f"SELECT seq, {BLOCK} AS block FROM valid",
         "incremental_runs": _with(P, _batches(), _enriched("stored")) + "SELECT seq, job_url, batch_id, match_score FROM enriched",
+        "store_shared": _with(P, _batches(len(SHARED_TURNS), f"seq % {len(SHARED_TURNS)}", SHARED_NAMES)) + "SELECT seq, job_url, source, batch_id, true AS in_ledger FROM stored",
+        "ledger_levels": _with(P, f"k AS MATERIALIZED (SELECT DISTINCT (seq % {LEDGER_BATCHES * 7}) // 7 AS batch, {_canonical('job_url')} AS job_url FROM p)",
+                               "f AS (SELECT job_url, min(batch) AS first FROM k WHERE job_url <> '' GROUP BY job_url)", "m AS (SELECT count(DISTINCT first) AS n FROM f)")
+                         + "SELECT CAST(batch AS BIGINT) AS batch, count(*) AS n_seen, min(job_url) AS first_seen, (SELECT n % 8 + n // 8 % 8 + n // 64 FROM m) AS n_runs "
+                           "FROM k JOIN f USING (job_url) WHERE batch > first GROUP BY batch",
         "stream_new_only": _with(P, _batches()) + "SELECT seq, job_url, batch_id FROM stored",
         "stream_skill_totals": _with(P, KEY_TEXT) + "SELECT skill, count(*) AS n FROM ks GROUP BY skill",
         "stream_daily_counts": "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..config import DEFAULT, Profile
 from ..functions import display, text, titles, years
 from ..functions.urls import canonical_url
-from ..operators import counts, dedupe, filters, grid, ledger, ranking, totals, validate
+from ..operators import counts, dedupe, filters, grid, ledger, levelled, ranking, totals, validate
 from ..plans import analyze, incremental, ingest, report, summary, trend
 from ..plans.enrich import enrich
 from ..session import scratch_path
@@ -21,6 +21,9 @@ from ..streaming import incremental as streaming
 SITES = ("linkedin", "indeed", "remotive")
 GRID = replace(DEFAULT, locations=("India", "Remote", "United States", "Bangladesh"))
 SNOWFLAKE = Profile(("snowflake", "dbt"), 2, 6)
+# Whose turn it is on the shared store, and the batches of the levelled ledger.
+SHARED_TURNS = ("a", "b", "batch", "a", "b")
+LEDGER_BATCHES = 50
 REPORT_CRITERIA = {"query": "engineer", "mid": True, "max_years": 4, "min_match": 8.0}
 
 
@@ -42,6 +45,17 @@ def _later_canonical(spark: SparkSession, sf: str) -> DataFrame:
     return _later_postings(spark, sf).select("seq", canonical_url(F.col("job_url")).alias("job_url"))
 
 
+def _canonical_keys(spark: SparkSession, sf: str) -> DataFrame:
+    keys = postings(spark, sf).select(F.floor(F.pmod(F.col("seq"), F.lit(LEDGER_BATCHES * 7)) / 7).alias("batch"), canonical_url(F.col("job_url")).alias("job_url"))
+    return _kept(keys.where("job_url <> ''"), "keys")
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def canonical_urls(spark, sf):
     urls = table(spark, sf, "pages").select(F.lit("pages").alias("source"), F.col("page_id").alias("id"), F.col("url").alias("raw"))
     urls = urls.unionByName(postings(spark, sf).select(F.lit("postings").alias("source"), F.col("seq").alias("id"), F.col("job_url").alias("raw")))
@@ -485,8 +499,44 @@ def incremental_runs(spark, sf):
     store, p = incremental.Store(scratch_path(spark, "store")), postings(spark, sf)
     for batch in (0, 1, 1, 2):  # batch 1 is replayed
         incremental.run_incremental(p.where(F.col("batch_id") == batch), store, batch)
-    rows = posting_files.read_table(spark, store.enriched)
-    return rows.select("seq", "job_url", F.col("batch_id").cast("long").alias("batch_id"), "match_score")
+    return incremental.read(spark, store, "enriched").select("seq", "job_url", "batch_id", "match_score")
+
+
+def store_shared(spark, sf):
+    """Two streams and a batch run take turns on one store; the first stream comes back, the batch is run again."""
+    store, p = incremental.Store(scratch_path(spark, "store"), fan=3), postings(spark, sf)
+    landed, checkpoint = ({s: scratch_path(spark, f"{kind}-{s}") for s in "ab"} for kind in ("landed", "checkpoint"))
+    for turn, who in enumerate(SHARED_TURNS):
+        part = p.where(F.col("seq") % len(SHARED_TURNS) == turn)
+        if who == "batch":
+            for _ in range(2):
+                incremental.ingest_batch(part, store, 0)
+        else:
+            _land(part, landed[who])
+            streaming.start_new_only(streaming.read_landed(spark, landed[who]), store, checkpoint[who], source=who).awaitTermination()
+    kept = incremental.read(spark, store, "postings").select("seq", "job_url", "source", "batch_id")
+    known = incremental.read_ledger(spark, store).select("job_url", "source", "batch_id", F.lit(True).alias("in_ledger"))
+    return kept.join(known, ["job_url", "source", "batch_id"], "left").select(*kept.columns, F.coalesce("in_ledger", F.lit(False)).alias("in_ledger"))
+
+
+def ledger_levels(spark, sf):
+    """Fifty batches of URLs into a levelled ledger, one of them twice: what each finds there, and the runs left."""
+    root, p = scratch_path(spark, "ledger"), _canonical_keys(spark, sf)
+    runs, found = [], []
+    for batch in range(LEDGER_BATCHES):
+        urls = p.where(F.col("batch") == batch).select("job_url").distinct()
+        hits = levelled.lookup(urls, root, runs, 4)[0]
+        found.append(hits.select(F.lit(batch).alias("batch"), "job_url"))
+        new = urls.join(hits, "job_url", "left_anti").select(
+            "job_url", F.lit("batch").alias("source"), F.lit(batch).cast("long").alias("batch_id"), F.lit(str(batch)).alias("commit_id"))
+        run = levelled.write_run(new, root, 0, 4)
+        before = [*runs, run] if run else runs
+        runs = levelled.merged(spark, root, before, 4, 8, [])
+        # A merge takes runs out of use, and what was found in them is read later: keep it.
+        if len(runs) != len(before):
+            found = [_kept(posting_files.union_by_name(found), "found")]
+    n_runs = F.lit(len(runs)).cast("long")
+    return posting_files.union_by_name(found).groupBy("batch").agg(F.count(F.lit(1)).alias("n_seen"), F.min("job_url").alias("first_seen")).withColumn("n_runs", n_runs)
 
 
 def _land(df: DataFrame, path: str) -> None:
@@ -499,8 +549,7 @@ def stream_new_only(spark, sf):
     for batch in range(3):  # one day's landing, then one run over what is new
         _land(postings(spark, sf).where(F.col("batch_id") == batch), landed)
         streaming.start_new_only(streaming.read_landed(spark, landed), store, checkpoint).awaitTermination()
-    rows = posting_files.read_table(spark, store.postings)
-    return rows.select("seq", "job_url", F.col("batch_id").cast("long").alias("batch_id"))
+    return incremental.read(spark, store, "postings").select("seq", "job_url", "batch_id")
 
 
 def stream_skill_totals(spark, sf):

@@ -20,6 +20,10 @@ DEGREES = {
 LIMITED_IN_TASKS, SECTION_PARTS = 1000, 256
 
 
+# What enrich(keep_found=True) has found in the texts: skills in lower case, degrees.
+FOUND_SKILLS, FOUND_DEGREES = "found_skills", "found_degrees"
+
+
 def posting_text() -> Column:
     return F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("description", F.lit("")))
 
@@ -31,8 +35,12 @@ def top_k(df: DataFrame, key: str, k: int | None, n: str = "n") -> DataFrame:
 
 
 def skill_doc_freq(df: DataFrame, skills: tuple[str, ...] = DEFAULT.key_skills) -> DataFrame:
-    """(skill, n): number of postings that mention each skill in title or description."""
-    hits = in_list_order(SkillFinder(tuple(skills)).found(posting_text()), tuple(skills))
+    """(skill, n): number of postings that mention each skill in title or description.
+
+    Skills that enrich(keep_found=True) has found are counted as they are, if ``skills`` were among its settings.
+    """
+    found = F.col(FOUND_SKILLS) if FOUND_SKILLS in df.columns else SkillFinder(tuple(skills)).found(posting_text())
+    hits = in_list_order(found, tuple(skills))
     return df.select(F.explode(hits).alias("skill")).groupBy("skill").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -14,7 +14,7 @@ from .enrich import enrich
 
 def analyze(df: DataFrame, cfg: Config = DEFAULT, profile: Profile | None = None, hard_band: bool | None = None,
             drop_senior: bool | None = None, keep_unknown: bool | None = None, ordered: bool = True,
-            rescore_band: bool = False) -> DataFrame:
+            rescore_band: bool = False, keep_found: bool = False) -> DataFrame:
     """Enriched postings, best match first.
 
     Soft by default: everything with a wanted title stays and is ranked.  ``hard_band`` and
@@ -24,7 +24,7 @@ def analyze(df: DataFrame, cfg: Config = DEFAULT, profile: Profile | None = None
     out = filters.wanted_titles(df, cfg)
     if cfg.exclude_senior_titles if drop_senior is None else drop_senior:
         out = filters.junior_titles(out, cfg)
-    out = enrich(out, cfg, profile, rescore_band=rescore_band)
+    out = enrich(out, cfg, profile, rescore_band=rescore_band, keep_found=keep_found)
     if cfg.filter_experience_band if hard_band is None else hard_band:
         unknown = cfg.keep_unknown_years if keep_unknown is None else keep_unknown
         out = filters.within_band(out, profile.min_years, profile.max_years, unknown)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import DEFAULT, Config, Profile
 from ..functions import scoring, titles, years
 from ..functions.skills import SkillFinder, in_list_order
+from ..operators.counts import DEGREES, FOUND_DEGREES, FOUND_SKILLS, mentions_degree
 
 ADDED = (
     "est_min_years", "est_max_years", "mid_level_score", "is_mid_level", "matched_skills",
@@ -15,15 +16,17 @@ ADDED = (
 
 
 def enrich(df: DataFrame, cfg: Config = DEFAULT, profile: Profile | None = None,
-           scan_chars: int | None = years.SCAN_CHARS, rescore_band: bool = False) -> DataFrame:
+           scan_chars: int | None = years.SCAN_CHARS, rescore_band: bool = False,
+           keep_found: bool = False) -> DataFrame:
     """The analysis columns of every posting; null title and description become ''.
 
     The costly scans of the text (years, skills, seniority) run once per row: they sit in one inline()
     generator, which the optimizer neither copies nor moves filters through.  ``rescore_band`` lets
-    the match score use the profile's band in place of the settings' band.
+    the match score use the profile's band in place of the settings' band.  ``keep_found`` keeps what the
+    scans have found, skills and degrees, as columns, so that counts need not read the texts again.
     """
     profile = profile or Profile(cfg.my_skills, cfg.experience_min, cfg.experience_max)
-    kept = [c for c in df.columns if c not in ADDED and c not in ("title", "description")]
+    kept = [c for c in df.columns if c not in (*ADDED, FOUND_SKILLS, FOUND_DEGREES) and c not in ("title", "description")]
     finder = SkillFinder(tuple(dict.fromkeys((
         *(s.lower() for s in cfg.key_skills), *cfg.my_skills, *cfg.must_skills, *cfg.nice_skills,
         *(s.lower() for s in profile.skills),
@@ -42,6 +45,8 @@ def enrich(df: DataFrame, cfg: Config = DEFAULT, profile: Profile | None = None,
             finder.found_across(F.col("title"), F.col("description")).alias("_across"),
             titles.is_senior_title(F.col("title"), cfg).alias("_senior"),
             titles.has_senior_word(F.col("title")).alias("_senior_word"),
+            *([F.array_compact(F.array(*[F.when(mentions_degree(F.concat("title", F.lit(" "), "description"), d), d) for d in DEGREES]))
+               .alias(FOUND_DEGREES)] if keep_found else []),
         ))),
     )
     hi = F.col("_years.hi")
@@ -53,6 +58,7 @@ def enrich(df: DataFrame, cfg: Config = DEFAULT, profile: Profile | None = None,
         # Title and description joined by a line break / by a blank.
         F.concat("_in_title", "_in_description").alias("_in_text"),
         F.concat("_in_title", "_in_description", "_across").alias("_joined"),
+        *([FOUND_DEGREES] if keep_found else []),
     )
     title, lo, hi = F.col("title"), F.col("est_min_years"), F.col("est_max_years")
     listed = F.coalesce(F.col("is_fortune_500").cast("boolean"), F.lit(False)) if "is_fortune_500" in kept else F.lit(False)
@@ -70,4 +76,5 @@ def enrich(df: DataFrame, cfg: Config = DEFAULT, profile: Profile | None = None,
         ).alias("match_score"),
         scoring.is_profile_match(either_senior, F.col("_joined"), lo, hi, profile, cfg).alias("is_profile_match"),
         scoring.in_band(lo, hi, profile, cfg).alias("in_experience_band"),
+        *([F.array_distinct("_joined").alias(FOUND_SKILLS), FOUND_DEGREES] if keep_found else []),
     )

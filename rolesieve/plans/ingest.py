@@ -28,25 +28,20 @@ def _title(raw: DataFrame) -> Column:
     return F.col("title") if "title" in raw.columns else F.lit(None).cast("string")
 
 
-def decide(raw: DataFrame, seen: DataFrame | None = None, cfg: Config = DEFAULT, include_seen: bool = False,
-           seq: str = "seq") -> DataFrame:
-    """(seq, job_url, stage, n_rows): one row per deduplicated posting and where it ended.
-
-    stage is seen, invalid, unwanted title or kept; n_rows counts the fetched rows behind it.
-    Only keys and flags are shuffled.  ``seq`` must be unique; see sources.postings.with_arrival_key.
-    """
+def ingest_keys(raw: DataFrame, cfg: Config = DEFAULT, seq: str = "seq") -> DataFrame:
+    """(seq, job_url, fingerprint, has_title, wanted): all that decides about a posting, without its texts."""
     raw = _with_job_url(raw)
-    keys = dedupe.posting_keys(raw, seq, carry={
+    return dedupe.posting_keys(raw, seq, carry={
         "has_title": has_title(_title(raw)),
         "wanted": is_wanted_title(_title(raw), cfg),
     })
+
+
+def decide_keys(keys: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """decide() from ingest_keys() and the URLs among them that were kept before."""
     out = dedupe.first_per_fingerprint(dedupe.first_per_url(keys))
-    if seen is None or include_seen:
-        is_seen = F.lit(False)
-    else:
-        # From the batch's side first: a small batch can be broadcast, and only the ledger's hits move.
-        urls = raw.select(canonical_url(F.col("job_url")).alias("job_url"))
-        hits = seen.select("job_url").join(urls, "job_url", "left_semi").distinct()
+    is_seen = F.lit(False)
+    if hits is not None:
         out = out.join(hits.withColumn("_seen", F.lit(True)), "job_url", "left")
         is_seen = F.coalesce("_seen", F.lit(False))
     stage = (
@@ -58,6 +53,21 @@ def decide(raw: DataFrame, seen: DataFrame | None = None, cfg: Config = DEFAULT,
     return out.select("seq", "job_url", stage.alias("stage"), "n_rows")
 
 
+def decide(raw: DataFrame, seen: DataFrame | None = None, cfg: Config = DEFAULT, include_seen: bool = False,
+           seq: str = "seq") -> DataFrame:
+    """(seq, job_url, stage, n_rows): one row per deduplicated posting and where it ended.
+
+    stage is seen, invalid, unwanted title or kept; n_rows counts the fetched rows behind it.
+    Only keys and flags are shuffled.  ``seq`` must be unique; see sources.postings.with_arrival_key.
+    """
+    keys, hits = ingest_keys(raw, cfg, seq), None
+    if seen is not None and not include_seen:
+        # From the batch's side first: a small batch can be broadcast, and only the ledger's hits move.
+        urls = _with_job_url(raw).select(canonical_url(F.col("job_url")).alias("job_url"))
+        hits = seen.select("job_url").join(urls, "job_url", "left_semi").distinct()
+    return decide_keys(keys, hits)
+
+
 def rows_of(raw: DataFrame, decisions: DataFrame, cfg: Config = DEFAULT, seq: str = "seq") -> DataFrame:
     """The kept postings in the fixed schema, listed companies flagged.
 

@@ -48,10 +48,10 @@ def market_tally(df: DataFrame, previous_totals: DataFrame | None = None, cfg: C
     df = df.select(
         "*",
         *[F.lit(None).cast("string").alias(c) for c in ("site", "source_location", "company") if c not in has],
-        # Scanned once, counted in two sections.
-        F.inline(F.array(F.struct(SkillFinder(cfg.key_skills).found(text).alias("_found")))),
+        # Scanned once, counted in two sections; not at all where the enrichment has kept what it found.
+        *([] if counts.FOUND_SKILLS in has else [F.inline(F.array(F.struct(SkillFinder(cfg.key_skills).found(text).alias("_found"))))]),
     )
-    skills = in_list_order(F.col("_found"), cfg.key_skills)
+    skills = in_list_order(F.col(counts.FOUND_SKILLS if counts.FOUND_SKILLS in has else "_found"), cfg.key_skills)
     flags = (("mid_level_jobs", "is_mid_level"), ("profile_match_jobs", "is_profile_match"), ("in_band_jobs", "in_experience_band"))
     singles = [
         counts.entry("totals", "total_jobs"),
@@ -59,7 +59,8 @@ def market_tally(df: DataFrame, previous_totals: DataFrame | None = None, cfg: C
         counts.entry("totals", "avg_est_min_years", column("est_min_years", "int")),
         counts.entry("totals", "avg_est_max_years", column("est_max_years", "int")),
         *[counts.entry(section, value) for section, value in value_sections().items()],
-        *[counts.entry("degree_counts", d, when=counts.mentions_degree(text, d)) for d in counts.DEGREES],
+        *[counts.entry("degree_counts", d, when=F.array_contains(counts.FOUND_DEGREES, d) if counts.FOUND_DEGREES in has else counts.mentions_degree(text, d))
+          for d in counts.DEGREES],
     ]
     always = [("totals", "total_jobs"), ("totals", "mid_level_jobs"), *[("totals", key) for key, flag in flags[1:] if flag in has]]
     earlier = None if previous_totals is None else previous_totals.select(F.lit(RUNNING).alias("section"), F.col("skill").alias("key"), "n")

@@ -12,7 +12,7 @@ from ..functions.skills import SkillFinder, in_list_order
 from ..functions.urls import canonical_url
 from ..operators.counts import posting_text
 from ..operators.dedupe import keep_first
-from ..plans.incremental import Store, first_batch_id, ingest_batch
+from ..plans.incremental import Store, ingest_batch
 from ..schema import RAW_POSTINGS
 
 
@@ -25,16 +25,17 @@ def read_landed(spark: SparkSession, path: str, schema: T.StructType = RAW_POSTI
     return reader.load(path)
 
 
-def start_new_only(landed: DataFrame, store: Store, checkpoint: str, cfg: Config = DEFAULT) -> StreamingQuery:
+def start_new_only(landed: DataFrame, store: Store, checkpoint: str, cfg: Config = DEFAULT, source: str | None = None) -> StreamingQuery:
     """Each micro-batch goes through ingest_batch(): dedupe, ledger, validation, titles, flags.
 
-    The ledger is read anew per micro-batch, and a replayed micro-batch replaces its own output.  A
-    checkpoint's batches follow those that the store had before, so another stream's stay.
+    A stream is a source of its own, named by its checkpoint unless ``source`` names it, and commits
+    its micro-batches under its own numbers: other streams and batch runs may share the store and
+    take turns.  A replayed micro-batch replaces what it committed before.
     """
-    first = first_batch_id(landed.sparkSession, store, checkpoint)
+    name = source or checkpoint
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, store, first + batch_id, cfg)
+        ingest_batch(batch, store, batch_id, cfg, source=name)
 
     return (
         landed.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)

@@ -7,8 +7,8 @@ from rolesieve.config import DEFAULT
 from rolesieve.operators import dedupe, ledger, validate
 from rolesieve.operators.grid import cap_results, query_grid, source_outcomes
 from rolesieve.plans import ingest
-from rolesieve.plans.incremental import Store, run_incremental
-from rolesieve.sources.postings import read_table, with_arrival_key
+from rolesieve.plans.incremental import Store, read, read_ledger, read_totals, run_incremental
+from rolesieve.sources.postings import with_arrival_key
 
 RAW = "seq long, job_url string, title string, company string, location string, description string, site string, source_query string, source_location string"
 
@@ -209,11 +209,9 @@ def test_incremental_runs_are_replay_safe(rows, spark, tmp_path):
     for _ in range(2):
         assert [r.job_url for r in run_incremental(second, store, 1).collect()] == ["https://example.com/jobs/3"]
     assert run_incremental(first, store, 2).count() == 0  # nothing new
-    assert read_table(spark, store.postings).count() == 3
-    assert ledger.read_ledger(spark, store.ledger).count() == 3
-    from rolesieve.operators.totals import read_totals
-
-    assert {r.skill: r.n for r in read_totals(spark, store.skill_totals).collect()} == {"python": 2, "sql": 1, "etl": 1, "dbt": 1}
+    assert read(spark, store, "postings").count() == 3
+    assert read_ledger(spark, store).count() == 3
+    assert {r.skill: r.n for r in read_totals(spark, store).collect()} == {"python": 2, "sql": 1, "etl": 1, "dbt": 1}
 
 
 def test_grid_outcomes_and_cap(rows, spark):

@@ -1,10 +1,8 @@
 from pyspark.sql import functions as F
 
 from rolesieve.operators.counts import skill_doc_freq
-from rolesieve.operators.ledger import read_ledger
-from rolesieve.plans.incremental import Store, run_incremental
+from rolesieve.plans.incremental import Store, read, read_ledger, run_incremental
 from rolesieve.sources.fixtures import postings
-from rolesieve.sources.postings import read_table
 from rolesieve.streaming import incremental as streaming
 
 SF = "/root/testdata/sf0.001"
@@ -21,9 +19,9 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark, tmp_path):
     # No new files: the stream has nothing to do.
     streaming.start_new_only(streaming.read_landed(spark, landed), store, str(tmp_path / "cp")).awaitTermination()
     key = ("seq", "job_url", "batch_id")
-    got, want = (sorted(map(tuple, read_table(spark, s.postings).select(*key).collect())) for s in (store, batch_store))
+    got, want = (sorted(map(tuple, read(spark, s, "postings").select(*key).collect())) for s in (store, batch_store))
     assert got == want and len({u for _, u, _ in got}) == len(got)
-    assert read_ledger(spark, store.ledger).count() == len(got)
+    assert read_ledger(spark, store).count() == len(got)
 
 
 def test_two_checkpoints_share_a_store_and_an_empty_replay_empties(spark, tmp_path):
@@ -35,11 +33,14 @@ def test_two_checkpoints_share_a_store_and_an_empty_replay_empties(spark, tmp_pa
     one = Store(str(tmp_path / "b"))
     for b in range(2):
         run_incremental(raw.where(F.col("batch_id") == b), one, b)
-    urls = [{r.job_url for r in read_table(spark, s.postings).select("job_url").collect()} for s in (store, one)]
-    assert urls[0] == urls[1] and {r.batch_id for r in read_table(spark, store.postings).select("batch_id").distinct().collect()} == {0, 1}
+    urls = [{r.job_url for r in read(spark, s, "postings").select("job_url").collect()} for s in (store, one)]
+    assert urls[0] == urls[1]
+    batches = {(r.source, r.batch_id) for r in read(spark, store, "postings").select("source", "batch_id").distinct().collect()}
+    assert batches == {(str(tmp_path / "cp0"), 0), (str(tmp_path / "cp1"), 0)}
     run_incremental(raw.where("false"), one, 1)
-    for path in (one.postings, one.ledger, one.enriched, one.skill_totals):
-        assert {r.batch_id for r in read_table(spark, path).select("batch_id").distinct().collect()} == {0}
+    for table in ("postings", "enriched", "skill_totals"):
+        assert {r.batch_id for r in read(spark, one, table).select("batch_id").distinct().collect()} == {0}
+    assert {r.batch_id for r in read_ledger(spark, one).select("batch_id").distinct().collect()} == {0}
 
 
 def test_late_first_copies_pass_and_copies_within_the_delay_do_not(spark, tmp_path):

@@ -439,7 +439,7 @@ def oracle_sql() -> dict[str, str]:
         "store_shared": _with(P, _batches(len(SHARED_TURNS), f"seq % {len(SHARED_TURNS)}", SHARED_NAMES)) + "SELECT seq, job_url, source, batch_id, true AS in_ledger FROM stored",
         "ledger_levels": _with(P, f"k AS MATERIALIZED (SELECT DISTINCT (seq % {LEDGER_BATCHES * 7}) // 7 AS batch, {_canonical('job_url')} AS job_url FROM p)",
                                "f AS (SELECT job_url, min(batch) AS first FROM k WHERE job_url <> '' GROUP BY job_url)", "m AS (SELECT count(DISTINCT first) AS n FROM f)")
-                         + "SELECT CAST(batch AS BIGINT) AS batch, count(*) AS n_seen, min(job_url) AS first_seen, (SELECT n % 8 + n // 8 % 8 + n // 64 FROM m) AS n_runs "
+                         + "SELECT CAST(batch AS BIGINT) AS batch, count(*) AS n_seen, min(job_url) AS first_seen, (SELECT n % 4 + n // 4 % 4 + n // 16 FROM m) AS n_runs "
                            "FROM k JOIN f USING (job_url) WHERE batch > first GROUP BY batch",
         "stream_new_only": _with(P, _batches()) + "SELECT seq, job_url, batch_id FROM stored",
         "stream_skill_totals": _with(P, KEY_TEXT) + "SELECT skill, count(*) AS n FROM ks GROUP BY skill",

@@ -23,7 +23,7 @@ GRID = replace(DEFAULT, locations=("India", "Remote", "United States", "Banglade
 SNOWFLAKE = Profile(("snowflake", "dbt"), 2, 6)
 # Whose turn it is on the shared store, and the batches of the levelled ledger.
 SHARED_TURNS = ("a", "b", "batch", "a", "b")
-LEDGER_BATCHES = 50
+LEDGER_BATCHES = 24
 REPORT_CRITERIA = {"query": "engineer", "mid": True, "max_years": 4, "min_match": 8.0}
 
 
@@ -47,7 +47,7 @@ def _later_canonical(spark: SparkSession, sf: str) -> DataFrame:
 
 def _canonical_keys(spark: SparkSession, sf: str) -> DataFrame:
     keys = postings(spark, sf).select(F.floor(F.pmod(F.col("seq"), F.lit(LEDGER_BATCHES * 7)) / 7).alias("batch"), canonical_url(F.col("job_url")).alias("job_url"))
-    return _kept(keys.where("job_url <> ''"), "keys")
+    return _kept(keys.where("job_url <> ''").distinct(), "keys")
 
 
 def _kept(df: DataFrame, name: str) -> DataFrame:
@@ -520,23 +520,19 @@ def store_shared(spark, sf):
 
 
 def ledger_levels(spark, sf):
-    """Fifty batches of URLs into a levelled ledger, one of them twice: what each finds there, and the runs left."""
+    """Two dozen batches of URLs into a levelled ledger: what each finds there, and the runs left."""
     root, p = scratch_path(spark, "ledger"), _canonical_keys(spark, sf)
     runs, found = [], []
     for batch in range(LEDGER_BATCHES):
-        urls = p.where(F.col("batch") == batch).select("job_url").distinct()
-        hits = levelled.lookup(urls, root, runs, 4)[0]
-        found.append(hits.select(F.lit(batch).alias("batch"), "job_url"))
-        new = urls.join(hits, "job_url", "left_anti").select(
+        urls = p.where(F.col("batch") == batch).select("job_url")
+        # A merge takes runs out of use: what was found in them is written down.
+        found.append(_kept(levelled.lookup(urls, root, runs, 4)[0].withColumn("batch", F.lit(batch).cast("long")), "found"))
+        new = urls.join(found[-1], "job_url", "left_anti").select(
             "job_url", F.lit("batch").alias("source"), F.lit(batch).cast("long").alias("batch_id"), F.lit(str(batch)).alias("commit_id"))
         run = levelled.write_run(new, root, 0, 4)
-        before = [*runs, run] if run else runs
-        runs = levelled.merged(spark, root, before, 4, 8, [])
-        # A merge takes runs out of use, and what was found in them is read later: keep it.
-        if len(runs) != len(before):
-            found = [_kept(posting_files.union_by_name(found), "found")]
-    n_runs = F.lit(len(runs)).cast("long")
-    return posting_files.union_by_name(found).groupBy("batch").agg(F.count(F.lit(1)).alias("n_seen"), F.min("job_url").alias("first_seen")).withColumn("n_runs", n_runs)
+        runs = levelled.merged(spark, root, [*runs, run] if run else runs, 4, 4, [])
+    seen = posting_files.union_by_name(found).groupBy("batch").agg(F.count(F.lit(1)).alias("n_seen"), F.min("job_url").alias("first_seen"))
+    return seen.withColumn("n_runs", F.lit(len(runs)).cast("long"))
 
 
 def _land(df: DataFrame, path: str) -> None:

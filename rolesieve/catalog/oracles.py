@@ -9,7 +9,7 @@ from ..functions.urls import TRACKING_KEYS
 from ..functions.years import NOISE_NEARBY, YEAR_PATTERNS
 from ..operators.counts import DEGREES
 from ..sources.fixtures import postings_sql
-from .queries import GRID, LEDGER_BATCHES, SHARED_TURNS, SITES
+from .queries import GRID, LEDGER_BATCHES, SHARED_TURNS, SIGNED, SITES
 
 # A stream's batches have its own numbers.
 SHARED_NAMES = [(who, SHARED_TURNS[:i].count(who)) for i, who in enumerate(SHARED_TURNS)]
@@ -360,6 +360,12 @@ def oracle_sql() -> dict[str, str]:
         "dictionary_doc_freq": r"WITH dict AS (SELECT DISTINCT regexp_extract(lower(text), '[\p{L}\p{N}_]+') AS skill FROM documents), "
                                r"words AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM documents) "
                                "SELECT skill, count(*) AS n FROM dict JOIN words ON w = skill WHERE skill <> '' GROUP BY skill",
+        "dictionary_with_signs": "WITH e AS (SELECT DISTINCT unnest(["
+                                 + ", ".join(f"e{i}" for i in range(len(SIGNED))) + "]) AS skill FROM (SELECT "
+                                 + ", ".join(f"min(nullif(regexp_extract(text, '{s}'), '')) AS e{i}" for i, s in enumerate(SIGNED)) + " FROM documents GROUP BY lang) g), "
+                                 + r"x AS (SELECT skill, concat(CASE WHEN regexp_matches(skill, '^[\p{L}\p{N}_]') THEN '(?:^|[^\p{L}\p{N}_])' ELSE '[\p{L}\p{N}_]' END, "
+                                   r"regexp_escape(lower(skill)), CASE WHEN regexp_matches(skill, '[\p{L}\p{N}_]$') THEN '(?:[^\p{L}\p{N}_]|$)' ELSE '[\p{L}\p{N}_]' END) AS rx FROM e WHERE skill IS NOT NULL) "
+                                   "SELECT skill, count(*) AS n FROM x JOIN documents ON contains(lower(text), lower(skill)) AND regexp_matches(lower(text), rx) GROUP BY skill",
         "degree_doc_freq": p + " UNION ALL ".join(
             f"SELECT '{d}' AS degree, count(*) AS n FROM p WHERE regexp_matches(lower(concat(title, ' ', description)), '{rx}') HAVING count(*) > 0" for d, rx in DEGREES.items()),
         "mid_level": _with(P, _enriched("p", "false")) + "SELECT seq, mid_level_score, is_mid_level FROM enriched",

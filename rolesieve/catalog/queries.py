@@ -169,6 +169,19 @@ def dictionary_doc_freq(spark, sf):
     return counts.dictionary_doc_freq(docs, dictionary, F.col("text"))
 
 
+# A word with signs after it, signs with a word after them, two words with signs between.
+SIGNED = (r"[\p{L}\p{N}_]+[^\p{L}\p{N}_\s]+", r"[^\p{L}\p{N}_\s]+[\p{L}\p{N}_]+", r"[\p{L}\p{N}_]+[^\p{L}\p{N}_\s]+\s*[\p{L}\p{N}_]+")
+
+
+def dictionary_with_signs(spark, sf):
+    """A dictionary of the first such texts of every language, in several shards."""
+    docs = table(spark, sf, "documents")
+    firsts = [F.nullif(F.regexp_extract("text", p, 0), F.lit("")) for p in SIGNED]
+    found = docs.groupBy("lang").agg(*[F.min(f).alias(f"e{i}") for i, f in enumerate(firsts)])
+    dictionary = found.select(F.explode(F.array("e0", "e1", "e2")).alias("skill")).where("skill IS NOT NULL").distinct()
+    return counts.dictionary_doc_freq(docs, dictionary, F.col("text"), shard_chars=50)
+
+
 def degree_doc_freq(spark, sf):
     return counts.degree_doc_freq(postings(spark, sf))
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DEFAULT
 from ..functions.skills import SkillFinder, in_list_order
 from ..functions.text import keywords
+from . import automaton
 
 # Degree -> pattern (fixed values).
 DEGREES = {
@@ -20,6 +23,8 @@ DEGREES = {
 LIMITED_IN_TASKS, SECTION_PARTS = 1000, 256
 
 
+# Characters of dictionary entries that one automaton takes: what a task holds of a dictionary of any size.
+SHARD_CHARS = 8_000_000
 # What enrich(keep_found=True) has found in the texts: skills in lower case, degrees.
 FOUND_SKILLS, FOUND_DEGREES = "found_skills", "found_degrees"
 
@@ -44,26 +49,26 @@ def skill_doc_freq(df: DataFrame, skills: tuple[str, ...] = DEFAULT.key_skills)
     return df.select(F.explode(hits).alias("skill")).groupBy("skill").agg(F.count(F.lit(1)).alias("n"))
 
 
-def dictionary_doc_freq(df: DataFrame, dictionary: DataFrame, text: Column, max_words: int | None = None) -> DataFrame:
-    """(skill, n) for a dictionary table of any size whose entries begin and end in a word character.
+def dictionary_doc_freq(df: DataFrame, dictionary: DataFrame, text: Column, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """(skill, n): in how many texts each entry of a dictionary table occurs as a whole word, case ignored.
 
-    Phrases of up to ``max_words`` words, by default as many as the longest entry has, are counted per text first and joined to the dictionary
-    after, so what is shuffled grows with the vocabulary and no text meets every skill.
+    Entries are plain text of any signs ("c++", ".net", "power bi"): next to a letter, digit or
+    underscore of the entry the text must have none or end, next to a sign it must have one, which
+    is what a word boundary means.  Overlapping occurrences all count.  The entries are dealt into
+    shards of about ``shard_chars`` characters, and every text is scanned once per shard by an
+    automaton of that shard's entries, so no text meets the entries one by one.  Empty entries are
+    left out; a null text has none.
     """
-    if max_words is None:
-        runs = F.regexp_extract_all(F.col("skill"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-        max_words = dictionary.agg(F.max(F.size(runs)).alias("n")).first().n or 1
-    phrases = F.flatten(F.array(*[
-        F.regexp_extract_all(
-            F.lower(text),
-            F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?=([\p{{L}}\p{{N}}_]+(?:[^\p{{L}}\p{{N}}_]+[\p{{L}}\p{{N}}_]+){{{n}}})(?![\p{{L}}\p{{N}}_]))"),
-            F.lit(1),
-        )
-        for n in range(max_words)
-    ]))
-    counted = df.select(F.explode(F.array_distinct(phrases)).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
-    entries = dictionary.select("skill", F.lower("skill").alias("phrase"))
-    return entries.join(counted, "phrase").select("skill", "n")
+    # Two letters fold to ASCII ones when case is ignored but not when lowered.
+    low = lambda c: F.translate(F.lower(c), "ſı", "si")
+    entries = dictionary.select("skill", low(F.col("skill")).alias("phrase")).where("phrase <> ''")
+    texts = df.select(low(text).alias("text")).where("text <> ''")
+    phrases = entries.select("phrase").distinct()
+    shards = max(1, -(-(phrases.agg(F.sum(F.length("phrase"))).first()[0] or 0) // shard_chars))
+    shard = F.pmod(F.xxhash64("phrase"), F.lit(shards))
+    counted = [automaton.texts_with(texts, phrases.where(shard == i)) for i in range(shards)]
+    found = reduce(DataFrame.unionByName, counted).groupBy("phrase").agg(F.sum("n").alias("n"))
+    return entries.join(found, "phrase").select("skill", "n")
 
 
 def mentions_degree(text: Column, degree: str) -> Column:

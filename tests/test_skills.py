@@ -51,3 +51,18 @@ def test_dictionary_of_phrases(spark):
     dictionary = spark.createDataFrame([(e,) for e in entries], "skill string")
     got = {r.skill: r.n for r in dictionary_doc_freq(docs, dictionary, F.col("t")).collect()}
     assert got == {e: sum(_whole_word(t, e) for t in texts) for e in entries}
+
+
+def test_dictionary_entries_of_any_signs(spark):
+    entries = ["c++", "C#", ".NET", "c", "node.js", "++", "r&d", "a.b", "été", "ci/cd", "c++ and c", "", "x" * 500, "C++"]
+    texts = ["C++11 and c#7", "c++ here", "asp.net core, .net core", "use Node.js", "node.jsx", "a++b", "R&D dept", "xa.b", "a.b.", "(été)", "étés",
+             "CI/CD; c", None, "", "c++ and c", "z c++ and c", "q" + "x" * 500, "x" * 500, "C"]
+    docs = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    dictionary = spark.createDataFrame([(e,) for e in entries], "skill string")
+    want = {e: sum(bool(re.search(rf"\b{re.escape(e)}\b", t or "", re.I)) for t in texts) for e in entries if e}
+    for shard in (5, 10_000):
+        got = {r.skill: r.n for r in dictionary_doc_freq(docs, dictionary, F.col("t"), shard_chars=shard).collect()}
+        assert got == {e: n for e, n in want.items() if n}
+    assert dictionary_doc_freq(docs, dictionary.where("false"), F.col("t")).collect() == []
+    plan = dictionary_doc_freq(docs, dictionary, F.col("t"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # one pass over the texts

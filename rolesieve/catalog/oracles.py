@@ -435,6 +435,23 @@ def oracle_sql() -> dict[str, str]:
         "report_my_profile": analysed + "SELECT seq, title, lo AS est_min_years FROM enriched WHERE is_mid_level AND in_experience_band AND (lo IS NULL OR lo <= 4)",
         "report_counts": analysed + f"SELECT count(*) FILTER ({CRITERIA}) AS visible, count(*) AS total, 'Postings where query is engineer and mid and years at most 4 and match at least 8.0' AS filters FROM enriched",
         "report_sorted": analysed + "SELECT seq, job_url, source_location, lo AS est_min_years FROM enriched ORDER BY lower(source_location) DESC NULLS LAST, job_url",
+        "report_positions": analysed + "SELECT seq, source_location, row_number() OVER (ORDER BY nullif(lower(trim(source_location)), '') DESC NULLS LAST, job_url, seq) AS position FROM enriched",
+        "analyze_and_report": _with(P, VALID, VALID_WANTED, _enriched("chosen"), "scored AS MATERIALIZED (SELECT * FROM enriched)",
+                                    _skill_rows("es", "scored", "concat(title, ' ', description)", DEFAULT.key_skills), _keywords("scored", "description"),
+                                    f"placed AS (SELECT {BEST_PLACE}, * FROM scored)")
+                              + f"SELECT concat('summary: ', section) AS section, CAST(rank AS BIGINT) AS rank, key, value FROM ({_summary('scored', 'es', 'es')}) a "
+                              + f"UNION ALL SELECT concat('trend: ', section), rank, key, n FROM ({_trend('scored', 'kw', 'is_fortune_500')}) b "
+                                "UNION ALL SELECT 'top_jobs', rank, job_url, match_score FROM placed WHERE rank <= 6 "
+                              + "".join(f"UNION ALL SELECT DISTINCT 'facets', 0, concat('{c}: ', trim({c})), NULL FROM scored WHERE trim({c}) <> '' " for c in ("site", "source_location", "source_query"))
+                              + "UNION ALL SELECT 'skill_totals', 0, skill, count(*) FROM es GROUP BY skill UNION ALL SELECT 'report', rank, job_url, match_score FROM placed "
+                                f"UNION ALL SELECT 'visible', 0, job_url, match_score FROM scored WHERE {CRITERIA}",
+        "daily_runs": _with(P, _batches(), _enriched("stored"), "scored AS MATERIALIZED (SELECT * FROM enriched)",
+                            _skill_rows("es", "scored", "concat(title, ' ', description)", DEFAULT.key_skills), "esb AS MATERIALIZED (SELECT es.*, batch_id FROM es JOIN scored USING (seq))",
+                            *[f"x{b} AS (SELECT * FROM scored WHERE batch_id = {b}), s_{b} AS (SELECT * FROM esb WHERE batch_id = {b}), run{b} AS (SELECT * FROM esb WHERE batch_id <= {b}), "
+                              + _keywords(f"x{b}", "description").replace("kw AS", f"kw{b} AS") for b in range(3)])
+                      + " UNION ALL ".join(
+                          f"SELECT CAST({b} AS BIGINT) AS batch_id, concat('summary: ', section) AS section, CAST(rank AS BIGINT) AS rank, key, value FROM ({_summary(f'x{b}', f's_{b}', f'run{b}')}) a{b} "
+                          f"UNION ALL SELECT {b}, concat('trend: ', section), rank, key, n FROM ({_trend(f'x{b}', f'kw{b}', 'is_fortune_500')}) b{b}" for b in range(3)),
         "report_export": analysed + f"SELECT {_display(False, title=chr(39).join(['concat(job_url, ', ' | ', ', title)']))} FROM enriched WHERE {CRITERIA}",
         "report_html_rows": analysed + f"SELECT {_html_row()} AS row FROM enriched",
         "csv_roundtrip": _with(P, f"u AS (SELECT *, {_canonical('job_url')} AS url FROM p)", f"f AS (SELECT seq, {_fixed('url', 'false')} FROM u)")

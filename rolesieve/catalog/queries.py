@@ -10,7 +10,7 @@ from ..config import DEFAULT, Profile
 from ..functions import display, text, titles, years
 from ..functions.urls import canonical_url
 from ..operators import counts, dedupe, filters, grid, ledger, levelled, ranking, totals, validate
-from ..plans import analyze, incremental, ingest, report, summary, trend
+from ..plans import analyze, incremental, ingest, publish, report, summary, trend
 from ..plans.enrich import enrich
 from ..session import scratch_path
 from ..sources import feeds, outputs, postings as posting_files
@@ -475,6 +475,12 @@ def report_sorted(spark, sf):
     return ranking.report_sort(df, "source_location", ascending=False)
 
 
+def report_positions(spark, sf):
+    """The report's order by a column as data: every row with its position."""
+    df = _analysed(spark, sf, ordered=False).select("seq", "job_url", "source_location")
+    return ranking.ranked_all(df, [*ranking.report_order(df, "source_location", ascending=False), F.asc("seq")]).select("seq", "source_location", F.col("rank").alias("position"))
+
+
 def report_export(spark, sf):
     return outputs.report_export(filters.report_filter(_analysed(spark, sf, ordered=False), **REPORT_CRITERIA))
 
@@ -548,6 +554,38 @@ def ledger_levels(spark, sf):
     return seen.withColumn("n_runs", F.lit(len(runs)).cast("long"))
 
 
+def _lines(section: Column, rank: Column, key: Column, value: Column) -> list[Column]:
+    return [section.alias("section"), rank.cast("long").alias("rank"), key.alias("key"), F.round(value.cast("double"), 4).alias("value")]
+
+
+def analyze_and_report(spark, sf):
+    """One call: scored once, published together, and read back from the newest publication as lines."""
+    root = scratch_path(spark, "published")
+    publish.analyze_and_report(_validated(spark, sf), root, criteria=REPORT_CRITERIA)
+    read = {t: publish.published(spark, root, t) for t in publish.OUTPUTS}
+    of = lambda name: F.concat(F.lit(f"{name}: "), F.col("section"))
+    rows = read["report"]
+    return posting_files.union_by_name([
+        read["summary"].select(*_lines(of("summary"), F.col("rank"), F.col("key"), F.col("value"))),
+        read["trend"].select(*_lines(of("trend"), F.col("rank"), F.col("key"), F.col("n"))),
+        read["top_jobs"].select(*_lines(F.lit("top_jobs"), F.col("rank"), F.col("url"), F.col("match_score"))),
+        read["facets"].select(*_lines(F.lit("facets"), F.lit(0), F.concat_ws(": ", "facet", "value"), F.lit(None))),
+        read["skill_totals"].select(*_lines(F.lit("skill_totals"), F.lit(0), F.col("skill"), F.col("n"))),
+        rows.select(*_lines(F.lit("report"), F.col("position"), F.col("job_url"), F.col("match_score"))),
+        rows.where("visible").select(*_lines(F.lit("visible"), F.lit(0), F.col("job_url"), F.col("match_score"))),
+    ])
+
+
+def daily_runs(spark, sf):
+    """Three days' runs, the second done twice, each committed with its summary and trend."""
+    store, p = incremental.Store(scratch_path(spark, "store")), postings(spark, sf)
+    for batch in (0, 1, 1, 2):
+        incremental.run_incremental(p.where(F.col("batch_id") == batch), store, batch, publish=True)
+    lines = incremental.read(spark, store, "summary").select("batch_id", *_lines(F.concat(F.lit("summary: "), F.col("section")), F.col("rank"), F.col("key"), F.col("value")))
+    words = incremental.read(spark, store, "trend").select("batch_id", *_lines(F.concat(F.lit("trend: "), F.col("section")), F.col("rank"), F.col("key"), F.col("n")))
+    return lines.unionByName(words)
+
+
 def _land(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 

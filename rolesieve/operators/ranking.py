@@ -37,9 +37,12 @@ def ranked_all(df: DataFrame, order: list[Column], partitions: int | None = None
     Rows are range-partitioned by the whole order (so a score a third of the rows share is split by
     its tie-breaker) and written once; a row's rank is its place in its partition plus the row
     counts of the partitions before.  The written table keeps both reads on the same partitioning.
+    ``df`` itself is written first: finding the ranges takes a sampling run, which then reads columns in
+    place of working the rows out a second time.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "ranked")
+    df = evaluated_once(df)
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # monotonically_increasing_id is partition number * 2^33 + place in the partition.
     placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(
@@ -55,8 +58,15 @@ def ranked_all(df: DataFrame, order: list[Column], partitions: int | None = None
     return rows.join(F.broadcast(offsets), "_part").select(*df.columns, (F.col("_before") + place).alias("rank"))
 
 
-def report_sort(df: DataFrame, column: str, ascending: bool = True) -> DataFrame:
-    """Sort by one report column: blanks last either way, text without regard to case."""
+def evaluated_once(df: DataFrame) -> DataFrame:
+    """The frame as a written table: for what would run it twice."""
+    path = scratch_path(df.sparkSession, "evaluated")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def report_order(df: DataFrame, column: str, ascending: bool = True) -> list[Column]:
+    """The order by one report column: blanks last either way, text without regard to case, then the URL."""
     kind = dict(df.dtypes)[column]
     key = F.col(column)
     if kind == "string":
@@ -64,4 +74,9 @@ def report_sort(df: DataFrame, column: str, ascending: bool = True) -> DataFrame
     elif kind.startswith("array"):
         key = F.nullif(F.lower(F.array_join(key, ", ")), F.lit(""))
     first = key.asc_nulls_last() if ascending else key.desc_nulls_last()
-    return df.orderBy(first, *(["job_url"] if "job_url" in df.columns and column != "job_url" else []))
+    return [first, *([F.asc("job_url")] if "job_url" in df.columns and column != "job_url" else [])]
+
+
+def report_sort(df: DataFrame, column: str, ascending: bool = True) -> DataFrame:
+    """Sort by one report column, see report_order()."""
+    return df.orderBy(*report_order(df, column, ascending))

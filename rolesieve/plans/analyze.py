@@ -8,7 +8,7 @@ from ..config import DEFAULT, Config, Profile
 from ..functions.titles import is_senior_title, is_wanted_title
 from ..functions.years import overlaps_band
 from ..operators import filters
-from ..operators.ranking import score_order
+from ..operators.ranking import evaluated_once, score_order
 from .enrich import enrich
 
 
@@ -28,7 +28,11 @@ def analyze(df: DataFrame, cfg: Config = DEFAULT, profile: Profile | None = None
     if cfg.filter_experience_band if hard_band is None else hard_band:
         unknown = cfg.keep_unknown_years if keep_unknown is None else keep_unknown
         out = filters.within_band(out, profile.min_years, profile.max_years, unknown)
-    return out.orderBy(*score_order(out)) if ordered else out
+    if not ordered:
+        return out
+    # A sort by ranges samples its input first: the texts are scanned once, for a written table.
+    out = evaluated_once(out)
+    return out.orderBy(*score_order(out))
 
 
 def analysis_funnel(df: DataFrame, cfg: Config = DEFAULT, profile: Profile | None = None, hard_band: bool = True,
@@ -36,8 +40,10 @@ def analysis_funnel(df: DataFrame, cfg: Config = DEFAULT, profile: Profile | Non
     """Rows dropped by each step of analyze(), in one pass."""
     profile = profile or Profile(cfg.my_skills, cfg.experience_min, cfg.experience_max)
     wanted = is_wanted_title(F.col("title"), cfg)
-    flagged = enrich(df.withColumn("_wanted", wanted), cfg, profile)
     senior = is_senior_title(F.col("title"), cfg) & F.lit(drop_senior)
+    # Where the title decides, the text is not scanned.
+    needed = F.when(wanted & ~senior, F.col("description"))
+    flagged = enrich(df.withColumns({"_wanted": wanted, "description": needed}), cfg, profile)
     inside = overlaps_band(F.col("est_min_years"), F.col("est_max_years"), profile.min_years, profile.max_years, keep_unknown)
     outside = ~inside & F.lit(hard_band)
     stage = (

@@ -24,6 +24,7 @@ from ..session import scratch_path
 from ..sources.commits import CommitLog
 from .analyze import analyze
 from .ingest import decide_keys, ingest_keys, rows_of
+from .publish import add_outputs
 
 #: The source of runs that name none.
 BATCH = "batch"
@@ -57,14 +58,19 @@ def read(spark: SparkSession, store: Store, table: str, version: int | None = No
     written with other columns are united by name.
     """
     m = manifest(spark, store, version)
+    rows = _read(spark, store, table, m["batches"], m["schemas"])
+    if rows is None:
+        raise ValueError(f"no batch of the store has a table {table!r}")
+    return rows
+
+
+def _read(spark: SparkSession, store: Store, table: str, batches: list[dict], schemas: dict) -> DataFrame | None:
     by_schema: dict[str, list[str]] = {}
-    for b in m["batches"]:
+    for b in batches:
         if table in b["tables"]:
             by_schema.setdefault(b["tables"][table], []).append(f"{store.root}/data/{b['commit']}/{table}")
-    if not by_schema:
-        raise ValueError(f"no batch of the store has a table {table!r}")
-    frames = [spark.read.schema(T.StructType.fromJson(m["schemas"][s])).parquet(*paths) for s, paths in by_schema.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    frames = [spark.read.schema(T.StructType.fromJson(schemas[s])).parquet(*paths) for s, paths in by_schema.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None
 
 
 def read_ledger(spark: SparkSession, store: Store, version: int | None = None) -> DataFrame:
@@ -101,6 +107,10 @@ class Writing:
         self.schemas[key], self.tables[table] = schema.jsonValue(), key
         return self.spark.read.schema(schema).parquet(path)
 
+    def others_table(self, table: str) -> DataFrame | None:
+        """A table as the other batches have it; None where none does."""
+        return _read(self.spark, self.store, table, self.others, self.schemas)
+
     def seen(self, urls: DataFrame) -> DataFrame:
         """Which of ``urls`` (job_url) other batches have kept."""
         alive = ~F.col("commit_id").isin(self.dead) if self.dead else None
@@ -149,16 +159,21 @@ def ingest_batch(raw: DataFrame, store: Store, batch_id: int, cfg: Config = DEFA
 
 def run_incremental(raw: DataFrame, store: Store, batch_id: int, cfg: Config = DEFAULT,
                     profile: Profile | None = None, include_seen: bool = False, seq: str = "seq",
-                    source: str = BATCH, **analysis) -> DataFrame:
+                    source: str = BATCH, publish: bool = False, criteria: dict[str, Any] | None = None, **analysis) -> DataFrame:
     """Ingest a batch, analyse it, and commit postings, enriched rows and skill counts together.
 
-    A batch without new postings leaves its part of all tables empty.
+    With ``publish``, its summary, best postings, trend snapshot, report and facets are part of the
+    commit too; the summary's running totals are those of all the store's batches.  A batch without
+    new postings leaves its part of all tables empty.
     """
     made: list[DataFrame] = []
 
     def more(out: Writing, stored: DataFrame) -> None:
         enriched = out.add(analyze(stored, cfg, profile, ordered=False, keep_found=True, **analysis), "enriched")
-        out.add(skill_doc_freq(enriched, cfg.key_skills), "skill_totals")
+        if publish:
+            add_outputs(out, enriched, out.others_table("skill_totals"), cfg, profile, **(criteria or {}))
+        else:
+            out.add(skill_doc_freq(enriched, cfg.key_skills), "skill_totals")
         made.append(enriched)
 
     commit_batch(raw, store, batch_id, cfg, include_seen, seq, source, more)

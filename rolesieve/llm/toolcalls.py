@@ -44,6 +44,40 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+#: Arguments nested deeper are refused.
+MOST_DEPTH = 100
+
+
+def parsed(text: str | None) -> tuple[object, list[str]]:
+    """The value of a call's argument text, and why it can't be arguments: not JSON, nested too deep, a sign that UTF-8 lacks
+    (half of a surrogate pair), a number that JSON lacks, or no object."""
+    if text is None:
+        return None, ["$: type"]
+    try:
+        value = json.loads(text)
+    except RecursionError:
+        return None, ["$: depth"]
+    except ValueError:
+        return None, ["$: JSON"]
+    open_values, depth = [value], 0
+    while open_values:
+        depth += 1
+        inner: list = []
+        for v in open_values:
+            if isinstance(v, dict):
+                inner += [*v.keys(), *v.values()]
+            elif isinstance(v, list):
+                inner += v
+            elif isinstance(v, str) and any("\ud800" <= c <= "\udfff" for c in v):
+                return None, ["$: encoding"]
+            elif isinstance(v, float) and v - v != 0:
+                return None, ["$: number"]
+        open_values = inner
+        if depth > MOST_DEPTH:
+            return None, ["$: depth"]
+    return value, [] if isinstance(value, dict) else ["$: type"]
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of calls (conv_id, call_id, needs): 0 without needs, else one more than
     the highest level needed.  A need that is no call of the conversation does not count.  A call on a
@@ -100,7 +134,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     "no call".
 
     Null ids of calls and results link with nothing and are left out; a null conv_id is a conversation
-    of its own; arguments that are null or no JSON object are invalid; needs may be null.  Empty tables
+    of its own; arguments that are null, no JSON object, nested more than MOST_DEPTH deep or hold what UTF-8 or JSON lack are
+    invalid and serialised as null (a value that is no object as it is); needs may be null.  Empty tables
     give no rows; other columns are ignored.
     """
     conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv_id")
@@ -120,13 +155,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
         for batch in batches:
             status, wrong, message = [], [], []
             for r in batch.to_pylist():
-                found: list[str] = []
-                try:
-                    arguments = json.loads(r["arguments"]) if r["arguments"] is not None else None
-                    if not isinstance(arguments, dict):
-                        found = ["$: type"]
-                except ValueError:
-                    arguments, found = None, ["$: JSON"]
+                arguments, found = parsed(r["arguments"])
                 schema = schemas.get(r["name"])
                 if not found and schema is not None:
                     found = problems(arguments, schema)
@@ -134,7 +163,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
                          else "invalid arguments" if found else "unanswered" if r["n_results"] is None else "ok")
                 status.append(state)
                 wrong.append(found if r["n_calls"] is not None else [])
-                call = None if r["n_calls"] is None else {"arguments": arguments if not isinstance(arguments, dict) or _finite(arguments) else None, "id": r["call_id"], "name": r["name"]}
+                call = None if r["n_calls"] is None else {"arguments": arguments, "id": r["call_id"], "name": r["name"]}
                 message.append(canonical({"call": call, "result": r["content"]}))
             keep = batch.select(["conv_id", "call_id", "turn", "level", "position", "name", "n_calls", "n_results"])
             yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(status, pa.string()), pa.array(wrong, pa.list_(pa.string())), pa.array(message, pa.string())],
@@ -144,15 +173,6 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     return ready.mapInArrow(work, "conv_id string, call_id string, turn long, level int, position long, name string, n_calls long, n_results long, status string, problems array<string>, message string")
 
 
-def _finite(value) -> bool:
-    """No NaN or infinity, which JSON lacks."""
-    if isinstance(value, dict):
-        return all(map(_finite, value.values()))
-    if isinstance(value, list):
-        return all(map(_finite, value))
-    return not isinstance(value, float) or value - value == 0
-
-
 #: Schemas of the tools that derived() calls.
 SCHEMAS = {
     "search": {"type": "object", "required": ["query", "limit"], "additionalProperties": False,

@@ -54,7 +54,7 @@ def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), tokenizer())
 
 
 def op11_segment_filtered_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

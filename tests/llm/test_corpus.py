@@ -108,7 +108,7 @@ def test_empty_tables(spark, empty, labels):
     assert secret_scan.scan(empty).count() == 0 and secret_scan.mask(empty).count() == 0
     assert packing.pack_documents(empty, queries.tokenizer()).count() == 0
     assert toxicity.judged(empty, labels).count() == 0 and bytecnn.judged(empty, labels).count() == 0
-    assert mixing.mixed(empty, labels).count() == 0
+    assert mixing.mixed(empty, labels, queries.tokenizer()).count() == 0
     assert perplexity.quality(empty).count() == 0
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert crosspolytope.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
@@ -329,16 +329,16 @@ def test_mixing_meets_targets(documents, labels):
     targets = {"en": 30_000.0, "de": 20_000.0, "fr": 20_000.0, "es": 15_000.0}
     s = mixing.Settings()
     model = mixing.learn(documents, labels, "lang", s)
-    members = mixing.memberships(documents, model, s).cache()
+    members = mixing.memberships(documents, model, queries.tokenizer(), s).cache()
     k = len(model.domains)
-    steps = mixing.fit(members, k, np.array([targets[d] for d in model.domains]), s)
+    steps, gap = mixing.fit(members, k, np.array([targets[d] for d in model.domains]), s)
     got = mixing._totals(members, steps, k)
     assert got == pytest.approx([targets[d] for d in model.domains], rel=1e-3)
     rows = members.collect()
     p = np.array([r.posteriors for r in rows])
     assert got == pytest.approx((mixing.rates(p, steps) * [r.tokens for r in rows]) @ p) and (mixing.rates(p, steps) >= 0).all()
     assert sum(r.tokens for r in rows) == sum(len(words(r.text)) for r in documents.collect())
-    more = mixing.resampled(documents, labels)
+    more = mixing.resampled(documents, labels, queries.tokenizer())
     assert more.columns == documents.columns
     assert {r.doc_id for r in more.select("doc_id").collect()} == {r.doc_id for r in documents.select("doc_id").collect()}
 

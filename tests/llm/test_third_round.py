@@ -197,3 +197,52 @@ def test_long_texts_are_read_in_blocks():
     whole = [w for w in text.replace(".", " ").split()] + ["tail", "x"]
     assert len(keys) == len(whole) and len(set(keys)) == len(set(whole))
     assert sorted(sizes)[-2] < 95_000 and np.median(sizes) < 2000
+
+
+# --- what once broke earlier operators ----------------------------------------------------------
+
+def test_odd_arguments_of_tool_calls_are_invalid_and_stop_nothing(spark):
+    import json
+
+    from rolesieve.llm import toolcalls
+
+    deep = "[" * 20_000 + "]" * 20_000
+    odd = {"surrogate": '{"query":"\\ud800","limit":1}', "key": '{"query":"a","limit":1,"\\udfff":1}', "deep": '{"query":' + deep + ',"limit":1}',
+           "nested": '{"query":' + "[" * 300 + "]" * 300 + ',"limit":1}', "bare": deep, "digits": '{"query":"a","limit":' + "9" * 9000 + "}",
+           "infinite": '{"query":"a","limit":1e999}', "pair": '{"query":"\\ud83d\\ude00","limit":2}', "list": "[1]", "none": None, "text": "not json"}
+    calls = spark.createDataFrame([("c", k, i, "search", v, None) for i, (k, v) in enumerate(odd.items())],
+                                  "conv_id string, call_id string, turn long, name string, arguments string, needs array<string>")
+    results = spark.createDataFrame([("c", k, 100, "r") for k in odd], "conv_id string, call_id string, turn long, content string")
+    rows = {r.call_id: r for r in toolcalls.link(calls, results, toolcalls.SCHEMAS).collect()}
+    assert {k: r.problems for k, r in rows.items() if k != "pair"} == {
+        "surrogate": ["$: encoding"], "key": ["$: encoding"], "deep": ["$: depth"], "nested": ["$: depth"], "bare": ["$: depth"], "digits": ["$: JSON"],
+        "infinite": ["$: number"], "list": ["$: type"], "none": ["$: type"], "text": ["$: JSON"]}
+    assert {r.status for k, r in rows.items() if k != "pair"} == {"invalid arguments"} and rows["pair"].status == "ok"
+    assert json.loads(rows["pair"].message)["call"]["arguments"] == {"query": "\U0001f600", "limit": 2}
+    assert json.loads(rows["deep"].message)["call"]["arguments"] is None
+
+
+def test_many_domains_are_mixed_with_the_rarest_as_one(spark):
+    from rolesieve.llm import mixing
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(900):
+        lang = f"l{min(99, int(rng.geometric(0.04)))}"
+        letters = np.random.default_rng(int(lang[1:])).choice(list("abcdefghijklmnopqrstuvwxyz"), 5)
+        rows.append((i, " ".join("".join(rng.choice(letters, 4)) for _ in range(20)), lang))
+    docs = spark.createDataFrame([*rows, (5000, None, "l1"), (5001, "", None)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 900)], "doc_id long, quality int, toxic int")
+    s = mixing.Settings(most_domains=10)
+    model = mixing.learn(docs, labels, "lang", s)
+    assert len(model.domains) == 10 and mixing.REST in model.domains
+    assert np.exp(model.priors).sum() == pytest.approx(1)
+    got = mixing.mixed(docs, labels, tokenizer(), s=s).collect()
+    assert len(got) == len(rows) + 2 and {r.domain for r in got} <= set(model.domains) and len({r.gap for r in got}) == 1
+    from tokenizers import Tokenizer
+
+    own, texts = Tokenizer.from_file(tokenizer()), {r[0]: r[1] for r in rows} | {5000: "", 5001: ""}
+    assert all(r.n_tokens == len(own.encode(texts[r.doc_id], add_special_tokens=False).ids) for r in got)
+    assert len(mixing.learn(docs, labels, "lang").domains) == min(64, len({r[2] for r in rows}))
+    few = mixing.mixed(docs, labels, tokenizer(), targets={"l1": 5000.0}, s=mixing.Settings(most_domains=10, rounds=0)).first()
+    assert few.gap > s.tolerance  # not met, and said so

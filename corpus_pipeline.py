@@ -30,7 +30,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, those of rarer languages repeated towards the target weights."""
-    return mixing.resampled(docs, table(spark, sf_dir, "labels"))
+    return mixing.resampled(docs, table(spark, sf_dir, "labels"), tokenizer())
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions.urls import TRACKING_KEYS
 from ..functions.years import NOISE_NEARBY, YEAR_PATTERNS
 from ..operators.counts import DEGREES
 from ..sources.fixtures import postings_sql
-from .queries import GRID, LEDGER_BATCHES, SHARED_TURNS, SIGNED, SITES
+from .queries import FIRST_DAY, GRID, LEDGER_BATCHES, SHARED_TURNS, SIGNED, SITES
 
 # A stream's batches have its own numbers.
 SHARED_NAMES = [(who, SHARED_TURNS[:i].count(who)) for i, who in enumerate(SHARED_TURNS)]
@@ -467,5 +467,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_new_only": _with(P, _batches()) + "SELECT seq, job_url, batch_id FROM stored",
         "stream_skill_totals": _with(P, KEY_TEXT) + "SELECT skill, count(*) AS n FROM ks GROUP BY skill",
         "stream_daily_counts": "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
-        "stream_first_within": p + f"SELECT DISTINCT {_canonical('job_url')} AS job_url FROM p",
+        "stream_first_within": _with(P, f"u AS (SELECT DISTINCT {_canonical('job_url')} AS job_url, {FIRST_DAY} + (seq * 37) % 120 * 86400 AS at_s FROM p)",
+                                     "g AS (SELECT *, lag(at_s) OVER (PARTITION BY job_url ORDER BY at_s) AS before FROM u)")
+                               + f"SELECT cuts, job_url, CAST(at_s AS BIGINT) AS at_s FROM g, (SELECT CAST(unnest([1, 3, 6]) AS INTEGER) AS cuts) c WHERE before IS NULL OR at_s - before > {14 * 86400}",
     }

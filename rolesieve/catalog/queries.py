@@ -15,7 +15,7 @@ from ..plans.enrich import enrich
 from ..session import scratch_path
 from ..sources import feeds, outputs, postings as posting_files
 from ..sources.fixtures import postings, table
-from ..streaming import incremental as streaming
+from ..streaming import first_seen, incremental as streaming
 
 # The searched boards of the derived postings.
 SITES = ("linkedin", "indeed", "remotive")
@@ -24,6 +24,7 @@ SNOWFLAKE = Profile(("snowflake", "dbt"), 2, 6)
 # Whose turn it is on the shared store, and the batches of the levelled ledger.
 SHARED_TURNS = ("a", "b", "batch", "a", "b")
 LEDGER_BATCHES = 24
+FIRST_DAY = 1_700_006_400
 REPORT_CRITERIA = {"query": "engineer", "mid": True, "max_years": 4, "min_match": 8.0}
 
 
@@ -619,14 +620,18 @@ def stream_daily_counts(spark, sf):
 
 
 def stream_first_within(spark, sf):
-    landed, out, checkpoint = (scratch_path(spark, n) for n in ("landed", "first", "first-state"))
-    # Landing time: one second per posting, so the whole table lies within the delay.
-    stamped = postings(spark, sf).withColumn("ingest_ts", F.timestamp_seconds(F.lit(1700000000) + F.col("seq")))
-    for batch in range(3):
-        _land(stamped.where(F.col("batch_id") == batch), landed)
-        stream = streaming.read_landed(spark, landed, stamped.schema).select("job_url", "ingest_ts")
-        streaming.start_first_within(stream, "ingest_ts", out, checkpoint, "3650 days").awaitTermination()
-    return spark.read.parquet(out).select("job_url")
+    """First postings of a URL in a fortnight, of a stream that lands in three, then in six, then in one go."""
+    stamped = postings(spark, sf).select("job_url", F.timestamp_seconds(F.lit(FIRST_DAY) + F.pmod(F.col("seq") * 37, F.lit(120)) * 86400).alias("at"))
+    out = []
+    for cuts in (3, 6, 1):
+        landed, path, checkpoint = (scratch_path(spark, n) for n in ("landed", "first", "first-state"))
+        for part in range(cuts):
+            _land(stamped.where(F.pmod(F.hash("job_url", "at"), F.lit(cuts)) == part), landed)
+            stream = streaming.read_landed(spark, landed, stamped.schema)
+            table_ = first_seen.first_seen(stream, "at", path, "14 days", "120 days")
+            table_.start(stream, checkpoint).awaitTermination()
+        out.append(table_.rows().select(F.lit(cuts).alias("cuts"), "job_url", F.unix_seconds("at").alias("at_s")))
+    return posting_files.union_by_name(out)
 
 
 NOT_QUERIES = {"queries"}

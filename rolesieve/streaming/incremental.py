@@ -11,7 +11,6 @@ from ..config import DEFAULT, Config
 from ..functions.skills import SkillFinder, in_list_order
 from ..functions.urls import canonical_url
 from ..operators.counts import posting_text
-from ..operators.dedupe import keep_first
 from ..plans.incremental import Store, ingest_batch
 from ..schema import RAW_POSTINGS
 
@@ -64,8 +63,8 @@ def start_skill_totals(landed: DataFrame, path: str, checkpoint: str, skills: tu
 def first_within(landed: DataFrame, event_time: str, delay: str = "30 days") -> DataFrame:
     """First row per canonical URL within the delay; state older than it is dropped.
 
-    Rows later than the delay are dropped by the engine, first copies too: where none may be lost,
-    use start_first_within().
+    Rows later than the delay are dropped by the engine, first copies too: where none may be lost, or
+    the rows must not depend on how the stream is cut, use first_seen.first_seen().
     """
     return (
         landed.withColumn("job_url", canonical_url(F.col("job_url")))
@@ -73,33 +72,6 @@ def first_within(landed: DataFrame, event_time: str, delay: str = "30 days") ->
     )
 
 
-def start_first_within(landed: DataFrame, event_time: str, path: str, checkpoint: str, delay: str = "30 days") -> StreamingQuery:
-    """Writes the first row per canonical URL; a copy is one whose time is within ``delay`` of a row written before.
-
-    What was written is the state: a micro-batch meets the rows of earlier ones that lie within the
-    delay of its own times, so a late first copy passes and only real copies are left out.  Of a
-    URL's rows in one micro-batch the earliest stays.  A replayed micro-batch replaces its folder.
-    """
-    span = F.expr(f"INTERVAL {delay}")
-    schema = T.StructType([*landed.schema.fields, T.StructField("batch_id", T.LongType())])
-
-    def one(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        # Bounds of the batch's times, one row.
-        low, high = batch.agg(F.min(F.col(event_time) - span), F.max(F.col(event_time) + span)).first()
-        rows = keep_first(batch.withColumn("job_url", canonical_url(F.col("job_url"))), "job_url", [event_time])
-        if low is not None and batch_id > 0:
-            before = spark.read.schema(schema).parquet(path).where(F.col("batch_id") < batch_id)
-            near = before.where(F.col(event_time).between(F.lit(low), F.lit(high)))
-            near = near.select(F.col("job_url").alias("_url"), F.col(event_time).alias("_at"))
-            at = F.col(event_time)
-            copy = (F.col("job_url") == F.col("_url")) & at.between(F.col("_at") - span, F.col("_at") + span)
-            rows = rows.join(near, copy, "left_anti")
-        _write_batch(rows.select(*landed.columns), path, batch_id)
-
-    return _start(landed.writeStream, one, checkpoint)
-
-
 def _write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/batch_id={batch_id}")
 

@@ -1,15 +1,17 @@
 """Secrets in texts, told apart by who owns them: DataFrame functions only.
 
 Fixed patterns find assignments, access keys and hex runs.  A wider pattern finds further tokens; of
-these, a value counts as a live credential when it looks random and belongs to one owner in the
-whole corpus, while a value that several owners have is a copied example.
+these, a value counts as a live credential when it looks random and belongs to one owner and few
+repositories in the whole corpus, while a value that several owners or many repositories have is a
+copied example.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import stored
 
@@ -26,13 +28,13 @@ _HINT = {
 }
 _SEARCH = {"hex": r"[0-9a-f]{32,}", "owned": r"[A-Za-z0-9+/_=-]{20,}"}  # as the base rule, for runs of full length
 
-SPAN = "array<struct<start:int, end:int, kind:string, value_hash:string>>"
+SPAN = "struct<start:int,n:int,end:int,kind:string,value_hash:string>"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """A further token is a live credential with letters, a digit, ``distinct`` different characters
-    and at most ``owners`` owners.
+    """A further token is a live credential with letters, a digit, ``distinct`` different characters,
+    at most ``owners`` owners and at most ``repositories`` repositories.
 
     By texts, as mask() judges, copies of one text have one owner together, and a value in more than
     ``texts`` different texts is a copied example, whoever owns them.
@@ -40,44 +42,47 @@ class Settings:
 
     distinct: int = 10
     owners: int = 1
+    repositories: int = 100
     texts: int = 100
 
 
-def _spans(kind: str, pattern: str, group: int, least: int) -> Column:
-    """All matches of a pattern in ``text``, in code points, leftmost first and without overlap.
+_KINDS = [(k, _SEARCH.get(k, p), g, n) for k, p, g, n in BASE] + [("owned", _SEARCH["owned"], 0, 20)]
+#: Characters of a text's stretch in which spans meet that may overlap.
+_CELL = 64
+#: Characters that mask() rebuilds at a time.
+_STRETCH = 1 << 16
 
-    The text is cut into pieces that each end with a match; their lengths add up to the ends.  \\G ties
-    a piece to the one before, so that what follows the last match is read once.
+
+def _marks(n: int, kind: str, pattern: str, group: int, least: int, s: Settings) -> Column:
+    """All matches of a pattern in ``text``: of each, the piece of text that ends with it, as lengths, and its value's hash.
+
+    \\G ties a piece to the one before, so that what follows the last match is read once; the pieces'
+    lengths add up to the matches' ends.
     """
-    literal = pattern.replace("\\", "\\\\").replace("'", "\\'")
     pieces = F.when(F.col("text").rlike(_HINT[kind]), F.regexp_extract_all(F.col("text"), F.lit(rf"(?s)\G.*?(?:{pattern})"), F.lit(0)))
-    ends = F.expr(f"transform({kind}_lengths, (x, i) -> aggregate(slice({kind}_lengths, 1, i + 1), 0, (a, y) -> a + y))")
-    spans = F.expr(
-        f"filter(transform({kind}_pieces, (p, i) -> struct({kind}_ends[i] - length(regexp_extract(p, '{literal}', 0)) AS start, "
-        f"{kind}_ends[i] AS end, '{kind}' AS kind, regexp_extract(p, '{literal}', {group}) AS value)), s -> length(s.value) >= {least})")
-    return pieces, ends, spans
-
-
-def _with_spans(docs: DataFrame, s: Settings) -> DataFrame:
-    """documents with base and further spans, each (start, end, kind, value_hash), sorted."""
-    df = docs
-    kinds = [(k, _SEARCH.get(k, p), g, n) for k, p, g, n in BASE] + [("owned", _SEARCH["owned"], 0, 20)]
-    made = {k: _spans(k, p, g, n) for k, p, g, n in kinds}
-    df = df.withColumns({f"{k}_pieces": m[0] for k, m in made.items()})
-    df = df.withColumns({f"{k}_lengths": F.transform(f"{k}_pieces", F.length) for k in made})
-    df = df.withColumns({f"{k}_ends": m[1] for k, m in made.items()})
-    df = df.withColumns({f"{k}_found": F.coalesce(m[2], F.expr("array()")) for k, m in made.items()})
-    order = {k: i for i, (k, *_) in enumerate(kinds)}
-    hashed = lambda x: F.struct(x["start"].alias("start"), F.lit(0).alias("n"), x["end"].alias("end"), x["kind"].alias("kind"), F.sha2(x["value"], 256).alias("value_hash"))
-    base = F.concat(*(F.transform(f"{k}_found", lambda x, n=order[k]: hashed(x).withField("n", F.lit(n))) for k, *_ in BASE))
-    looks_live = lambda x: (
-        x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(x["value"], ""))) >= s.distinct))
-    return (
-        df.withColumn("base", F.array_sort(base)).withColumn("more", F.filter("owned_found", looks_live))
-        .withColumn("more", F.expr("filter(more, m -> NOT exists(base, b -> b.start < m.end AND m.start < b.end))"))
-        .withColumn("more", F.transform("more", lambda x: hashed(x).withField("n", F.lit(len(BASE)))))
-        .select(*docs.columns, "base", "more")
-    )
+
+    def mark(piece: Column, i: Column) -> Column:
+        value = F.regexp_extract(piece, pattern, group)
+        fine = F.length(value) >= least
+        if kind == "owned":
+            fine &= value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= s.distinct)
+        return F.struct(F.lit(n).alias("n"), i.alias("i"), F.length(piece).alias("piece"), F.length(F.regexp_extract(piece, pattern, 0)).alias("hit"),
+                        F.when(fine, F.sha2(value, 256)).alias("value_hash"))
+
+    return F.coalesce(F.transform(pieces, mark), F.array().cast("array<struct<n:int,i:int,piece:int,hit:int,value_hash:string>>"))
+
+
+def _spans(marked: DataFrame) -> DataFrame:
+    """(row, n, start, end, value_hash) of rows (row, marks): base spans, and further ones that overlap none, in code points."""
+    marks = marked.select("row", F.inline("marks"))
+    upto = Window.partitionBy("row", "n").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    ends = marks.withColumn("end", F.sum("piece").over(upto).cast("int")).where("value_hash IS NOT NULL")
+    spans = stored(ends.select("row", "n", (F.col("end") - F.col("hit")).alias("start"), "end", "value_hash"), "spans")
+    base, more = spans.where(F.col("n") < len(BASE)), spans.where(F.col("n") == len(BASE))
+    cells = F.explode(F.expr(f"sequence(start div {_CELL}, (end - 1) div {_CELL})")).alias("cell")
+    taken = base.select("row", cells, F.col("start").alias("b_start"), F.col("end").alias("b_end"))
+    met = more.select("row", cells, "start", "end").join(taken, ["row", "cell"]).where("b_start < end AND start < b_end").select("row", "start").distinct()
+    return base.unionByName(more.join(met, ["row", "start"], "left_anti").select(*base.columns))
 
 
 def _line(spans: Column) -> Column:
@@ -108,8 +113,8 @@ def scan(docs: DataFrame, s: Settings = Settings(), owner: str = "source", by_te
     """(doc_id, text_hash, base, spans, n_assign, n_access, n_hex, n_live, n_copied), a row per document.
 
     base and spans hold (start, n, end, kind, value_hash) in the order of start and kind; spans are the
-    base ones and, as kind "owned", the further tokens whose value has at most ``owners`` owners.
-    n_live counts base and further spans with such values, n_copied those that more owners have.
+    base ones and, as kind "owned", the further tokens whose value has at most ``owners`` owners and
+    ``repositories`` repositories.  n_live counts base and further spans with such values, n_copied the others.
     A document is a repository, its ``owner`` column names the owner; a null owner is one owner.  With
     ``by_text``, values are judged by owners of different texts and by the number of these.
 
@@ -119,29 +124,28 @@ def scan(docs: DataFrame, s: Settings = Settings(), owner: str = "source", by_te
     columns = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"))
-    found = _with_spans(columns, s).select("doc_id", "owner", F.xxhash64("text").alias("text_hash"), "base", "more")
+    marks = F.concat(*(_marks(i, *kind, s) for i, kind in enumerate(_KINDS)))
+    found = columns.select("doc_id", "owner", F.xxhash64("text").alias("text_hash"), marks.alias("marks"))
     found = stored(found.withColumn("row", F.monotonically_increasing_id()), "secrets")
-    holders = found.where("size(base) + size(more) > 0")
-    values = holders.select("row", "owner", "text_hash", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("repository"),
-                            F.explode(F.expr("array_distinct(transform(concat(base, more), x -> x.value_hash))")).alias("value_hash"))
+    who = found.where("size(marks) > 0").select("row", "owner", "text_hash", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("repository"))
+    spans = stored(_spans(found.where("size(marks) > 0")), "candidates")
+    values = spans.select("row", "value_hash").distinct().join(who, "row")
     few = F.col("n_owners") <= s.owners
     judged = ownership_by_text(values).select("value_hash", (few & (F.col("n_texts") <= s.texts)).alias("live")) if by_text else (
-        ownership(values).select("value_hash", few.alias("live")))
-    known = stored(judged, "owners")
-    # A row per document and value: values of one owner only, so that copied ones are not moved again.
-    live = values.select("row", "value_hash").join(known.where("live").select("value_hash"), "value_hash")
-    live = live.groupBy("row").agg(F.collect_list("value_hash").alias("live"))
-    marked = holders.join(live, "row", "left").withColumn("live", F.coalesce("live", F.array().cast("array<string>")))
-    none = found.where("size(base) + size(more) = 0").withColumn("live", F.array().cast("array<string>"))
-    all_rows = marked.select(*none.columns).unionByName(none)
-    count = lambda kind: F.expr(f"cast(size(filter(base, x -> x.kind = '{kind}')) AS long)").alias(f"n_{kind}")
-    return all_rows.select(
-        "doc_id", "text_hash", "base",
-        F.array_sort(F.concat("base", F.expr("filter(more, x -> array_contains(live, x.value_hash))"))).alias("spans"),
-        *(count(k) for k, *_ in BASE),
-        F.expr("cast(size(filter(concat(base, more), x -> array_contains(live, x.value_hash))) AS long)").alias("n_live"),
-        F.expr("cast(size(filter(concat(base, more), x -> NOT array_contains(live, x.value_hash))) AS long)").alias("n_copied"),
-    )
+        ownership(values).select("value_hash", (few & (F.col("n_repositories") <= s.repositories)).alias("live")))
+    known = stored(judged.where("live"), "owners")
+    names = F.array(*[F.lit(k) for k, *_ in _KINDS])
+    span = F.struct("start", "n", "end", F.element_at(names, F.col("n") + 1).alias("kind"), "value_hash")
+    named = spans.join(known, "value_hash", "left").select("row", "n", span.alias("span"), F.coalesce("live", F.lit(False)).alias("live"))
+    is_base, none = F.col("n") < len(BASE), F.array().cast(f"array<{SPAN}>")
+    per_row = named.groupBy("row").agg(
+        F.array_sort(F.collect_list(F.when(is_base, F.col("span")))).alias("base"),
+        F.array_sort(F.collect_list(F.when(is_base | F.col("live"), F.col("span")))).alias("spans"),
+        *(F.count_if(F.col("n") == i).alias(f"n_{k}") for i, (k, *_) in enumerate(BASE)),
+        F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_copied"))
+    counts = [*(f"n_{k}" for k, *_ in BASE), "n_live", "n_copied"]
+    return found.select("row", "doc_id", "text_hash").join(per_row, "row", "left").select(
+        "doc_id", "text_hash", *(F.coalesce(c, none).alias(c) for c in ("base", "spans")), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -157,19 +161,22 @@ def mask(docs: DataFrame, s: Settings = Settings(), owner: str = "source", sign:
     Owners are counted by text: a token stays a secret when its document has a copy in another source,
     and is none when one source has it in more than ``texts`` texts.
     """
-    found = scan(docs, s, owner, by_text=True).where("size(spans) > 0").select(
-        F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), F.col("spans").alias("_spans"))
+    own = {k: f"{k}_{uuid.uuid4().hex}" for k in ("doc_id", "text_hash", "spans", "hash")}
+    found = scan(docs, s, owner, by_text=True).where("size(spans) > 0").select(*(F.col(k).alias(own[k]) for k in ("doc_id", "text_hash", "spans")))
     # Rows of one id and text have the same base spans, and the same further ones but for their owners.
-    found = found.groupBy("_doc_id", "_text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_spans")))).alias("_spans"))
-    keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (F.col("_hash") == F.col("_text_hash")), "left")
+    found = found.groupBy(own["doc_id"], own["text_hash"]).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(own["spans"])))).alias(own["spans"]))
+    keyed = docs.withColumn(own["hash"], F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    joined = keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(own["doc_id"])) & (F.col(own["hash"]) == F.col(own["text_hash"])), "left")
+    # Stretch by stretch, so that a long text of many spans is not copied as a whole for each of them.
     rebuilt = F.expr(
-        "aggregate(_spans, named_struct('made', '', 'at', 0), (a, x) -> named_struct("
-        "'made', if(x.start >= a.at, concat(a.made, substring(text, a.at + 1, x.start - a.at), '{sign}'), a.made), "
-        "'at', greatest(a.at, x.end)), a -> concat(a.made, substring(text, a.at + 1)))".replace("{sign}", sign))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(rebuilt)
-    n_chars = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")) if "n_chars" in docs.columns else None
-    changed = {"text": text} | ({"n_chars": n_chars} if n_chars is not None else {})
+        f"array_join(transform(regexp_extract_all(text, '(?s).{{1,{_STRETCH}}}', 0), (p, i) -> aggregate("
+        f"filter({own['spans']}, x -> x.end > i * {_STRETCH} AND x.start < (i + 1) * {_STRETCH}), named_struct('made', '', 'at', i * {_STRETCH}), "
+        f"(a, x) -> named_struct('made', if(x.start >= a.at, concat(a.made, substring(p, a.at - i * {_STRETCH} + 1, x.start - a.at), '{sign}'), a.made), "
+        f"'at', greatest(a.at, x.end)), a -> concat(a.made, substring(p, a.at - i * {_STRETCH} + 1)))), '')")
+    plain = F.col(own["spans"]).isNull()
+    changed = {"text": F.when(plain, F.col("text")).otherwise(rebuilt)}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(plain, F.col("n_chars")).otherwise(F.length(changed["text"]).cast("long"))
     return joined.withColumns(changed).select(*docs.columns)
 
 
@@ -198,8 +205,9 @@ found AS MATERIALIZED (
 candidates AS MATERIALIZED (
     SELECT * FROM found f WHERE kind <> 'owned' OR NOT EXISTS (
         SELECT 1 FROM found b WHERE b.row = f.row AND b.kind <> 'owned' AND b.s < f.e AND f.s < b.e)),
-owners AS (SELECT value, count(DISTINCT owner) AS n_owners FROM candidates JOIN d USING (row) GROUP BY value),
-spans AS (SELECT c.*, n_owners <= {s.owners} AS live FROM candidates c JOIN owners USING (value)),
+owners AS (SELECT value, count(DISTINCT owner) AS n_owners, count(DISTINCT (owner, coalesce(CAST(doc_id AS VARCHAR), ''))) AS n_repositories
+    FROM candidates JOIN d USING (row) GROUP BY value),
+spans AS (SELECT c.*, n_owners <= {s.owners} AND n_repositories <= {s.repositories} AS live FROM candidates c JOIN owners USING (value)),
 per_row AS (
     SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
         {line.format(f="FILTER (kind <> 'owned')")} AS base, {line.format(f="FILTER (kind <> 'owned' OR live)")} AS spans,

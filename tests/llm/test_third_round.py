@@ -1,6 +1,7 @@
 """Hard negatives, token files and collocations: against SQL, brute force, and with odd input."""
 
 import io
+import re
 import zlib
 
 import duckdb
@@ -246,3 +247,37 @@ def test_many_domains_are_mixed_with_the_rarest_as_one(spark):
     assert len(mixing.learn(docs, labels, "lang").domains) == min(64, len({r[2] for r in rows}))
     few = mixing.mixed(docs, labels, tokenizer(), targets={"l1": 5000.0}, s=mixing.Settings(most_domains=10, rounds=0)).first()
     assert few.gap > s.tolerance  # not met, and said so
+
+
+def test_secrets_of_long_logs_take_time_by_their_number(spark):
+    import time
+
+    from rolesieve.llm import secret_scan
+
+    schema = "doc_id long, text string, source string, n_chars long, _spans int, _hash string"
+
+    def log(n):
+        return " ".join(f"é password={'ab' * 4}{i:06d}" for i in range(n))
+
+    took = {}
+    for n in (500, 10_000, 20_000):
+        docs = spark.createDataFrame([(1, log(n), "s", 0, 5, "h")], schema)
+        begin = time.time()
+        row = secret_scan.digest(secret_scan.scan(docs)).first()
+        took[n] = time.time() - begin
+        assert row.n_assign == n and row.spans.count("assign") == n
+    assert took[20_000] < 2 * took[10_000] + 2
+    text = "x" * 65_530 + " password=abcdefgh12 " + "y" * 70_000 + " token: 'zzzzzzzz9'" + log(3000)
+    for _ in range(2):
+        row = secret_scan.mask(spark.createDataFrame([(1, text, "s", 0, 5, "h")], schema)).first()
+    want = re.sub(secret_scan.BASE[0][1], lambda m: "[SECRET]" if len(m[2]) >= 8 else m[0], text)
+    assert row.text == want and row.n_chars == len(want) and (row["_spans"], row["_hash"]) == (5, "h")
+
+
+def test_a_token_of_many_repositories_is_a_copied_example(spark):
+    from rolesieve.llm import secret_scan
+
+    token, own = "tok_Ab3dEf6hIj9kLm2nOp5q", "own_Zy8xWv6uTs4rQp2oNm0l"
+    rows = [(i, f"see {token} here {i}", "hot") for i in range(150)] + [(900, f"{own} a", "s"), (901, f"{own} b", "s")]
+    got = {r.doc_id: r.spans for r in secret_scan.digest(secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()}
+    assert got[0] == "" and got[149] == "" and got[900] == f"owned:0:{len(own)}" and got[901] == f"owned:0:{len(own)}"

@@ -26,7 +26,7 @@ def op2_perplexity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_multiple_instance_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("sentences")
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions.urls import TRACKING_KEYS
 from ..functions.years import NOISE_NEARBY, YEAR_PATTERNS
 from ..operators.counts import DEGREES
 from ..sources.fixtures import postings_sql
-from .queries import FIRST_DAY, GRID, LEDGER_BATCHES, SHARED_TURNS, SIGNED, SITES
+from .queries import FIRST_DAY, GRID, LEDGER_BATCHES, OVERLAY, SHARED_TURNS, SIGNED, SITES
 
 # A stream's batches have its own numbers.
 SHARED_NAMES = [(who, SHARED_TURNS[:i].count(who)) for i, who in enumerate(SHARED_TURNS)]
@@ -408,6 +408,14 @@ def oracle_sql() -> dict[str, str]:
                                "placed AS (SELECT seq, seq // 10 AS payload, CAST(row_number() OVER (PARTITION BY seq // 10 ORDER BY seq) - 1 AS INTEGER) AS place FROM p)")
                          + "SELECT payload, place, url AS job_url, trim(title) AS title, coalesce(nullif(trim(company), ''), 'Unknown') AS company, location "
                            "FROM d JOIN placed USING (seq) WHERE stage = 'kept'",
+        "feed_b_several": _with(P, "l AS (SELECT *, coalesce(source_location, 'Dhaka, Bangladesh') AS loc, lower(coalesce(source_location, 'Dhaka, Bangladesh')) AS l FROM p)")
+                          + f"""SELECT min(seq) OVER w AS payload, CAST(row_number() OVER (PARTITION BY seq // 10, loc ORDER BY seq) - 1 AS INTEGER) AS place, concat('adz-', seq) AS id, job_url, company, location,
+            nullif(CAST(seq % 4 * 1000 AS DOUBLE), 0) AS min_amount, nullif(CAST(seq % 3 * 2500.5 AS DOUBLE), 0) AS max_amount, {_currency(COUNTRY)} AS currency FROM l WINDOW w AS (PARTITION BY seq // 10, loc)""",
+        "ledger_reset": p + f"SELECT DISTINCT {_canonical('job_url')} AS job_url, CAST(2 AS BIGINT) AS batch_id FROM p WHERE batch_id = 2",
+        "settings_overlay": _with(P, _skill_rows("os", "p", "concat(coalesce(title, ''), ' ', description)", [s.lower() for s in OVERLAY["my_skills"]]),
+                                  "og AS (SELECT seq, string_agg(skill, ', ' ORDER BY place) AS skills FROM os GROUP BY seq)")
+                            + f"SELECT p.seq, coalesce(skills, '') AS skills, ({_matches('title', OVERLAY['title_include_patterns'])} AND NOT {_matches('title', DEFAULT.title_exclude_patterns)}) AS wanted, "
+                              "false AS is_listed FROM p LEFT JOIN og USING (seq)",
         "feed_c": p + "SELECT seq, site, title, CAST(seq % 2 * 50 AS INTEGER) AS source_offset, 'data engineer' AS source_query, 'India' AS source_location FROM p",
         "union_by_name": p + "SELECT seq, title, CAST(NULL AS VARCHAR) AS company FROM p UNION ALL SELECT seq, NULL, company FROM p",
         "market_summary": _with(*ANALYSED_CTES, VALID_SKILLS) + _summary("enriched", "es", "es"),

@@ -6,8 +6,9 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..config import DEFAULT, Profile
+from ..config import DEFAULT, Profile, load_config
 from ..functions import display, text, titles, years
+from ..functions.skills import matched_skills
 from ..functions.urls import canonical_url
 from ..operators import counts, dedupe, filters, grid, ledger, levelled, ranking, totals, validate
 from ..plans import analyze, incremental, ingest, publish, report, summary, trend
@@ -24,6 +25,8 @@ SNOWFLAKE = Profile(("snowflake", "dbt"), 2, 6)
 # Whose turn it is on the shared store, and the batches of the levelled ledger.
 SHARED_TURNS = ("a", "b", "batch", "a", "b")
 LEDGER_BATCHES = 24
+# Settings of a file, as they may be written: skills in any case.
+OVERLAY = {"my_skills": ("Kafka", "DBT"), "title_include_patterns": (r"\banalyst\b", r"\barchitect\b")}
 FIRST_DAY = 1_700_006_400
 REPORT_CRITERIA = {"query": "engineer", "mid": True, "max_years": 4, "min_match": 8.0}
 
@@ -149,8 +152,6 @@ def band_filter(spark, sf):
 
 
 def skills_matched(spark, sf):
-    from ..functions.skills import matched_skills
-
     matched = F.array_join(matched_skills(counts.posting_text(), DEFAULT.key_skills), ", ")
     return postings(spark, sf).select("seq", matched.alias("skills"))
 
@@ -286,6 +287,26 @@ def ingest_funnel(spark, sf):
     return ingest.funnel(ingest.decide(_later_postings(spark, sf), _ledger_of_batch_zero(spark, sf)), queries_run=6)
 
 
+def ledger_reset(spark, sf):
+    """A ledger of two batches, reset, and filled by the third alone."""
+    path, p = scratch_path(spark, "ledger"), postings(spark, sf).select("batch_id", canonical_url(F.col("job_url")).alias("job_url"))
+    for batch in range(2):
+        ledger.write_ledger_batch(p.where(F.col("batch_id") == batch), path, batch)
+    ledger.reset_ledger(spark, path)
+    ledger.write_ledger_batch(p.where("batch_id = 2"), path, 2)
+    return ledger.read_ledger(spark, path)
+
+
+def settings_overlay(spark, sf):
+    """Settings of a file laid over the shipped ones: its skills and title patterns, the shipped exclusions."""
+    path = scratch_path(spark, "settings")
+    spark.range(1).select(F.to_json(F.struct(*[F.array(*map(F.lit, v)).alias(k) for k, v in OVERLAY.items()])).alias("value")).coalesce(1).write.text(path)
+    cfg = load_config(path, spark)
+    skills = F.array_join(matched_skills(counts.posting_text(), cfg.my_skills), ", ")
+    return postings(spark, sf).select("seq", skills.alias("skills"), titles.is_wanted_title(F.col("title"), cfg).alias("wanted"),
+                                      titles.is_listed_company(F.col("company"), cfg.fortune_500_companies).alias("is_listed"))
+
+
 def collected_query(spark, sf):
     raw = postings(spark, sf).where("source_query = 'data engineer'")
     sites = [raw.where(F.col("site") == s) for s in SITES]
@@ -307,8 +328,8 @@ def feed_a(spark, sf):
     return feeds.feed_a(landed)
 
 
-def feed_b(spark, sf):
-    item = F.struct(
+def _feed_b_item() -> Column:
+    return F.struct(
         F.col("seq").cast("string").alias("id"), F.col("job_url").alias("redirect_url"), "title",
         F.struct(F.col("company").alias("display_name")).alias("company"),
         F.struct(F.col("location").alias("display_name")).alias("location"),
@@ -316,13 +337,26 @@ def feed_b(spark, sf):
         (F.col("seq") % 4 * 1000).alias("salary_min"),
         F.when(F.col("seq") % 3 > 0, (F.col("seq") % 3 * 2500.5).cast("string")).otherwise("").alias("salary_max"),
     )
+
+
+def feed_b(spark, sf):
     landed = postings(spark, sf).select(
         F.coalesce("source_location", F.lit("Dhaka, Bangladesh")).alias("source_location"),
-        _payload("results", item).alias("payload"),
+        _payload("results", _feed_b_item()).alias("payload"),
     )
     return feeds.feed_b(landed)
 
 
+def feed_b_several(spark, sf):
+    """Payloads of up to ten results of one search location; a result's key is its payload's and its place there."""
+    located = postings(spark, sf).withColumn("source_location", F.coalesce("source_location", F.lit("Dhaka, Bangladesh")))
+    # Ten rows a group at most.
+    grouped = located.groupBy(F.floor(F.col("seq") / 10).alias("ten"), "source_location").agg(
+        F.min("seq").alias("seq"), F.array_sort(F.collect_list(F.struct(F.col("seq").alias("place"), _feed_b_item().alias("item")))).alias("items"))
+    landed = grouped.select("seq", "source_location", F.to_json(F.struct(F.transform("items", lambda e: e["item"]).alias("results"))).alias("payload"))
+    return feeds.feed_b(landed).select(F.col("seq.payload").alias("payload"), F.col("seq.place").alias("place"), "id", "job_url", "company", "location", "min_amount", "max_amount", "currency")
+
+
 def feed_ingested(spark, sf):
     """Payloads of several postings, ten a payload, through the feed into ingestion by (payload, place)."""
     item = F.struct(
@@ -605,7 +639,7 @@ def stream_skill_totals(spark, sf):
     for batch in range(3):
         _land(postings(spark, sf).where(F.col("batch_id") == batch), landed)
         streaming.start_skill_totals(streaming.read_landed(spark, landed), out, checkpoint).awaitTermination()
-    return spark.read.parquet(out)
+    return streaming.read_skill_totals(spark, out)
 
 
 def stream_daily_counts(spark, sf):

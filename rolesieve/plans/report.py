@@ -35,9 +35,12 @@ def html_rows(df: DataFrame) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str, **criteria: Any) -> None:
-    """Report data set, facets, HTML rows and the CSV of the visible rows under one folder."""
-    rows = report_dataset(df)
-    overwrite_table(rows, f"{path}/rows")
+    """Report data set, facets, HTML rows and the CSV of the visible rows under one folder.
+
+    The frame is evaluated once, for the rows; the others are made of these.
+    """
+    overwrite_table(report_dataset(df), f"{path}/rows")
+    rows = df.sparkSession.read.parquet(f"{path}/rows")
     overwrite_table(facets(rows), f"{path}/facets")
     html_rows(rows).write.mode("overwrite").text(f"{path}/html")
     write_csv(report_export(report_filter(rows, **criteria)), f"{path}/visible")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -13,6 +14,7 @@ from ..functions.urls import canonical_url
 from ..operators.counts import posting_text
 from ..plans.incremental import Store, ingest_batch
 from ..schema import RAW_POSTINGS
+from ..sources.commits import CommitLog
 
 
 def read_landed(spark: SparkSession, path: str, schema: T.StructType = RAW_POSTINGS, fmt: str = "parquet",
@@ -49,15 +51,23 @@ def skill_totals(landed: DataFrame, skills: tuple[str, ...] = DEFAULT.key_skills
 
 
 def start_skill_totals(landed: DataFrame, path: str, checkpoint: str, skills: tuple[str, ...] = DEFAULT.key_skills) -> StreamingQuery:
-    """Rewrite the totals table after each micro-batch; it is as short as the skill list."""
+    """Write the totals anew after each micro-batch, as the next version; readers have the one before until it is whole.
 
-    def one(totals: DataFrame, _: int) -> None:
-        totals.write.mode("overwrite").parquet(path)
+    The table is as short as the skill list.  Read it with read_skill_totals().
+    """
 
-    return (
-        skill_totals(landed, skills).writeStream.outputMode("complete").foreachBatch(one)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    def one(totals: DataFrame, batch_id: int) -> None:
+        name = f"totals-{uuid.uuid4().hex}"
+        totals.write.parquet(f"{path}/{name}")
+        CommitLog(totals.sparkSession, path).commit(lambda m: (m if m and m["batch"] > batch_id else {"batch": batch_id, "totals": name}, None))
+
+    return _start(skill_totals(landed, skills).writeStream.outputMode("complete"), one, checkpoint)
+
+
+def read_skill_totals(spark: SparkSession, path: str) -> DataFrame:
+    """(skill, n) of the newest version; nothing before the first."""
+    newest = CommitLog(spark, path).newest()[1]
+    return spark.read.schema("skill string, n long").parquet(f"{path}/{newest['totals']}") if newest else spark.createDataFrame([], "skill string, n long")
 
 
 def first_within(landed: DataFrame, event_time: str, delay: str = "30 days") -> DataFrame:

@@ -29,7 +29,7 @@ def _title(raw: DataFrame) -> Column:
 
 
 def ingest_keys(raw: DataFrame, cfg: Config = DEFAULT, seq: str = "seq") -> DataFrame:
-    """(seq, job_url, fingerprint, has_title, wanted): all that decides about a posting, without its texts."""
+    """(seq, job_url, fingerprint as two hashes, has_title, wanted): all that decides about a posting, without its texts."""
     raw = _with_job_url(raw)
     return dedupe.posting_keys(raw, seq, carry={
         "has_title": has_title(_title(raw)),
@@ -38,46 +38,55 @@ def ingest_keys(raw: DataFrame, cfg: Config = DEFAULT, seq: str = "seq") -> Data
 
 
 def decide_keys(keys: DataFrame, hits: DataFrame | None = None) -> DataFrame:
-    """decide() from ingest_keys() and the URLs among them that were kept before."""
-    out = dedupe.first_per_fingerprint(dedupe.first_per_url(keys))
+    """(seq, url_key, stage, n_rows) from ingest_keys() and the URLs among them that were kept before.
+
+    The hits meet the URLs where these are grouped already; from there on a number stands for the stage.
+    """
+    urls = dedupe.first_per_url(keys)
     is_seen = F.lit(False)
     if hits is not None:
-        out = out.join(hits.withColumn("_seen", F.lit(True)), "job_url", "left")
+        urls = urls.join(hits.withColumn("_seen", F.lit(True)), "job_url", "left")
         is_seen = F.coalesce("_seen", F.lit(False))
-    stage = (
-        F.when(is_seen, "seen")
-        .when(~F.col("has_title") | ~is_http_url(F.col("job_url")), "invalid")
-        .when(~F.col("wanted"), "unwanted title")
-        .otherwise(KEPT)
+    code = (
+        F.when(is_seen, 0)
+        .when(~F.col("has_title") | ~is_http_url(F.col("job_url")), 1)
+        .when(~F.col("wanted"), 2)
+        .otherwise(3)
     )
-    return out.select("seq", "job_url", stage.alias("stage"), "n_rows")
+    out = dedupe.first_per_fingerprint(urls.select("seq", "job_url", "print_a", "print_b", code.alias("code"), "n_rows"))
+    names = F.array(*[F.lit(name) for name in ("seen", "invalid", "unwanted title", KEPT)])
+    return out.select("seq", "url_key", F.element_at(names, F.col("code") + 1).alias("stage"), "n_rows")
 
 
 def decide(raw: DataFrame, seen: DataFrame | None = None, cfg: Config = DEFAULT, include_seen: bool = False,
-           seq: str = "seq") -> DataFrame:
-    """(seq, job_url, stage, n_rows): one row per deduplicated posting and where it ended.
+           seq: str = "seq", urls: bool = True) -> DataFrame:
+    """(seq, url_key, stage, n_rows, job_url): one row per deduplicated posting and where it ended.
 
     stage is seen, invalid, unwanted title or kept; n_rows counts the fetched rows behind it.
     Only keys and flags are shuffled.  ``seq`` must be unique; see sources.postings.with_arrival_key.
+    Without ``urls`` the column job_url, fetched by a join, is left out; nothing else here needs it.
     """
     keys, hits = ingest_keys(raw, cfg, seq), None
     if seen is not None and not include_seen:
         # From the batch's side first: a small batch can be broadcast, and only the ledger's hits move.
-        urls = _with_job_url(raw).select(canonical_url(F.col("job_url")).alias("job_url"))
-        hits = seen.select("job_url").join(urls, "job_url", "left_semi").distinct()
-    return decide_keys(keys, hits)
+        batch = _with_job_url(raw).select(canonical_url(F.col("job_url")).alias("job_url"))
+        hits = seen.select("job_url").join(batch, "job_url", "left_semi").distinct()
+    out = decide_keys(keys, hits)
+    if not urls:
+        return out
+    return out.join(keys.select("seq", "job_url", dedupe.url_key(F.col("job_url")).alias("url_key")), ["seq", "url_key"])
 
 
 def rows_of(raw: DataFrame, decisions: DataFrame, cfg: Config = DEFAULT, seq: str = "seq") -> DataFrame:
     """The kept postings in the fixed schema, listed companies flagged.
 
     Unwanted titles are dropped before the join, so the wide rows that move are near the final ones.
-    The URL is part of the join, so a key that was not unique cannot pair a row with another's URL.
+    The URL's key is part of the join, so an arrival key that was not unique cannot pair a row with another's URL.
     """
     raw = _with_job_url(raw)
-    kept = decisions.where(F.col("stage") == KEPT).select(F.col("seq").alias(seq), "job_url")
+    kept = decisions.where(F.col("stage") == KEPT).select(F.col("seq").alias("_seq"), F.col("url_key").alias("_url_key"))
     wanted = raw.where(is_wanted_title(_title(raw), cfg)).withColumn("job_url", canonical_url(F.col("job_url")))
-    wide = wanted.join(kept, [seq, "job_url"])
+    wide = wanted.join(kept, (F.col(seq) == F.col("_seq")) & (dedupe.url_key(F.col("job_url")) == F.col("_url_key")), "left_semi")
     passed = [c for c in (seq, "batch_id") if c in wide.columns]
     listed = is_listed_company(F.col("company"), cfg.fortune_500_companies)
     return normalise(wide, keep=tuple(passed), canonical=True).withColumn("is_fortune_500", listed)
@@ -91,7 +100,7 @@ def ingest(raw: DataFrame, seen: DataFrame | None = None, cfg: Config = DEFAULT,
     Give ``decisions`` (from decide(), persisted) when the funnel is wanted too.
     """
     if decisions is None:
-        decisions = decide(raw, seen, cfg, include_seen, seq)
+        decisions = decide(raw, seen, cfg, include_seen, seq, urls=False)
     rows = rows_of(raw, decisions, cfg, seq)
     return rows if append else take_top(rows, output_order(), top_n)
 

@@ -325,6 +325,18 @@ NOTE = (
 )
 
 
+def _facet_counts() -> str:
+    """Counts by facet value; a facet's own filter does not count for it."""
+    choices = (
+        {}, {"site": "site IN ('linkedin', 'indeed')", "is_remote": "is_remote = 'true'"},
+        {"job_type": "job_type = 'contract'", "source_location": "source_location = 'India'", "site": "site = 'remotive'"},
+    )
+    return " UNION ALL ".join(
+        f"SELECT {i} AS choice, '{f}' AS facet, {f} AS value, count(*) FILTER ({' AND '.join(c for n, c in chosen.items() if n != f) or 'true'}) AS n "
+        f"FROM v WHERE {f} IS NOT NULL GROUP BY {f}"
+        for i, chosen in enumerate(choices) for f in ("site", "source_location", "job_type", "is_remote"))
+
+
 def oracle_sql() -> dict[str, str]:
     p = _with(P)
     analysed = _with(*ANALYSED_CTES)
@@ -439,6 +451,8 @@ def oracle_sql() -> dict[str, str]:
                                      "lo AS est_min_years, hi AS est_max_years, in_experience_band, is_profile_match, is_remote, job_url FROM enriched",
         "report_display": analysed + f"SELECT seq, {_display(True)}, {REPORTED} AS search FROM enriched",
         "report_facets": p + " UNION ".join(f"SELECT '{c}' AS facet, trim({c}) AS value FROM p WHERE trim({c}) <> ''" for c in ("site", "source_location", "source_query")),
+        "facet_counts": p + ", v AS (SELECT seq, nullif(trim(site), '') AS site, nullif(trim(source_location), '') AS source_location, nullif(trim(job_type), '') AS job_type, "
+                        "CASE WHEN is_remote THEN 'true' ELSE 'false' END AS is_remote FROM p) " + _facet_counts(),
         "report_filtered": analysed + f"SELECT seq, title, match_score FROM enriched WHERE {CRITERIA}",
         "report_my_profile": analysed + "SELECT seq, title, lo AS est_min_years FROM enriched WHERE is_mid_level AND in_experience_band AND (lo IS NULL OR lo <= 4)",
         "report_counts": analysed + f"SELECT count(*) FILTER ({CRITERIA}) AS visible, count(*) AS total, 'Postings where query is engineer and mid and years at most 4 and match at least 8.0' AS filters FROM enriched",

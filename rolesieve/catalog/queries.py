@@ -10,7 +10,7 @@ from ..config import DEFAULT, Profile, load_config
 from ..functions import display, text, titles, years
 from ..functions.skills import matched_skills
 from ..functions.urls import canonical_url
-from ..operators import counts, dedupe, filters, grid, ledger, levelled, ranking, totals, validate
+from ..operators import bitmaps, counts, dedupe, filters, grid, ledger, levelled, ranking, totals, validate
 from ..plans import analyze, incremental, ingest, publish, report, summary, trend
 from ..plans.enrich import enrich
 from ..session import scratch_path
@@ -284,7 +284,7 @@ def ingest_top(spark, sf):
 
 
 def ingest_funnel(spark, sf):
-    return ingest.funnel(ingest.decide(_later_postings(spark, sf), _ledger_of_batch_zero(spark, sf)), queries_run=6)
+    return ingest.funnel(ingest.decide(_later_postings(spark, sf), _ledger_of_batch_zero(spark, sf), urls=False), queries_run=6)
 
 
 def ledger_reset(spark, sf):
@@ -491,6 +491,16 @@ def report_facets(spark, sf):
     return counts.facets(postings(spark, sf))
 
 
+FACET_CHOICES = ({}, {"site": ["linkedin", "indeed"], "is_remote": ["true"]}, {"job_type": ["contract"], "source_location": ["India"], "site": ["remotive"]})
+
+
+def facet_counts(spark, sf):
+    """Counts of every facet value under three filters, from one stored bitmap index."""
+    facets = bitmaps.text_facets(("site", "source_location", "job_type")) | {"is_remote": F.col("is_remote")}
+    idx = _kept(bitmaps.index(postings(spark, sf), facets), "facets")
+    return posting_files.union_by_name([bitmaps.counts(idx, c).select(F.lit(i).alias("choice"), "facet", "value", "n") for i, c in enumerate(FACET_CHOICES)])
+
+
 def report_filtered(spark, sf):
     df = _analysed(spark, sf, ordered=False)
     return filters.report_filter(df, **REPORT_CRITERIA).select("seq", "title", "match_score")

@@ -20,9 +20,11 @@ class Settings:
 
     Training takes at most ``toxic`` and ``clean`` labelled documents of up to ``max_bytes`` each.
     ``leak`` is the log-odds of a sentence without evidence.  A document's noisy-or is over what its
-    sentences have beyond that, so sentences without evidence add nothing, however many there are.  In
-    scoring, sentences below ``threshold`` do not add up either, as a long clean text has thousands of
-    a little evidence: without one that reaches it, the document has the score of its worst sentence.
+    sentences have beyond that, so sentences without evidence add nothing, however many there are.
+    Evidence up to a margin is none, as a long clean text has thousands of sentences with a little: the
+    margin is fitted so that all clean training texts, read as one, stay at ``long_clean``; evidence
+    beyond it is stretched so that what made a sentence's probability one half still does.  The last
+    ``refined`` epochs train with the margin, so training and scoring use one formula.
     """
 
     toxic: int = 1500
@@ -31,6 +33,8 @@ class Settings:
     features: int = 1 << 18
     leak: float = -10.0
     epochs: int = 150
+    refined: int = 10
+    long_clean: float = 0.15
     rate: float = 0.25
     shrink: float = 2e-4
     threshold: float = 0.3
@@ -65,8 +69,38 @@ def _bags(texts: list[str], n: int):
     return np.array(words, np.int64), np.array(sentences, np.int64), np.array(bags, np.int64), listed
 
 
-def train(labelled: list[tuple[str, int]], s: Settings = Settings()) -> np.ndarray:
-    """Weights by feature.  Full-batch Adam on the noisy-or likelihood, shrunk towards zero.
+@dataclass(frozen=True)
+class Model:
+    """Weights by feature, and the evidence up to which a sentence has none."""
+
+    weights: np.ndarray
+    margin: float = 0.0
+
+
+def log_odds(evidence, margin: float, leak: float):
+    """Of sentences with so much evidence; continuous and never falling."""
+    return np.clip(leak + np.maximum(evidence - margin, 0) * (leak / (leak + margin)), -30, 30)
+
+
+def _fitted_margin(evidence: np.ndarray, in_bag: np.ndarray, y: np.ndarray, s: Settings) -> float:
+    """The smallest margin at which the clean documents as one text score at most ``long_clean``.
+
+    Those that score ``threshold`` alone, with no margin, are left out: their labels or the weights are wrong.
+    """
+    none = np.logaddexp(0, s.leak)
+    starts = np.concatenate([[0], np.cumsum(in_bag)])[:-1]
+    alone = np.add.reduceat(np.logaddexp(0, log_odds(evidence, 0.0, s.leak)) - none, starts)
+    clean = evidence[np.repeat((y == 0) & (-np.expm1(-alone) < s.threshold), in_bag)]
+    low, high = 0.0, -0.9 * s.leak
+    for _ in range(40):
+        at = (low + high) / 2
+        beyond = (np.logaddexp(0, log_odds(clean, at, s.leak)) - none).sum()
+        low, high = (low, at) if beyond <= -np.log1p(-s.long_clean) else (at, high)
+    return float(high)
+
+
+def train(labelled: list[tuple[str, int]], s: Settings = Settings()) -> Model:
+    """Full-batch Adam on the noisy-or likelihood, weights shrunk towards zero; then the margin, and epochs with it.
 
     A toxic document's gradient goes to the sentences that look worst, a clean one's to all.  Without
     examples of both classes all weights are zero.
@@ -74,7 +108,7 @@ def train(labelled: list[tuple[str, int]], s: Settings = Settings()) -> np.ndarr
     w = np.zeros(s.features)
     labelled = [(t, y) for t, y in labelled if _WORD.search(t)]
     if len({y for _, y in labelled}) < 2:
-        return w.astype(np.float32)
+        return Model(w.astype(np.float32))
     words, sentences, bags, listed = _bags([t for t, _ in labelled], s.features)
     y = np.array([y for _, y in labelled], float)
     flat = np.concatenate([np.array(f) for f in listed])
@@ -84,29 +118,39 @@ def train(labelled: list[tuple[str, int]], s: Settings = Settings()) -> np.ndarr
     in_bag = np.diff(np.append(bags, len(sentences)))
     m, v = np.zeros_like(w), np.zeros_like(w)
     none = np.logaddexp(0, s.leak)
-    for step in range(1, s.epochs + 1):
-        z = s.leak + np.add.reduceat(np.add.reduceat(w[flat], first)[words], sentences)
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        beyond = np.minimum(none - np.logaddexp(0, np.clip(z, -30, 30)), 0)  # log of (1 - p) / (1 - sigmoid(leak))
+    evidence = lambda: np.add.reduceat(np.add.reduceat(w[flat], first)[words], sentences)
+    margin = 0.0
+    for step in range(1, s.epochs + s.refined + 1):
+        e = evidence()
+        if step == s.epochs + 1:
+            margin = _fitted_margin(e, in_bag, y, s)
+        z = log_odds(e, margin, s.leak)
+        p = 1 / (1 + np.exp(-z))
+        beyond = none - np.logaddexp(0, z)  # log of (1 - p) / (1 - sigmoid(leak))
+        if not margin:
+            beyond = np.minimum(beyond, 0)
         clean = np.add.reduceat(beyond, bags)
         # A toxic document that has no evidence yet asks the same of all its sentences.
         share = np.where(y == 1, np.exp(clean) / np.maximum(-np.expm1(clean), in_bag * -np.expm1(-none)), -1.0)
         dz = np.repeat(share, in_bag) * p
+        if margin:
+            dz *= (e > margin) * (s.leak / (s.leak + margin))
         by_word = np.bincount(words, np.repeat(dz, in_sentence), len(first))
         g = np.bincount(flat, np.repeat(by_word, per_word), s.features) / len(y)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w += s.rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-6)
         w = np.sign(w) * np.maximum(np.abs(w) - s.rate * s.shrink / (np.sqrt(v) + 1e-4), 0)
-    return w.astype(np.float32)
+    # The weights have moved on since the margin was fitted: it is never less than they ask for.
+    return Model(w.astype(np.float32), max(margin, _fitted_margin(evidence(), in_bag, y, s)))
 
 
 class Judge:
     """Scores sentences with trained weights; remembers the scores of words."""
 
-    def __init__(self, weights: np.ndarray, s: Settings):
-        self.weights, self.s, self.known = weights, s, {}
+    def __init__(self, model: Model, s: Settings):
+        self.weights, self.margin, self.s, self.known = model.weights, model.margin, s, {}
         self.none = float(np.logaddexp(0.0, s.leak))
-        self.least = max(s.leak, float(np.log(s.threshold / (1 - s.threshold))))
+        self.stretch = s.leak / (s.leak + model.margin)
 
     def _word(self, word: str) -> float:
         if len(self.known) >= self.s.remembered:
@@ -116,30 +160,27 @@ class Judge:
 
     def document(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """Noisy-or over the sentences' evidence, and (start, end, score) of the offending ones."""
-        clean, top, found = 0.0, self.s.leak, []
-        known, word = self.known, self._word
+        clean, found = 0.0, []
+        known, word, leak, margin = self.known, self._word, self.s.leak, self.margin
         lowered = text.lower()
         same = len(lowered) == len(text)  # else positions are looked up in the text as it is
         for m in _SENTENCE.finditer(lowered if same else text):
-            words = _WORD.findall(m[0] if same else m[0].lower())
-            if not words:
-                continue
-            z = self.s.leak
-            for w in words:
+            e = 0.0
+            for w in _WORD.findall(m[0] if same else m[0].lower()):
                 x = known.get(w)
-                z += word(w) if x is None else x
-            z = min(max(z, -30.0), 30.0)
-            top = max(top, z)
-            if z >= self.least:
-                clean -= float(np.logaddexp(0.0, z)) - self.none
+                e += word(w) if x is None else x
+            if e <= margin:
+                continue
+            z = min(leak + (e - margin) * self.stretch, 30.0)
+            clean -= float(np.logaddexp(0.0, z)) - self.none
             if z >= 0 and (p := 1 / (1 + np.e ** -z)) >= self.s.offending:
                 found.append((m.start(), m.end(), p))
-        return max(0.0, -float(np.expm1(min(clean, self.none - float(np.logaddexp(0.0, top)))))), found
+        return -float(np.expm1(clean)), found
 
 
-def score(docs: DataFrame, weights: np.ndarray, s: Settings = Settings()) -> DataFrame:
+def score(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
     """(doc_id, score, predicted, sentences) of (doc_id, text): sentences are the offending spans."""
-    sent = docs.sparkSession.sparkContext.broadcast(weights)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]):
         judge = Judge(sent.value, s)
@@ -158,8 +199,8 @@ def score(docs: DataFrame, weights: np.ndarray, s: Settings = Settings()) -> Dat
         work, "doc_id long, score double, predicted int, sentences array<struct<start:int,end:int,score:double>>")
 
 
-def learn(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> np.ndarray:
-    """Weights from the labelled rows that are not held out."""
+def learn(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
+    """A model from the labelled rows that are not held out."""
     return train(sample(docs, labels, "toxic", held_out(4, 2), {1: s.toxic, 0: s.clean}, s.max_bytes), s)
 
 

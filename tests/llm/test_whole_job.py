@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rolesieve.llm import minmax, secret_scan, toolcalls, toxicity
+from rolesieve.llm.labelled import sample
 from test_corpus import DOCS, find, made_texts, shingle_set
 
 SF = "/root/testdata/sf0.001"
@@ -55,9 +56,35 @@ def test_length_alone_makes_no_text_toxic(spark):
     weights = np.zeros(s.features, np.float32)
     weights[toxicity.features("hm", s.features)] = 6.0
     weights[toxicity.features("ow", s.features)] = 9.5
-    judge = toxicity.Judge(weights, s)
-    assert judge.document("hm\n" * 50_000)[0] == pytest.approx(judge.document("hm")[0]) and judge.document("none " * 9)[0] == 0
+    judge = toxicity.Judge(toxicity.Model(weights, 7.0), s)
+    assert judge.document("hm\n" * 50_000)[0] == 0 == judge.document("none " * 9)[0]
     assert judge.document("ow. ow")[0] == pytest.approx(1 - (1 - judge.document("ow")[0]) ** 2)
+    # A document by hand: sentences of all strengths add up by one formula, without a jump.
+    none = 1 / (1 + np.exp(-s.leak))
+    for text in ("ow. hm hm. ow hm", "hm. ow. ow. hm ow. ow. none", "", "ow " * 3):
+        clean = 1.0
+        for sentence in filter(str.strip, text.split(".")):
+            e = 6.0 * sentence.split().count("hm") + 9.5 * sentence.split().count("ow")
+            clean *= (1 - 1 / (1 + np.exp(-min(30, s.leak + max(0, e - 7) * s.leak / (s.leak + 7))))) / (1 - none)
+        assert judge.document(text)[0] == pytest.approx(1 - clean, abs=1e-9)
+
+
+def test_training_passes_over_longer_texts_and_uses_the_margin():
+    rows = [(t, y) for _, t, y in made_texts(300)]
+    s = toxicity.Settings()
+    model = toxicity.train(rows, s)
+    assert 0 < model.margin < -s.leak
+    judge = toxicity.Judge(model, s)
+    # All clean training texts read as one stay clean.
+    assert judge.document("\n".join(t for t, y in rows if not y))[0] <= s.long_clean + 0.01
+    assert all((judge.document(t)[0] >= s.threshold) == bool(y) for t, y in rows)
+
+
+def test_sample_fills_up_behind_longer_texts(spark):
+    docs = spark.createDataFrame([(i, "x" * (50 if i % 10 else 5)) for i in range(200)] + [(10, "aaaaa")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, toxic int")
+    got = sample(docs, labels, "toxic", F.lit(False), {1: 15, 0: 3}, 10)
+    assert len(got) == 15 and all(len(t) == 5 and y == 1 for t, y in got)
 
 
 def test_masking_counts_texts_as_well_as_owners(spark):

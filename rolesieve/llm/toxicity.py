@@ -22,7 +22,7 @@ class Settings:
     ``leak`` is the log-odds of a sentence without evidence.  A document's noisy-or is over what its
     sentences have beyond that, so sentences without evidence add nothing, however many there are.
     Evidence up to a margin is none, as a long clean text has thousands of sentences with a little: the
-    margin is fitted so that all clean training texts, read as one, stay at ``long_clean``; evidence
+    margin is fitted so that all clean training texts, read ``repeats`` times as one, stay at ``long_clean``; evidence
     beyond it is stretched so that what made a sentence's probability one half still does.  The last
     ``refined`` epochs train with the margin, so training and scoring use one formula.
     """
@@ -35,6 +35,7 @@ class Settings:
     epochs: int = 150
     refined: int = 10
     long_clean: float = 0.15
+    repeats: int = 1000
     rate: float = 0.25
     shrink: float = 2e-4
     threshold: float = 0.3
@@ -83,7 +84,7 @@ def log_odds(evidence, margin: float, leak: float):
 
 
 def _fitted_margin(evidence: np.ndarray, in_bag: np.ndarray, y: np.ndarray, s: Settings) -> float:
-    """The smallest margin at which the clean documents as one text score at most ``long_clean``.
+    """The smallest margin at which the clean documents, ``repeats`` times as one text, score at most ``long_clean``.
 
     Those that score ``threshold`` alone, with no margin, are left out: their labels or the weights are wrong.
     """
@@ -94,7 +95,7 @@ def _fitted_margin(evidence: np.ndarray, in_bag: np.ndarray, y: np.ndarray, s: S
     low, high = 0.0, -0.9 * s.leak
     for _ in range(40):
         at = (low + high) / 2
-        beyond = (np.logaddexp(0, log_odds(clean, at, s.leak)) - none).sum()
+        beyond = s.repeats * (np.logaddexp(0, log_odds(clean, at, s.leak)) - none).sum()
         low, high = (low, at) if beyond <= -np.log1p(-s.long_clean) else (at, high)
     return float(high)
 

@@ -21,6 +21,9 @@ STOP_WORDS = (
 # A keyword: a letter, then two or more letters or the signs of tech terms (fixed value).
 KEYWORD = r"[a-zA-Z][a-zA-Z+.#/-]{2,}"
 
+# How a number's text begins: what the cast skips, a sign, a digit, or a special value.
+MAY_BE_NUMBER = r"\A(?:[-+.0-9\x00-\x20]|inf|nan)"
+
 
 def regex_literal(text: str) -> str:
     """Escape a plain string so that a Java regex matches it as it stands."""
@@ -56,7 +59,8 @@ def optional_string(c: Column) -> Column:
 def truth(c: Column) -> Column:
     """Boolean from a boolean, a number (not 0) or text such as 'yes' / '1' / 'true'; else false."""
     as_text = F.lower(strip(c.cast("string")))
-    number = as_text.try_cast("double")
+    # A failed cast costs an exception, so only what may begin a number is tried.
+    number = F.when(as_text.rlike(MAY_BE_NUMBER), as_text.try_cast("double"))
     nonzero = F.coalesce((number != 0) & ~F.isnan(number), F.lit(False))
     return F.coalesce(as_text.isin("true", "yes", "y", "t"), F.lit(False)) | nonzero
 

@@ -13,8 +13,8 @@ TRACKING_KEYS = (
     "originalSubdomain", "original_referer",
 )
 
-# Scheme, authority, path and query of any text (RFC 3986 appendix B with a strict scheme).
-PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+# The scheme of any text that has one (RFC 3986 appendix B with a strict scheme).
+SCHEME = r"\A([A-Za-z][A-Za-z0-9+.\-]*):"
 
 # Schemes whose last path segment may hold ';parameters' / that take an authority (fixed values).
 PARAMETER_SCHEMES = (
@@ -30,7 +30,8 @@ AUTHORITY_SCHEMES = (
 
 def _decode(c: Column) -> Column:
     """Form decoding; a '%' that starts no escape stays as it is."""
-    return F.url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
+    decoded = F.url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
+    return F.when(c.contains("%") | c.contains("+"), decoded).otherwise(c)
 
 
 def _encode(c: Column) -> Column:
@@ -41,13 +42,15 @@ def _encode(c: Column) -> Column:
 def _clean_query(query: Column) -> Column:
     pairs = F.transform(
         F.filter(F.split(query, "&"), lambda p: p != ""),
-        lambda p: F.struct(
-            _decode(F.substring_index(p, "=", 1)).alias("k"),
-            _decode(F.when(p.contains("="), F.regexp_replace(p, "(?s)^[^=]*=", "")).otherwise("")).alias("v"),
-        ),
+        lambda p: F.struct(_decode(F.substring_index(p, "=", 1)).alias("k"), p.alias("p")),
     )
     kept = F.filter(pairs, lambda p: ~p["k"].isin(*TRACKING_KEYS) & ~F.lower(p["k"]).startswith("utm_"))
-    return F.array_join(F.transform(kept, lambda p: F.concat(_encode(p["k"]), F.lit("="), _encode(p["v"]))), "&")
+    return F.array_join(F.transform(kept, lambda p: F.concat(_encode(p["k"]), F.lit("="), _encode(_decode(_after(p["p"], "="))))), "&")
+
+
+def _after(text: Column, sign: str) -> Column:
+    """What follows the first ``sign``; '' without one."""
+    return F.substr(text, F.length(F.substring_index(text, sign, 1)) + 2)
 
 
 def _clean_path(scheme: Column, path: Column) -> Column:
@@ -78,20 +81,22 @@ def canonical_url(c: Column) -> Column:
     Null and blank give ''.  A URL with an unbalanced bracket in its host is returned trimmed.
     """
 
-    def split_up(url: Column) -> Column:
-        scheme = F.lower(F.regexp_extract(url, PARTS, 1))
-        return F.struct(
-            scheme.alias("scheme"),
-            F.lower(F.regexp_extract(url, PARTS, 2)).alias("host"),
-            _clean_path(scheme, F.regexp_extract(url, PARTS, 3)).alias("path"),
-            F.regexp_extract(url, PARTS, 4).alias("query"),
-        )
+    def of_parts(text: Column, scheme: Column, rest: Column, query: Column) -> Column:
+        has_host = rest.startswith("//")
+
+        def built(host: Column) -> Column:
+            path = F.when(has_host, F.substr(rest, F.length(host) + 3)).otherwise(rest)
+            low = F.lower(scheme)
+            parts = F.struct(low.alias("scheme"), F.lower(host).alias("host"), _clean_path(low, path).alias("path"), query.alias("query"))
+            return F.when(host.contains("[") != host.contains("]"), text).otherwise(bind(parts, _build))
+
+        return bind(F.when(has_host, F.substring_index(F.substr(rest, F.lit(3)), "/", 1)).otherwise(""), built)
 
     def canonical(text: Column) -> Column:
-        return bind(
-            split_up(text),
-            lambda u: F.when(u["host"].contains("[") != u["host"].contains("]"), text).otherwise(_build(u)),
-        )
+        # Cut at the first '#', then at the first '?', then behind the scheme: plain searches, one short regex.
+        return bind(F.substring_index(text, "#", 1), lambda whole: bind(F.substring_index(whole, "?", 1), lambda front: bind(
+            F.regexp_extract(front, SCHEME, 1), lambda scheme: of_parts(
+                text, scheme, F.when(scheme != "", F.substr(front, F.length(scheme) + 2)).otherwise(front), _after(whole, "?")))))
 
     text = F.translate(strip(c.cast("string")), "\t\r\n", "")
     return F.coalesce(bind(text, lambda t: F.when(t != "", canonical(t))), F.lit(""))

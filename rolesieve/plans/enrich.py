@@ -21,7 +21,8 @@ def enrich(df: DataFrame, cfg: Config = DEFAULT, profile: Profile | None = None,
     """The analysis columns of every posting; null title and description become ''.
 
     The costly scans of the text (years, skills, seniority) run once per row: they sit in one inline()
-    generator, which the optimizer neither copies nor moves filters through.  ``rescore_band`` lets
+    generator, which the optimizer neither copies nor moves filters through.  So do the scores made of
+    them, which also keeps a report's filter and cells from growing into methods too large to compile.  ``rescore_band`` lets
     the match score use the profile's band in place of the settings' band.  ``keep_found`` keeps what the
     scans have found, skills and degrees, as columns, so that counts need not read the texts again.
     """
@@ -63,12 +64,11 @@ def enrich(df: DataFrame, cfg: Config = DEFAULT, profile: Profile | None = None,
     title, lo, hi = F.col("title"), F.col("est_min_years"), F.col("est_max_years")
     listed = F.coalesce(F.col("is_fortune_500").cast("boolean"), F.lit(False)) if "is_fortune_500" in kept else F.lit(False)
     band = (profile.min_years, profile.max_years) if rescore_band else (cfg.experience_min, cfg.experience_max)
-    scored = measured.withColumn(
-        "mid_level_score", scoring.mid_level_score(title, F.col("_in_description"), lo, F.col("_senior_word"), cfg)
-    ).withColumn("is_mid_level", scoring.is_mid_level(F.col("_senior"), F.col("mid_level_score"), lo))
+    mid = scoring.mid_level_score(title, F.col("_in_description"), lo, F.col("_senior_word"), cfg)
+    scored = measured.select("*", F.inline(F.array(F.struct(mid.alias("mid_level_score"))))).withColumn(
+        "is_mid_level", scoring.is_mid_level(F.col("_senior"), F.col("mid_level_score"), lo))
     either_senior = F.col("_senior") | F.col("_senior_word")
-    return scored.select(
-        *kept, "title", "description", "est_min_years", "est_max_years", "mid_level_score", "is_mid_level",
+    return scored.select(*kept, "title", "description", "est_min_years", "est_max_years", "mid_level_score", "is_mid_level", F.inline(F.array(F.struct(
         in_list_order(F.col("_joined"), cfg.my_skills or profile.skills).alias("matched_skills"),
         scoring.match_score(
             title, F.col("_in_text"), lo, hi, either_senior, listed, F.col("is_mid_level"), cfg,
@@ -77,4 +77,4 @@ def enrich(df: DataFrame, cfg: Config = DEFAULT, profile: Profile | None = None,
         scoring.is_profile_match(either_senior, F.col("_joined"), lo, hi, profile, cfg).alias("is_profile_match"),
         scoring.in_band(lo, hi, profile, cfg).alias("in_experience_band"),
         *([F.array_distinct("_joined").alias(FOUND_SKILLS), FOUND_DEGREES] if keep_found else []),
-    )
+    ))))

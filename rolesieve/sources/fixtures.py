@@ -66,16 +66,19 @@ SELECT k AS seq,
 FROM (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate AS d FROM {orders}) src"""
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the files make fewer splits than there are cores.
+# Rows of a task: a row's text is scanned many times over, while its numbers are a few bytes of a file.
+TASK_ROWS = 100_000
 
-    The text scans that follow are CPU-bound.  Large inputs have splits enough and are left alone.
+
+def spread(df: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Rows dealt evenly, over all cores and at most about ``task_rows`` a task.
+
+    The text scans that follow are CPU-bound.  Splits of files follow bytes, and those of Parquet cannot
+    cut a row group: some hold millions of rows and others none.  The rows are counted from the footers.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // task_rows))
     # inline() keeps filters of the derived columns from moving before the repartition.
-    return df.repartition(cores).select(F.inline(F.array(F.struct(*df.columns))))
+    return df.repartition(parts).select(F.inline(F.array(F.struct(*df.columns))))
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:

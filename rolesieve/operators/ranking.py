@@ -78,5 +78,9 @@ def report_order(df: DataFrame, column: str, ascending: bool = True) -> list[Col
 
 
 def report_sort(df: DataFrame, column: str, ascending: bool = True) -> DataFrame:
-    """Sort by one report column, see report_order()."""
+    """Sort by one report column, see report_order().
+
+    A sort by ranges samples its input first, so the rows are worked out once, for a written table.
+    """
+    df = evaluated_once(df)
     return df.orderBy(*report_order(df, column, ascending))

@@ -50,8 +50,13 @@ def with_arrival_key(landed: DataFrame, name: str = "seq") -> DataFrame:
     return landed.withColumn(name, F.struct(*[F.col(f"_metadata.{p}").alias(p) for p in parts]))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    options = {k: v for k, v in CSV_OPTIONS.items() if k != "multiLine"}
+# Rows of a written CSV file, as a file that may hold line breaks is one task for its reader.
+FILE_ROWS = 50_000
+
+
+def write_csv(df: DataFrame, path: str, file_rows: int = FILE_ROWS) -> None:
+    """Postings as CSV files of at most ``file_rows`` rows."""
+    options = {k: v for k, v in CSV_OPTIONS.items() if k != "multiLine"} | {"maxRecordsPerFile": file_rows}
     df.write.mode("overwrite").options(**options, quoteAll=True, emptyValue="", nullValue="\\N").csv(path)
 
 

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.urls import canonical_url
 from ..operators.dedupe import keep_first
+from ..operators.ranking import evaluated_once
 from ..sources.commits import CommitLog
 
 #: Buckets of a delay.
@@ -77,7 +78,8 @@ class FirstSeen:
             return
         timed = batch.select(*self.schema.names).withColumn("job_url", canonical_url(F.col("job_url"))).withColumn("_t", F.unix_micros(F.col(self.event_time).cast("timestamp")))
         waiting = self._read(m["waiting"], self._timed)
-        rows = timed if waiting is None else timed.unionByName(waiting)
+        # Everything below reads the rows: the URLs are made canonical once, for a written table.
+        rows = evaluated_once(timed if waiting is None else timed.unionByName(waiting))
         low, high = rows.agg(F.min("_t"), F.max("_t")).first()
         mark = max([x for x in (m["watermark"], None if high is None else high - self.lateness) if x is not None], default=None)
         name = uuid.uuid4().hex

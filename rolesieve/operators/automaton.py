@@ -1,7 +1,8 @@
-"""Which phrases of a bounded list occur in texts as whole words: one pass over each text by an automaton."""
+"""Which phrases of a bounded list occur in texts as whole words: one pass over each text, by its words and by an automaton."""
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -14,18 +15,30 @@ def _is_word(char: str) -> bool:
 
 
 class Phrases:
-    """An Aho-Corasick automaton over phrases, with what must stand on either side of each."""
+    """Phrases of word characters only, looked up by the words of a text; for all others, an Aho-Corasick
+    automaton with what must stand on either side of each.
+
+    A single word occurs as a whole word exactly where the text has it between two others.  In the
+    automaton, short ones would match inside nearly every word of a text.
+    """
+
+    _WORD = re.compile(r"\w+")
 
     def __init__(self, phrases: list[str]):
         import ahocorasick
 
+        self._words = {p for p in phrases if all(map(_is_word, p))}
         self._automaton = ahocorasick.Automaton()
         for p in phrases:
-            self._automaton.add_word(p, (p, len(p), _is_word(p[0]), _is_word(p[-1])))
-        self._automaton.make_automaton()
+            if p not in self._words:
+                self._automaton.add_word(p, (p, len(p), _is_word(p[0]), _is_word(p[-1])))
+        if len(self._automaton):
+            self._automaton.make_automaton()
 
     def inside(self, text: str) -> set[str]:
-        found: set[str] = set()
+        found = self._words.intersection(self._WORD.findall(text)) if self._words else set()
+        if not len(self._automaton):
+            return found
         last = len(text) - 1
         for end, (phrase, length, word_first, word_last) in self._automaton.iter(text):
             if phrase in found:

@@ -366,7 +366,8 @@ def feed_ingested(spark, sf):
     payloads = postings(spark, sf).groupBy(F.floor(F.col("seq") / 10).alias("seq")).agg(
         F.array_sort(F.collect_list(F.struct(F.col("seq").alias("place"), item.alias("item")))).alias("items"))
     landed = payloads.select("seq", F.to_json(F.struct(F.transform("items", lambda e: e["item"]).alias("jobs"))).alias("payload"))
-    kept = ingest.ingest(feeds.feed_a(landed), append=True)
+    # Ingestion reads keys, then rows: payloads land once.
+    kept = ingest.ingest(feeds.feed_a(_kept(landed, "landed")), append=True)
     return kept.select(F.col("seq.payload").alias("payload"), F.col("seq.place").alias("place"), "job_url", "title", "company", "location")
 
 
@@ -568,10 +569,14 @@ def incremental_runs(spark, sf):
 
 def store_shared(spark, sf):
     """Two streams and a batch run take turns on one store; the first stream comes back, the batch is run again."""
-    store, p = incremental.Store(scratch_path(spark, "store"), fan=3), postings(spark, sf)
+    store, p = incremental.Store(scratch_path(spark, "store"), fan=3), scratch_path(spark, "turns")
+    # Dealt into the turns once, so that a turn reads its own rows only.
+    dealt = postings(spark, sf).withColumn("turn", F.col("seq") % len(SHARED_TURNS))
+    dealt.write.partitionBy("turn").parquet(p)
+    dealt = spark.read.schema(dealt.schema).parquet(p)
     landed, checkpoint = ({s: scratch_path(spark, f"{kind}-{s}") for s in "ab"} for kind in ("landed", "checkpoint"))
     for turn, who in enumerate(SHARED_TURNS):
-        part = p.where(F.col("seq") % len(SHARED_TURNS) == turn)
+        part = dealt.where(F.col("turn") == turn).drop("turn")
         if who == "batch":
             for _ in range(2):
                 incremental.ingest_batch(part, store, 0)

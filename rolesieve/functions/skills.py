@@ -70,7 +70,8 @@ class SkillFinder:
         if not self.skills:
             return F.array().cast("array<string>")
         # Two letters fold to ASCII ones when case is ignored but not when lowered.
-        low = F.translate(F.lower(text), "ſı", "si")
+        low = F.lower(text)
+        low = F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, "ſı", "si"))
         hits = F.array_distinct(F.regexp_extract_all(low, F.lit(self.pattern), F.lit(1)))
         return self._with_contained(hits)
 

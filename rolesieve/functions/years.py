@@ -7,6 +7,8 @@ import unicodedata
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .text import by_first_letters
+
 # The ranked patterns (an earlier one beats a later one whatever their positions),
 # words that mark a match as something else, and the limits of the rule.
 YEAR_PATTERNS = (
@@ -23,6 +25,7 @@ NOISE_NEARBY = (
     r"(company|founded|established|history|old|salary|ctc|lpa|lakhs?|crore|"
     r"employees?|headcount|customers?|users?|million|billion|revenue)"
 )
+_NOISE = by_first_letters(NOISE_NEARBY[1:-1].split("|"))
 MAX_YEARS = 20
 WINDOW = 40
 # Characters of a posting that are read; None reads all of it.
@@ -56,33 +59,31 @@ def _regex(pattern: str) -> str:
 def _best_of(pattern: str) -> str:
     """SQL for the best accepted match of one pattern in ``s``: lowest bound, then earliest."""
     regex = _regex(pattern)
+    two = pattern.count(r"(\d{1,2})") == 2
+
+    def number(digits: str) -> str:
+        # Other scripts' digits are rare, and turning them is slow.
+        return f"coalesce(try_cast({digits} AS INT), try_cast(translate({digits}, '{_DIGITS}', '{_ASCII_DIGITS}') AS INT))"
 
-    def number(group: int) -> str:
-        return f"try_cast(translate(regexp_extract(x.m, {regex}, {group}), '{_DIGITS}', '{_ASCII_DIGITS}') AS INT)"
-
-    if pattern.count(r"(\d{1,2})") == 2:
-        low, high = f"least({number(1)}, {number(2)})", f"greatest({number(1)}, {number(2)})"
-    else:
-        low, high = number(1), "CAST(NULL AS INT)"
-    # Pieces between the matches give each match its 0-based position.
-    located = f"""
-        aggregate(
-          zip_with(ms, slice(split(regexp_replace(s, {regex}, '{_MARK}'), '{_MARK}', -1), 1, size(ms)),
-                   (m, gap) -> struct(gap, m)),
-          struct(0 AS upto, CAST(array() AS ARRAY<STRUCT<pos: INT, m: STRING>>) AS hits),
-          (acc, x) -> struct(
-            acc.upto + length(x.gap) + length(x.m) AS upto,
-            concat(acc.hits, array(struct(acc.upto + length(x.gap) AS pos, x.m AS m))) AS hits),
-          acc -> acc.hits)"""
+    low, high = ("least(acc.a, acc.b)", "greatest(acc.a, acc.b)") if two else ("acc.a", "CAST(NULL AS INT)")
     around = f"""
-        substring(s, greatest(x.pos - {WINDOW}, 0) + 1, least(x.pos, {WINDOW}) + length(x.m) + {WINDOW})"""
+        substring(s, greatest(acc.upto - {WINDOW}, 0) + 1, least(acc.upto, {WINDOW}) + length(x) + {WINDOW})"""
+    # Cut at the marks, a text is a gap, then numbers and text of a match, a gap, and so on: their lengths
+    # give each match its 0-based position.  Texts without a match cost one search.
+    parts = "$1" + _MARK + ("$2" + _MARK if two else "") + "$0"
+    marked = f"split(regexp_replace(s, {regex}, r'{_MARK}{parts}{_MARK}'), '{_MARK}', -1)"
+    step, second = (4, f"CASE WHEN acc.i = 2 THEN {number('x')} ELSE acc.b END") if two else (3, "acc.b")
     return f"""
-      get(transform(filter(array(regexp_extract_all(s, {regex}, 0)), ms -> size(ms) > 0), ms ->
-        array_min(filter(
-          transform(
-            filter({located}, x -> NOT rlike({around}, {_regex(NOISE_NEARBY)})),
-            x -> struct({low} AS lo, x.pos AS pos, {high} AS hi)),
-          c -> c.lo BETWEEN 0 AND {MAX_YEARS}))), 0)"""
+      CASE WHEN s rlike {regex} THEN aggregate({marked},
+        struct(0 AS i, 0 AS upto, CAST(NULL AS INT) AS a, CAST(NULL AS INT) AS b, CAST(NULL AS STRUCT<lo: INT, pos: INT, hi: INT>) AS best),
+        (acc, x) -> struct(
+          (acc.i + 1) % {step} AS i,
+          CASE WHEN acc.i = 0 OR acc.i = {step - 1} THEN acc.upto + length(x) ELSE acc.upto END AS upto,
+          CASE WHEN acc.i = 1 THEN {number('x')} ELSE acc.a END AS a,
+          {second} AS b,
+          CASE WHEN acc.i = {step - 1} AND {low} BETWEEN 0 AND {MAX_YEARS} AND NOT rlike({around}, {_regex(_NOISE)})
+               THEN least(acc.best, struct({low} AS lo, acc.upto AS pos, {high} AS hi)) ELSE acc.best END AS best),
+        acc -> acc.best) END"""
 
 
 def years_sql(text: str, scan_chars: int | None = SCAN_CHARS) -> str:
@@ -93,7 +94,8 @@ def years_sql(text: str, scan_chars: int | None = SCAN_CHARS) -> str:
     """
     sample = f"left({text}, {scan_chars})" if scan_chars else text
     # Letters that fold to ASCII ones without case but not when lowered, one for one.
-    folded = f"lower(replace(replace(replace(replace({sample}, 'İ', 'i'), 'ı', 'i'), 'ſ', 's'), '{_MARK}', '{_NOT_MARK}'))"
+    turned = f"lower(replace(replace(replace(replace(t, 'İ', 'i'), 'ı', 'i'), 'ſ', 's'), '{_MARK}', '{_NOT_MARK}'))"
+    folded = f"get(transform(array({sample}), t -> CASE WHEN octet_length(t) = length(t) THEN lower(t) ELSE {turned} END), 0)"
     ranked = ", ".join(_best_of(p) for p in YEAR_PATTERNS)
     return f"get(transform(array({folded}), s -> CASE WHEN s rlike {_regex(GATE)} THEN coalesce({ranked}) END), 0)"
 

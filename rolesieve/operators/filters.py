@@ -54,6 +54,7 @@ def report_condition(df: DataFrame, **criteria: Any) -> Column:
     if unknown:
         raise ValueError(f"unknown report criteria: {sorted(unknown)}")
     conditions: list[Column] = []
+    kinds = dict(df.dtypes)
     if "query" in given:
         conditions.append(search_text(df).contains(str(given["query"]).strip().lower()))
     for name, column in _TEXT_CRITERIA.items():
@@ -61,7 +62,7 @@ def report_condition(df: DataFrame, **criteria: Any) -> Column:
             conditions.append(F.coalesce(F.col(column), F.lit("")) == given[name])
     for name, column in _FLAG_CRITERIA.items():
         if name in given:
-            conditions.append(truth(F.col(column)) == F.lit(bool(given[name])))
+            conditions.append(truth(F.col(column), kinds.get(column)) == F.lit(bool(given[name])))
     years = F.col("est_min_years").cast("int") if "est_min_years" in df.columns else F.lit(None).cast("int")
     if "max_years" in given:
         conditions.append(years.isNull() | (years <= given["max_years"]))

@@ -40,6 +40,8 @@ def normalise(df: DataFrame, keep: tuple[str, ...] = (), canonical: bool = False
         value = optional_string(raw(name))
         return value if default is None else F.coalesce(value, F.lit(default))
 
+    # Trimmed once, as the title is filtered on; and rows' texts and filters in one method may be too large to compile.
+    df = df.select("*", F.inline(F.array(F.struct(strip(raw("title").cast("string")).alias("_title")))))
     url = F.coalesce(optional_string(raw("job_url")), optional_string(raw("url"))) if "url" in df.columns else raw("job_url")
     if not canonical:
         # Worked out once: inline() keeps a later filter on the URL from repeating it.
@@ -47,12 +49,12 @@ def normalise(df: DataFrame, keep: tuple[str, ...] = (), canonical: bool = False
         url = F.col("_url")
     values = {
         "job_url": url,
-        "title": strip(raw("title").cast("string")),
+        "title": F.col("_title"),
         "company": text("company", UNKNOWN),
         "location": text("location", UNKNOWN),
         "description": text("description", ""),
-        "is_remote": truth(raw("is_remote")),
-        "is_fortune_500": truth(raw("is_fortune_500")),
+        "is_remote": truth(raw("is_remote"), kinds.get("is_remote")),
+        "is_fortune_500": truth(raw("is_fortune_500"), kinds.get("is_fortune_500")),
         # Filled by enrichment only.
         "est_min_years": F.lit(None).cast("int"),
         "est_max_years": F.lit(None).cast("int"),

@@ -5,7 +5,7 @@ import glob
 from pyspark.sql import functions as F
 
 from rolesieve.catalog import queries as registered
-from rolesieve.functions import text, urls
+from rolesieve.functions import text, urls, years
 from rolesieve.operators import filters, ranking
 from rolesieve.operators.automaton import Phrases
 from rolesieve.plans.enrich import enrich
@@ -96,3 +96,35 @@ def test_shared_store_deals_its_turns_once(spark, monkeypatch):
     monkeypatch.setattr(registered, "scratch_path", lambda s, name: paths.append(name) or scratch_path(s, name))
     registered.store_shared(spark, SMALL)
     assert paths.count("turns") == 1
+
+
+def test_reports_are_compiled(spark):
+    # The JIT leaves methods over 8,000 bytes to the interpreter.
+    df = registered.report_filtered(spark, SMALL)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        stages = df.select("*")._jdf.queryExecution().debug().codegenToSeq()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert stages.size() > 2 and max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000
+
+
+def test_booleans_are_not_read_as_text(spark):
+    assert text.MAY_BE_NUMBER not in _plan(registered.report_filtered(spark, SMALL))
+
+
+def test_years_are_cut_out_in_one_pass(spark):
+    assert "regexp_extract_all" not in years.years_sql("description")
+
+
+def test_patterns_are_tried_by_first_letters(spark):
+    grouped = text.any_of([r"data\s*engineer", r"data\s*ops", r"etl\b", r"\bbi\b"])
+    assert grouped == r"(?iU)(?=[bde])(?:data(?:(?:\s*engineer)|(?:\s*ops))|etl\b|(?:\bbi\b))"
+    tried = [r"data?base", r"sr\.?\b", r"x|y|xy", r"\b(lead|vp)\b", r"skins?", r"data(x|y)z", "", r"z+o", r"(q)\1"]
+    words = ["datbase", "DATABASE", "Sr", "ſr. ", "y", "lead", "leads", "ſKIN", "skin", "dataxz", "zzo", "qq", "q", "é", ""]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    for n in range(1, len(tried) + 1):
+        for patterns in (tried[:n], tried[n - 1:n], [p for p in tried[n - 1:] if p and "q" not in p]):
+            plain = "(?iU)" + "|".join(f"(?:{p})" for p in patterns)
+            both = df.select("w", F.col("w").rlike(plain).alias("a"), F.col("w").rlike(text.any_of(patterns)).alias("b")).collect() if patterns else []
+            assert [r for r in both if r.a != r.b] == []

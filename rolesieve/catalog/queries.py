@@ -14,7 +14,7 @@ from ..operators import bitmaps, counts, dedupe, filters, grid, ledger, levelled
 from ..plans import analyze, incremental, ingest, publish, report, summary, trend
 from ..plans.enrich import enrich
 from ..session import scratch_path
-from ..sources import feeds, outputs, postings as posting_files
+from ..sources import feeds, fixtures, outputs, postings as posting_files
 from ..sources.fixtures import postings, table
 from ..streaming import first_seen, incremental as streaming
 
@@ -140,7 +140,8 @@ def years_estimated(spark, sf):
 
 def years_whole_texts(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), "text")
-    long = docs.join(postings(spark, sf).select("seq", "description"), "seq", "left")
+    # One split of a file, or one reducer, may hold all documents: they are dealt before the scan.
+    long = fixtures.spread(docs.join(postings(spark, sf).select("seq", "description"), "seq", "left"), fixtures.TASK_TEXTS, docs.count())
     long = long.select("seq", F.concat_ws(" ", "text", "description", "text", "description").alias("long_text"))
     return years.with_years(long, "long_text", scan_chars=None).select("seq", "est_min_years", "est_max_years")
 

@@ -68,15 +68,19 @@ FROM (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate AS d FROM {orders}) sr
 
 # Rows of a task: a row's text is scanned many times over, while its numbers are a few bytes of a file.
 TASK_ROWS = 100_000
+# The same for whole documents, which are some thousand characters each.
+TASK_TEXTS = 2_000
 
 
-def spread(df: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+def spread(df: DataFrame, task_rows: int = TASK_ROWS, rows: int | None = None) -> DataFrame:
     """Rows dealt evenly, over all cores and at most about ``task_rows`` a task.
 
     The text scans that follow are CPU-bound.  Splits of files follow bytes, and those of Parquet cannot
-    cut a row group: some hold millions of rows and others none.  The rows are counted from the footers.
+    cut a row group: some hold millions of rows and others none.  The rows are counted from the footers;
+    ``rows`` says how many there are about where counting would take a run.
     """
-    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // task_rows))
+    rows = df.count() if rows is None else rows
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // task_rows))
     # inline() keeps filters of the derived columns from moving before the repartition.
     return df.repartition(parts).select(F.inline(F.array(F.struct(*df.columns))))
 

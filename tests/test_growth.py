@@ -128,3 +128,10 @@ def test_patterns_are_tried_by_first_letters(spark):
             plain = "(?iU)" + "|".join(f"(?:{p})" for p in patterns)
             both = df.select("w", F.col("w").rlike(plain).alias("a"), F.col("w").rlike(text.any_of(patterns)).alias("b")).collect() if patterns else []
             assert [r for r in both if r.a != r.b] == []
+
+
+def test_whole_documents_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(fixtures, "TASK_TEXTS", 10)
+    df = registered.years_whole_texts(spark, SMALL)
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 20 and max(sizes) <= 11

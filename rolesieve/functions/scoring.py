@@ -21,15 +21,16 @@ def _points(*rules: tuple[Column, float]) -> Column:
     return reduce(add, (F.when(cond, F.lit(float(pts))).otherwise(F.lit(0.0)) for cond, pts in rules))
 
 
-def _count(found: Column, skills: tuple[str, ...]) -> Column:
-    return F.size(in_list_order(found, tuple(s.lower() for s in skills)))
+def _count(found: Column, skills: tuple[str, ...] | None) -> Column:
+    """How many of the skills were found; all that were, for None."""
+    return F.size(found) if skills is None else F.size(in_list_order(found, tuple(s.lower() for s in skills)))
 
 
 def mid_level_score(title: Column, description_skills: Column, est_min: Column, senior_word: Column,
-                    cfg: Config = DEFAULT) -> Column:
-    """How likely a posting is mid-level (weights are fixed values)."""
+                    key_skills: tuple[str, ...] | None = DEFAULT.key_skills) -> Column:
+    """How likely a posting is mid-level (weights are fixed values); key_skills is None where all skills found are."""
     low = F.lower(title)
-    n = _count(description_skills, cfg.key_skills)
+    n = _count(description_skills, key_skills)
     return _points(
         (low.contains("data engineer"), 3),
         (low.contains("analytics engineer"), 3),

@@ -87,7 +87,8 @@ class SkillFinder:
         hits = []
         for skill in (s for s in self.lowered if " " in s):
             joints = [
-                F.lower(left).rlike(rf"(?U)\b{regex_literal(skill[:i])}\z")
+                # The plain comparison spares most texts the search.
+                F.lower(left).endswith(skill[:i]) & F.lower(left).rlike(rf"(?U)\b{regex_literal(skill[:i])}\z")
                 & F.lower(F.left(right, F.lit(len(skill) + 1))).rlike(rf"(?U)\A{regex_literal(skill[i + 1:])}\b")
                 for i, char in enumerate(skill)
                 if char == " "

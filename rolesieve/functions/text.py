@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import sys
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Everything Unicode calls white space, not just the blank that trim() removes.
 WHITESPACE = "".join(chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace())
@@ -73,9 +73,24 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def fenced(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are worked out once: no later filter moves below them or repeats them.
+
+    The projection works them out in compiled code; inline(), which filters stay above, only hands them
+    on.  (A generator that worked them out itself would leave a function with a lambda to the interpreter,
+    and with it everything else in the generator.)
+    """
+    kept = [c for c in df.columns if c not in columns]
+    made = df.select(*kept, *[c.alias(f"_made_{name}") for name, c in columns.items()])
+    return made.select(*kept, F.inline(F.array(F.struct(*[F.col(f"_made_{name}").alias(name) for name in columns]))))
+
+
 def strip(c: Column) -> Column:
     """Trim all Unicode white space on both sides."""
-    return F.btrim(c, F.lit(WHITESPACE))
+    c = c.cast("string")
+    # Between two printable ASCII signs there is nothing to trim, and a look at both ends is cheaper than trimming.
+    plain = [(end >= "!") & (end < "\x7f") for end in (c, F.substring(c, -1, 1))]
+    return F.when(plain[0] & plain[1], c).otherwise(F.btrim(c, F.lit(WHITESPACE)))
 
 
 def matching_form(c: Column) -> Column:
@@ -114,7 +129,8 @@ def html_escape(c: Column) -> Column:
     out = c
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         out = F.replace(out, F.lit(char), F.lit(entity))
-    return out
+    # Most texts hold none of the five: one look spares five searches.
+    return F.when(c.rlike("[&<>\"']"), out).otherwise(c)
 
 
 def html_to_text(c: Column) -> Column:

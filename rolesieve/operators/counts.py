@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DEFAULT
 from ..functions.skills import SkillFinder, in_list_order
-from ..functions.text import keywords
+from ..functions.text import by_first_letters, keywords
 from . import automaton
 
 # Degree -> pattern (fixed values).
@@ -72,7 +73,10 @@ def dictionary_doc_freq(df: DataFrame, dictionary: DataFrame, text: Column, shar
 
 
 def mentions_degree(text: Column, degree: str) -> Column:
-    return F.lower(text).rlike(f"(?U){DEGREES[degree]}")
+    low, patterns = F.lower(text), DEGREES[degree].split("|")
+    # The words without their boundaries: plain comparisons spare most texts the search.
+    held = reduce(or_, [low.contains(p.replace(r"\b", "").replace("\\", "")) for p in patterns])
+    return held & low.rlike(f"(?U){by_first_letters(patterns)}")
 
 
 def degree_doc_freq(df: DataFrame) -> DataFrame:
@@ -114,8 +118,10 @@ def tally(df: DataFrame, singles: list[Column], arrays: list[Column] = (), earli
     ``earlier`` (section, key, n) holds counts of former runs to add.  ``always`` names the
     (section, key) that have a line even where nothing is counted.
     """
-    lines = F.concat(F.array_compact(F.array(*singles)), *arrays)
-    out = df.select(F.inline(lines)).withColumn("n", F.lit(1).cast("long"))
+    # Made in a projection, which is compiled; a generator with a lambda in it would be interpreted as a whole.
+    made = df.select(F.array(*singles).alias("_singles"), *[a.alias(f"_array_{i}") for i, a in enumerate(arrays)])
+    lines = F.concat("_singles", *[f"_array_{i}" for i in range(len(arrays))])
+    out = made.select(F.inline(lines)).where("section IS NOT NULL").withColumn("n", F.lit(1).cast("long"))
     if earlier is not None:
         out = out.unionByName(earlier.select("section", "key", F.col("n").cast("double").alias("amount"), F.col("n").cast("long").alias("n")))
     if always:

@@ -31,18 +31,19 @@ def ranked_top(df: DataFrame, n: int) -> DataFrame:
     return top_n(df, order, n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def ranked_all(df: DataFrame, order: list[Column], partitions: int | None = None) -> DataFrame:
+def ranked_all(df: DataFrame, order: list[Column], partitions: int | None = None, stored: bool = False) -> DataFrame:
     """Every row with its position in a total order, without a one-task window.
 
     Rows are range-partitioned by the whole order (so a score a third of the rows share is split by
     its tie-breaker) and written once; a row's rank is its place in its partition plus the row
     counts of the partitions before.  The written table keeps both reads on the same partitioning.
     ``df`` itself is written first: finding the ranges takes a sampling run, which then reads columns in
-    place of working the rows out a second time.
+    place of working the rows out a second time.  ``stored`` says that it only reads columns of a written
+    table as it is.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "ranked")
-    df = evaluated_once(df)
+    df = df if stored else evaluated_once(df)
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # monotonically_increasing_id is partition number * 2^33 + place in the partition.
     placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(
@@ -58,6 +59,14 @@ def ranked_all(df: DataFrame, order: list[Column], partitions: int | None = None
     return rows.join(F.broadcast(offsets), "_part").select(*df.columns, (F.col("_before") + place).alias("rank"))
 
 
+def in_position_order(df: DataFrame, rows: int, position: str = "position", partitions: int | None = None) -> DataFrame:
+    """Rows with positions 1 to ``rows`` in their order: a position tells the part, so no sampling run looks for ranges."""
+    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = max(1, -(-rows // parts))
+    part = F.floor((F.col(position) - 1) / size).cast("int")
+    return df.repartitionById(parts, part).sortWithinPartitions(position)
+
+
 def evaluated_once(df: DataFrame) -> DataFrame:
     """The frame as a written table: for what would run it twice."""
     path = scratch_path(df.sparkSession, "evaluated")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import optional_string, strip, truth
-from ..functions.urls import canonical_url
+from ..functions.text import fenced, optional_string, strip, truth
+from ..functions.urls import with_canonical_url
 from ..schema import POSTING_COLUMNS
 
 # What counts as a posting URL (fixed values).
@@ -40,13 +40,11 @@ def normalise(df: DataFrame, keep: tuple[str, ...] = (), canonical: bool = False
         value = optional_string(raw(name))
         return value if default is None else F.coalesce(value, F.lit(default))
 
-    # Trimmed once, as the title is filtered on; and rows' texts and filters in one method may be too large to compile.
-    df = df.select("*", F.inline(F.array(F.struct(strip(raw("title").cast("string")).alias("_title")))))
     url = F.coalesce(optional_string(raw("job_url")), optional_string(raw("url"))) if "url" in df.columns else raw("job_url")
-    if not canonical:
-        # Worked out once: inline() keeps a later filter on the URL from repeating it.
-        df = df.select("*", F.inline(F.array(F.struct(canonical_url(url).alias("_url")))))
-        url = F.col("_url")
+    df = df.select("*", url.alias("_url")) if canonical else with_canonical_url(df, url, "_url")
+    # Worked out once, as rows are filtered by both; and rows' texts and filters in one method may be too large to compile.
+    df = fenced(df, _title=strip(raw("title")), _url=F.col("_url"))
+    url = F.col("_url")
     values = {
         "job_url": url,
         "title": F.col("_title"),

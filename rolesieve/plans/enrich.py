@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import DEFAULT, Config, Profile
 from ..functions import scoring, titles, years
 from ..functions.skills import SkillFinder, in_list_order
+from ..functions.text import fenced
 from ..operators.counts import DEGREES, FOUND_DEGREES, FOUND_SKILLS, mentions_degree
 
 ADDED = (
@@ -20,8 +21,8 @@ def enrich(df: DataFrame, cfg: Config = DEFAULT, profile: Profile | None = None,
            keep_found: bool = False) -> DataFrame:
     """The analysis columns of every posting; null title and description become ''.
 
-    The costly scans of the text (years, skills, seniority) run once per row: they sit in one inline()
-    generator, which the optimizer neither copies nor moves filters through.  So do the scores made of
+    The costly scans of the text (years, skills, seniority) run once per row: they are fenced, so the
+    optimizer neither copies them nor moves filters below.  So are the scores made of
     them, which also keeps a report's filter and cells from growing into methods too large to compile.  ``rescore_band`` lets
     the match score use the profile's band in place of the settings' band.  ``keep_found`` keeps what the
     scans have found, skills and degrees, as columns, so that counts need not read the texts again.
@@ -37,18 +38,18 @@ def enrich(df: DataFrame, cfg: Config = DEFAULT, profile: Profile | None = None,
         return F.coalesce(F.col(name).cast("string"), F.lit("")) if name in df.columns else F.lit("")
 
     base = df.select(*kept, text("title").alias("title"), text("description").alias("description"))
-    scanned = base.select(
-        "*",
-        F.inline(F.array(F.struct(
-            F.expr(years.years_sql("description", scan_chars)).alias("_years"),
-            finder.found(F.col("description")).alias("_in_description"),
-            finder.found(F.col("title")).alias("_in_title"),
-            finder.found_across(F.col("title"), F.col("description")).alias("_across"),
-            titles.is_senior_title(F.col("title"), cfg).alias("_senior"),
-            titles.has_senior_word(F.col("title")).alias("_senior_word"),
-            *([F.array_compact(F.array(*[F.when(mentions_degree(F.concat("title", F.lit(" "), "description"), d), d) for d in DEGREES]))
-               .alias(FOUND_DEGREES)] if keep_found else []),
-        ))),
+    joined = F.concat("title", F.lit(" "), "description")
+    # Compacted later: what that takes would be interpreted.
+    degrees = F.array(*[F.when(mentions_degree(joined, d), d) for d in DEGREES])
+    scanned = fenced(
+        base.withColumn("_folded", F.expr(years.folded_sql("description", scan_chars))),
+        _years=F.expr(years.years_of_folded_sql("_folded")),
+        _in_description=finder.found(F.col("description")),
+        _in_title=finder.found(F.col("title")),
+        _across=finder.found_across(F.col("title"), F.col("description")),
+        _senior=titles.is_senior_title(F.col("title"), cfg),
+        _senior_word=titles.has_senior_word(F.col("title")),
+        **({FOUND_DEGREES: degrees} if keep_found else {}),
     )
     hi = F.col("_years.hi")
     measured = scanned.select(
@@ -64,17 +65,20 @@ def enrich(df: DataFrame, cfg: Config = DEFAULT, profile: Profile | None = None,
     title, lo, hi = F.col("title"), F.col("est_min_years"), F.col("est_max_years")
     listed = F.coalesce(F.col("is_fortune_500").cast("boolean"), F.lit(False)) if "is_fortune_500" in kept else F.lit(False)
     band = (profile.min_years, profile.max_years) if rescore_band else (cfg.experience_min, cfg.experience_max)
-    mid = scoring.mid_level_score(title, F.col("_in_description"), lo, F.col("_senior_word"), cfg)
-    scored = measured.select("*", F.inline(F.array(F.struct(mid.alias("mid_level_score"))))).withColumn(
-        "is_mid_level", scoring.is_mid_level(F.col("_senior"), F.col("mid_level_score"), lo))
+    # Where all that is looked for are key skills, all that is found are.
+    key_skills = None if set(finder.lowered) <= {s.lower() for s in cfg.key_skills} else cfg.key_skills
+    scored = fenced(measured, mid_level_score=scoring.mid_level_score(title, F.col("_in_description"), lo, F.col("_senior_word"), key_skills))
+    scored = scored.withColumn("is_mid_level", scoring.is_mid_level(F.col("_senior"), F.col("mid_level_score"), lo))
     either_senior = F.col("_senior") | F.col("_senior_word")
-    return scored.select(*kept, "title", "description", "est_min_years", "est_max_years", "mid_level_score", "is_mid_level", F.inline(F.array(F.struct(
-        in_list_order(F.col("_joined"), cfg.my_skills or profile.skills).alias("matched_skills"),
-        scoring.match_score(
+    made = fenced(
+        scored,
+        matched_skills=in_list_order(F.col("_joined"), cfg.my_skills or profile.skills),
+        match_score=scoring.match_score(
             title, F.col("_in_text"), lo, hi, either_senior, listed, F.col("is_mid_level"), cfg,
             band_min=band[0], band_max=band[1],
-        ).alias("match_score"),
-        scoring.is_profile_match(either_senior, F.col("_joined"), lo, hi, profile, cfg).alias("is_profile_match"),
-        scoring.in_band(lo, hi, profile, cfg).alias("in_experience_band"),
-        *([F.array_distinct("_joined").alias(FOUND_SKILLS), FOUND_DEGREES] if keep_found else []),
-    ))))
+        ),
+        is_profile_match=scoring.is_profile_match(either_senior, F.col("_joined"), lo, hi, profile, cfg),
+        in_experience_band=scoring.in_band(lo, hi, profile, cfg),
+        **({FOUND_SKILLS: F.array_distinct("_joined"), FOUND_DEGREES: F.array_compact(FOUND_DEGREES)} if keep_found else {}),
+    )
+    return made.select(*kept, "title", "description", *ADDED, *([FOUND_SKILLS, FOUND_DEGREES] if keep_found else []))

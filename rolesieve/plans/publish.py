@@ -11,7 +11,7 @@ from ..config import DEFAULT, Config, Profile
 from ..functions.display import html_row
 from ..operators.counts import facets, skill_doc_freq
 from ..operators.filters import report_condition
-from ..operators.ranking import ranked_all, score_order
+from ..operators.ranking import in_position_order, ranked_all, score_order
 from ..sources.commits import CommitLog
 from ..sources.outputs import report_dataset, report_export
 from ..sources.postings import write_csv
@@ -32,7 +32,8 @@ def outputs(scored: DataFrame, previous_totals: DataFrame | None = None, cfg: Co
     ``position`` and whether the criteria let it show.
     """
     rows = report_dataset(scored)
-    report = ranked_all(rows.withColumn("visible", report_condition(rows, **criteria)), score_order(rows)).withColumnRenamed("rank", "position")
+    ranked = ranked_all(rows, score_order(rows), stored=True)
+    report = ranked.select(*rows.columns, report_condition(ranked, **criteria).alias("visible"), F.col("rank").alias("position"))
     return {
         "skill_totals": skill_doc_freq(scored, cfg.key_skills),
         "summary": summarize(scored, previous_totals, cfg, profile),
@@ -56,9 +57,10 @@ def analyze_and_report(df: DataFrame, root: str, cfg: Config = DEFAULT, profile:
     made = {"scored": _written(analyze(df, cfg, profile, ordered=False, keep_found=True, **analysis), f"{folder}/scored")}
     for table, frame in outputs(made["scored"], previous_totals, cfg, profile, **(criteria or {})).items():
         made[table] = _written(frame, f"{folder}/{table}")
-    ordered = made["report"].orderBy("position")
+    rows = made["report"].count()
+    ordered = in_position_order(made["report"], rows)
     ordered.select(html_row(ordered).alias("value")).write.text(f"{folder}/html")
-    write_csv(report_export(ordered.where("visible")), f"{folder}/visible")
+    write_csv(report_export(in_position_order(made["report"].where("visible"), rows)), f"{folder}/visible")
     CommitLog(spark, root).commit(lambda _: ({"publication": name}, None))
     return made
 

@@ -51,7 +51,9 @@ def market_tally(df: DataFrame, previous_totals: DataFrame | None = None, cfg: C
         # Scanned once, counted in two sections; not at all where the enrichment has kept what it found.
         *([] if counts.FOUND_SKILLS in has else [F.inline(F.array(F.struct(SkillFinder(cfg.key_skills).found(text).alias("_found"))))]),
     )
-    skills = in_list_order(F.col(counts.FOUND_SKILLS if counts.FOUND_SKILLS in has else "_found"), cfg.key_skills)
+    # Listed once, as two sections count them.
+    df = df.withColumn("_skills", in_list_order(F.col(counts.FOUND_SKILLS if counts.FOUND_SKILLS in has else "_found"), cfg.key_skills))
+    skills = F.col("_skills")
     flags = (("mid_level_jobs", "is_mid_level"), ("profile_match_jobs", "is_profile_match"), ("in_band_jobs", "in_experience_band"))
     singles = [
         counts.entry("totals", "total_jobs"),

@@ -20,7 +20,7 @@ def snapshot(df: DataFrame) -> DataFrame:
 
     Totals and the job-type mix are complete and unranked (rank 0); every total has its line, 0 too.
     """
-    listed = truth(F.col("is_fortune_500")) if "is_fortune_500" in df.columns else F.lit(False)
+    listed = truth(F.col("is_fortune_500"), dict(df.dtypes)["is_fortune_500"]) if "is_fortune_500" in df.columns else F.lit(False)
 
     def column(name: str):
         return F.col(name) if name in df.columns else F.lit(None).cast("string")

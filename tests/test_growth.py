@@ -1,13 +1,17 @@
 """What grows with the input: rows of a task, evaluations of a row, rows of a file."""
 
 import glob
+import html
+import random
+import re
 
 from pyspark.sql import functions as F
 
 from rolesieve.catalog import queries as registered
 from rolesieve.functions import text, urls, years
-from rolesieve.operators import filters, ranking
+from rolesieve.operators import counts, filters, ranking
 from rolesieve.operators.automaton import Phrases
+from rolesieve.plans import analyze
 from rolesieve.plans.enrich import enrich
 from rolesieve.session import scratch_path
 from rolesieve.sources import fixtures, postings
@@ -130,6 +134,63 @@ def test_patterns_are_tried_by_first_letters(spark):
             assert [r for r in both if r.a != r.b] == []
 
 
+def test_scans_are_not_left_to_the_interpreter(spark):
+    # A generator with a lambda is interpreted as a whole: it may only hand on what a projection made.
+    scored = analyze.analyze(registered._validated(spark, SMALL), ordered=False, keep_found=True)
+    tallied = counts.tally(scored, [counts.entry("a", F.col("title"))], [counts.entries("b", F.col("found_skills"))])
+    for df in (scored, tallied):
+        generators = [line for line in _plan(df).splitlines() if "Generate" in line]
+        assert generators and not any("lambda" in line or "RLIKE" in line for line in generators)
+
+
+def test_url_of_a_frame_is_that_of_a_column(spark):
+    rng, pieces = random.Random(5), ["utm_a", "UTM_", "ref", "refId", "page", "=", "=", "&", "&", "a", "~", "*", "+", "%41", "%zz", ".", "é", "_", " ", "\n", "[", ";", "#", "?", "/"]
+    cases = [None, "", " \t", "x?", "?ref=1", "//H?a=1", "HTTP://H.x/[", "mailto:a?ref=1&b=2"]
+    cases += [f"https://Ex.com/a/?{''.join(rng.choices(pieces, k=rng.randint(1, 9)))}" for _ in range(3000)]
+    keys = ["utm_a", "UTM_", "uTm_b.c", "ref", "refId", "Ref", "reference", "page", "trk", "trkInfo", "a~"]
+    cases += ["https://x.y/?" + "&".join(f"{rng.choice(keys)}={rng.choice(['', '1', 'ref', 'a.b-c~'])}" for _ in range(rng.randint(1, 5))) for _ in range(500)]
+    df = spark.createDataFrame([(c,) for c in cases], "u string").withColumn("c", urls.canonical_url(F.col("u")))
+    # The pairs one by one, which is what a query that is not plain takes.
+    by_pairs = F.when(F.col("q") != "", urls._clean_pairs(F.col("q"))).otherwise("")
+    both = urls.with_canonical_url(df, F.col("u"), "f").withColumn("q", F.regexp_extract("u", r"(?s)\A[^?#]*\?([^#\t\r\n ]*)\z", 1))
+    both = both.withColumn("plain", F.col("q").rlike(urls.PLAIN_QUERY)).withColumn("pairs", by_pairs).withColumn("cleaned", urls._clean_query(F.col("q"))).collect()
+    assert [r for r in both if r.c != r.f] == []
+    assert sum(r.plain or False for r in both) > 100
+    assert [r for r in both if r.plain and r.pairs != r.cleaned] == []
+
+
+def test_plain_ends_need_no_trimming(spark):
+    texts = [None, "", " ", "a", " a", "a ", "\u2003a", "a\u2003", "\x7f", "é", "é ", "~!", "\x1fa", "a\x85", "\u00a0é\u00a0", "a b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.strip(F.col("t")).alias("s"))
+    assert [(r.t, r.s) for r in df.collect() if r.s != (r.t and r.t.strip())] == []
+
+
+def test_escaping_and_degrees_by_plain_looks(spark):
+    texts = ["", "a", "a&b<c>\"d'", "B.Sc", "bs", "absolute", "MS.", "xms", "m.sc", "mxsc", "PhD", "doctorates", "bachelor", "éBS", "BS é", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    shown = df.select("t", text.html_escape(F.col("t")).alias("e"), *[counts.mentions_degree(F.col("t"), d).alias(d) for d in counts.DEGREES]).collect()
+    assert [r for r in shown if r.t is not None and r.e != html.escape(r.t)] == [] and shown[-1].e is None
+    for d, pattern in counts.DEGREES.items():
+        assert [r for r in shown if r[d] != (r.t and bool(re.search(pattern, r.t.lower()))) and r.t] == []
+
+
+def test_positions_tell_the_parts(spark):
+    df = spark.range(1, 1001, 1, 7).withColumnRenamed("id", "position").orderBy(F.hash("position"))
+    ordered = ranking.in_position_order(df, 1000, partitions=6)
+    assert [r.position for r in ordered.collect()] == list(range(1, 1001))
+    assert "range" not in ordered._jdf.queryExecution().executedPlan().toString().split("Scan")[0].split("Sort")[1]
+    assert ranking.in_position_order(df.where("false"), 0).count() == 0
+
+
+def test_one_match_is_read_as_several_are(spark):
+    # A second match that is not accepted takes the long way.
+    texts = ["3-5 years", "5+ years", "at least 7 yrs", "99 years", "2 years experience", "exp. 4 to 2 years", "company 10 years", "٣ years", "5 years, or 2 years", "to 3 years"]
+    far = "." * 200 + " 88 years, 88 - 88 years, 88+ years, 88 years experience, at least 88 years, exp 88 years"
+    df = spark.createDataFrame([(t, t + far) for t in texts], "one string, more string")
+    got = df.select(*[F.expr(years.years_sql(c)).alias(c) for c in df.columns], "one").collect()
+    assert [r for r in got if (r[0] and (r[0].lo, r[0].hi)) != (r[1] and (r[1].lo, r[1].hi))] == []
+
+
 def test_whole_documents_are_dealt_over_tasks(spark, monkeypatch):
     monkeypatch.setattr(fixtures, "TASK_TEXTS", 10)
     df = registered.years_whole_texts(spark, SMALL)
